@@ -7,10 +7,16 @@ the square root of the minhashes that independent tables would.  With the
 defaults (13 half keys of 3) two sets of similarity 0.8 share no table with
 probability 0.0012, and of 0.9 below one in a million.
 
-Candidates are compared on full sets.  Within a table's bucket every member
-is compared with the first; buckets that are then still in several components
-are gone through in blocks of pivots until all pairs in different components
-were compared.  No cap on members or candidates.
+A candidate pair's minhashes are compared first: one whose share of equal ones
+is 4.5 standard deviations below what the similarity needs is none (a similar
+pair is lost so with probability 0.00001).  The others are compared on full
+sets.  Within a table's bucket every member
+is compared with the first.  Where a bucket is then still in several
+components, a small one is compared pair by pair across components, and a
+larger one is split by each further half key (documents that are similar share
+half of them) and gone through again; what is still large after four more
+half keys is gone through in blocks of pivots until all pairs in different
+components were compared.  No cap on members or candidates.
 
 Edge cases: a null text or one without words has an empty set and links with
 nothing; fewer words than a shingle give one shingle; repeated rows of one
@@ -31,7 +37,11 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import WordHasher, blocks, components, drop_stored, grams, mix, stored, text_bytes
 
-HALVES, DEPTH, PIVOTS = 13, 3, 32
+HALVES, DEPTH = 13, 3
+#: Members of a bucket that are compared pair by pair, or pivots at a time.
+PIVOTS = 16
+#: Further half keys by which larger buckets are split.
+DEEPEST = 4
 
 
 def shingle_sets(hasher: WordHasher, data, offsets, k: int):
@@ -52,19 +62,21 @@ def shingle_sets(hasher: WordHasher, data, offsets, k: int):
 
 
 def signatures(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, halves)."""
+    """(doc_id, n_shingles, set_key, halves, sketch): sketch has one byte of
+    each minhash."""
     multipliers = mix(np.arange(1, HALVES * DEPTH + 1, dtype=np.uint64) + np.uint64(seed << 32)) | np.uint64(1)
 
     def run(batches):
         hasher = WordHasher()
         for b in batches:
             for row, data, offsets in blocks(b):
-                sizes, keys, halves = [], [], []
+                sizes, keys, halves, sketches = [], [], [], []
                 for s in shingle_sets(hasher, data, offsets, k):
                     sizes.append(len(s))
                     if not len(s):
                         keys.append(None)
                         halves.append(None)
+                        sketches.append(None)
                         continue
                     keys.append(hashlib.md5(s.tobytes()).digest())
                     low = np.array([(x := s * m, (x ^ (x >> np.uint64(32))).min())[1] for m in multipliers], dtype=np.uint64).reshape(HALVES, DEPTH)
@@ -72,10 +84,11 @@ def signatures(docs: DataFrame, k: int, seed: int) -> DataFrame:
                     for d in range(1, DEPTH):
                         h = mix(h + low[:, d])
                     halves.append(h.view(np.int64))
+                    sketches.append((mix(low.reshape(-1)) & np.uint64(255)).astype(np.uint8).tobytes())
                 part = b.slice(row, len(sizes))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "halves"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(halves, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set_key", "halves", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, halves array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, halves array<long>, sketch binary")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -91,6 +104,21 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
+def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose minhashes don't rule them out."""
+    n, p = HALVES * DEPTH, percent / 100
+    least = int(n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
+    own = reps.select("rep", "sketch")
+    both = pairs.join(own.select(F.col("rep").alias("b"), F.col("sketch").alias("of_b")), "b").join(own.select(F.col("rep").alias("a"), F.col("sketch").alias("of_a")), "a")
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, n) for c in (b.column(2), b.column(3)))
+            yield b.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -109,38 +137,81 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return sides.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def starred(rows: DataFrame) -> DataFrame:
+    """Bucket rows (key, used, b, nb) with each bucket's first member a, na;
+    buckets of one member go."""
+    heads = rows.groupBy("key").agg(F.min(F.struct("b", "nb")).alias("h"), F.count("*").alias("size")).where("size > 1")
+    return rows.join(heads.select("key", "size", F.col("h.b").alias("a"), F.col("h.nb").alias("na")), "key")
+
+
+def close(percent: int):
+    return (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)
+
+
+class Links:
+    """Confirmed links so far, and the components that they make."""
+
+    def __init__(self, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> None:
+        self.reps, self.texts, self.k, self.percent = reps, texts, k, percent
+        self.all, self.found, self.fresh = None, None, False
+
+    def add(self, pairs: DataFrame) -> None:
+        pairs = pairs.where(close(self.percent)).select("a", "b").distinct()
+        pairs = stored(likely(pairs, self.reps, self.percent), "pairs")
+        if self.all is None or not pairs.isEmpty():
+            more = stored(confirmed(pairs, self.texts, self.k, self.percent), "links")
+            self.all = more if self.all is None else self.all.unionByName(more)
+            self.fresh = True
+        drop_stored(pairs)
+
+    def components(self) -> DataFrame:
+        if self.fresh:
+            self.found, self.fresh = stored(components(self.all), "components"), False
+        return self.found
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows with the component c of b."""
+        self.components()
+        return rows.join(self.found.withColumnRenamed("node", "b"), "b", "left").withColumn("c", F.coalesce("component", "b")).drop("component")
+
+
+def cross_pairs(rows: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Pairs of a bucket's members in different components, the first of them
+    at ranks above lo up to hi."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("b")))
+    first = ranked.where((F.col("rank") > lo) & (F.col("rank") <= hi)).select("key", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("c").alias("ca"), F.col("rank").alias("ra"))
+    return ranked.join(first, "key").where((F.col("rank") > F.col("ra")) & (F.col("c") != F.col("ca")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, seed: int = 7) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     texts = text_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
     signed = stored(signatures(texts, k, seed), "signed")
-    classes = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"))
+    classes = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
     reps = stored(classes, "classes")
-    tables = F.array(*(F.xxhash64(F.lit(t), F.col("halves")[i], F.col("halves")[j]) for t, (i, j) in enumerate(itertools.combinations(range(HALVES), 2))))
-    keys = reps.select(F.explode(tables).alias("key"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-    heads = keys.groupBy("key").agg(F.min(F.struct("b", "nb")).alias("h"), F.count("*").alias("c")).where("c > 1").select("key", F.col("h.b").alias("a"), F.col("h.nb").alias("na"))
-    members = stored(keys.join(heads, "key"), "members")
-    near = (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)
-    stars = stored(members.where(F.col("a") != F.col("b")).where(near).select("a", "b").distinct(), "stars")
-    links = stored(confirmed(stars, texts, k, percent), "links")
-    found = stored(components(links), "components")
-    block = 0
-    while True:
-        # buckets whose members are still in several components
-        placed = members.select("key", "b", "nb").join(found.withColumnRenamed("node", "b"), "b", "left").withColumn("c", F.coalesce("component", "b"))
-        split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where(f"lo < hi AND size > {max(block, 2) if block else 2}")
-        open_rows = stored(placed.join(split.select("key"), "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("b"))).select("key", "b", "nb", "c", "rank"), "open")
-        pivots = open_rows.where((F.col("rank") > block) & (F.col("rank") <= block + PIVOTS)).select("key", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("c").alias("ca"), F.col("rank").alias("ra"))
-        pairs = stored(open_rows.join(pivots, "key").where((F.col("rank") > F.col("ra")) & (F.col("c") != F.col("ca")) & (F.col("ra") > 1)).where(near).select("a", "b").distinct(), "pairs")
-        more = stored(confirmed(pairs, texts, k, percent), "links")
-        if not more.isEmpty():
-            links = stored(links.unionByName(more), "links")
-            found = stored(components(links), "components")
-        longest = open_rows.agg(F.max("rank")).first()[0] or 0
-        drop_stored(open_rows, pairs)
-        block += PIVOTS
-        if longest <= block:
+    tables = F.array(*(F.struct(F.xxhash64(F.lit(t), F.col("halves")[i], F.col("halves")[j]).alias("key"), F.array(F.lit(i), F.lit(j)).alias("used")) for t, (i, j) in enumerate(itertools.combinations(range(HALVES), 2))))
+    rows = reps.select(F.explode(tables).alias("t"), F.col("rep").alias("b"), F.col("n").alias("nb")).select("t.key", "t.used", "b", "nb")
+    links = Links(reps, texts, k, percent)
+    for depth in range(DEEPEST + 1):
+        members = stored(starred(rows), "members")
+        links.add(members.where(F.col("a") != F.col("b")))
+        placed = links.placed(members)
+        split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        still = stored(placed.join(split, "key").select("key", "used", "b", "nb", "c", "size"), "open")
+        drop_stored(members)
+        links.add(cross_pairs(still.where(F.col("size") <= PIVOTS), 1, PIVOTS))
+        large = still.where(F.col("size") > PIVOTS).drop("size")
+        if large.isEmpty():
+            break
+        if depth == DEEPEST:
+            longest, lo = still.agg(F.max("size")).first()[0], 1
+            while lo < longest:
+                links.add(cross_pairs(links.placed(large.drop("c")), lo, lo + PIVOTS))
+                lo += PIVOTS
             break
-    drop_stored(stars, members)
-    by_class = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+        finer = F.filter(F.transform("halves", lambda h, i: F.struct(F.xxhash64("key", i, h).alias("key"), F.array_sort(F.concat("used", F.array(i))).alias("used"), i.alias("i"))), lambda x: ~F.array_contains(F.col("used"), x["i"]))
+        wide = large.drop("c").join(reps.select(F.col("rep").alias("b"), "halves"), "b")
+        rows = wide.select(F.explode(finer).alias("t"), "b", "nb").select("t.key", "t.used", "b", "nb")
+    by_class = reps.join(links.components().withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(by_class, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -8,15 +8,17 @@ document with a smaller doc_id; windows are judged on the input.
    phrases in it.  Equal windows have equal anchors, and neighbours mostly
    share theirs, so anchors are about a fifth of the words.  Those seen in two
    documents or more are the recurring ones (an aggregation with map-side
-   combine: least and greatest doc_id).
-2. A run of windows with one recurring anchor is a snippet.  Equal snippets
-   are counted once, with their least doc_id, so thousands of copies of a
-   passage come to one row before anything is dealt out by anchor.
-3. Snippets are dealt to shards by anchor.  A shard confirms the recurring
+   combine: least and greatest doc_id, and how many documents).
+2. A recurring anchor has a route: its least doc_id, and, if many documents
+   have it, one of as many parts as keep a route's documents few.  A run of
+   windows with one route is a passage.  Equal passages are counted once, with
+   their least doc_id, so thousands of copies come to one row before anything
+   is dealt out by route.
+3. Passages are dealt to shards by route.  A shard confirms the recurring
    windows word by word, compiles an Aho-Corasick automaton of them with
    their least doc_id (each distinct word is one letter of its alphabet), and
-   streams every snippet through it to locate all occurrences.
-4. Snippets bring what was found back to all their documents.
+   streams every passage through it to locate all occurrences.
+4. Passages bring what was found back to all their documents.
 
 Hashes only route: a window is removed only after its words were matched, and
 none is missed, as equal words have equal hashes.
@@ -43,6 +45,8 @@ from graphloom.llm.common import WordHasher, blocks, grams, text_bytes
 PHRASE = 5
 #: Windows that one automaton holds; a shard compiles as many as it needs.
 AUTOMATON = 20_000
+#: Documents of an anchor for which it has one more route.
+ROUTE_DOCS = 200
 
 
 def anchors_of(hasher: WordHasher, data, offsets, length: int):
@@ -62,7 +66,8 @@ def anchors_of(hasher: WordHasher, data, offsets, length: int):
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, low, high): least and greatest doc_id by anchor and block."""
+    """(anchor, low, high, n): least and greatest doc_id, and the number of
+    documents, by anchor and block."""
 
     def run(batches):
         hasher = WordHasher()
@@ -79,9 +84,9 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 order = np.argsort(low, kind="stable")
                 low, own = low[order], own[order]
                 first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(low[first].view(np.int64)), pa.array(np.minimum.reduceat(own, first)), pa.array(np.maximum.reduceat(own, first))], ["anchor", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(low[first].view(np.int64)), pa.array(np.minimum.reduceat(own, first)), pa.array(np.maximum.reduceat(own, first)), pa.array(np.diff(np.append(first, len(low))))], ["anchor", "low", "high", "n"])
 
-    return docs.mapInArrow(run, "anchor long, low long, high long")
+    return docs.mapInArrow(run, "anchor long, low long, high long, n long")
 
 
 def doc_anchor_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -104,14 +109,14 @@ def doc_anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, anchor long")
 
 
-def snippet_rows(candidates: DataFrame, length: int) -> DataFrame:
-    """(doc_id, anchors, text) -> (anchor, doc_id, start, words): runs of
-    windows of one recurring anchor, with the words that they cover."""
+def passage_rows(candidates: DataFrame, length: int) -> DataFrame:
+    """(doc_id, anchors, routes, text) -> (route, doc_id, start, words): runs
+    of windows of one route, with the words that they cover."""
 
     def run(batches):
         hasher = WordHasher()
         for b in batches:
-            ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            ids, anchors, routes = b.column(0).to_numpy(zero_copy_only=False), b.column(1), b.column(2)
             for row, data, offsets in blocks(b):
                 starts, ends, doc, at, low = anchors_of(hasher, data, offsets, length)
                 low, out = low.view(np.int64), ([], [], [], [])
@@ -122,10 +127,14 @@ def snippet_rows(candidates: DataFrame, length: int) -> DataFrame:
                     lo, hi = cuts[i], cuts[i + 1]
                     if lo == hi:
                         continue
-                    own = low[lo:hi]
-                    hit = np.isin(own, lists[row + i].values.to_numpy(zero_copy_only=False))
-                    begin = np.flatnonzero(hit & np.append(True, (own[1:] != own[:-1]) | ~hit[:-1]))
-                    end = np.flatnonzero(hit & np.append((own[1:] != own[:-1]) | ~hit[1:], True))
+                    known, leads = (x[row + i].values.to_numpy(zero_copy_only=False) for x in (anchors, routes))
+                    order = np.argsort(known)
+                    known, leads = known[order], leads[order]
+                    k = np.minimum(np.searchsorted(known, low[lo:hi]), len(known) - 1)
+                    hit, own = known[k] == low[lo:hi], leads[k]
+                    turn = np.append(True, own[1:] != own[:-1])
+                    begin = np.flatnonzero(hit & (turn | np.append(True, ~hit[:-1])))
+                    end = np.flatnonzero(hit & (np.append(turn[1:], True) | np.append(~hit[1:], True)))
                     for x, y in zip(begin.tolist(), end.tolist(), strict=True):
                         w = at[lo + x]
                         last = at[lo + y] + length - 1
@@ -134,15 +143,15 @@ def snippet_rows(candidates: DataFrame, length: int) -> DataFrame:
                         out[2].append(w - firsts[i])
                         out[3].append(b" ".join(raw[starts[w] : ends[last]].split()))
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["anchor", "doc_id", "start", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["route", "doc_id", "start", "words"])
 
-    return candidates.select("doc_id", "anchors", "text").mapInArrow(run, "anchor long, doc_id long, start long, words binary")
+    return candidates.select("doc_id", "anchors", "routes", "text").mapInArrow(run, "route long, doc_id long, start long, words binary")
 
 
 def locate(rows: list[tuple], length: int):
-    """rows: (anchor, words, least doc_id) of all snippets of some anchors.
-    Yields (anchor, words, numbers of the windows whose words also start in a
-    document with a smaller doc_id than the snippet's least one)."""
+    """rows: (route, words, least doc_id) of all passages of some routes.
+    Yields (route, words, numbers of the windows whose words also start in a
+    document with a smaller doc_id than the passage's least one)."""
     letters: dict[bytes, str] = {}
     said = []
     for _, words, _ in rows:
@@ -169,15 +178,15 @@ def locate(rows: list[tuple], length: int):
         machine.add_word(w, least[w])
     if recurs:
         machine.make_automaton()
-    for (anchor, words, doc), text in zip(rows, said, strict=True):
-        yield anchor, words, [end - length + 1 for end, first in machine.iter(text) if first < doc] if recurs else []
+    for (route, words, doc), text in zip(rows, said, strict=True):
+        yield route, words, [end - length + 1 for end, first in machine.iter(text) if first < doc] if recurs else []
 
 
-def located(snippets: DataFrame, length: int) -> DataFrame:
-    """One row per distinct snippet: its least doc_id and its windows that
+def located(passages: DataFrame, length: int) -> DataFrame:
+    """One row per distinct passage: its least doc_id and its windows that
     were found in a document before that one."""
-    distinct = snippets.groupBy("anchor", "words").agg(F.min("doc_id").alias("first_doc"))
-    dealt = distinct.repartition("anchor").sortWithinPartitions("anchor", "first_doc")
+    distinct = passages.groupBy("route", "words").agg(F.min("doc_id").alias("first_doc"))
+    dealt = distinct.repartition("route").sortWithinPartitions("route", "first_doc")
 
     def run(batches):
         held: list[tuple] = []
@@ -185,7 +194,7 @@ def located(snippets: DataFrame, length: int) -> DataFrame:
 
         def flush():
             out = list(locate(held, length))
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([h[2] for h in held], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int32()))], ["anchor", "words", "first_doc", "found"])
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([h[2] for h in held], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int32()))], ["route", "words", "first_doc", "found"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -197,18 +206,20 @@ def located(snippets: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush()
 
-    return dealt.select("anchor", "words", "first_doc").mapInArrow(run, "anchor long, words binary, first_doc long, found array<int>")
+    return dealt.select("route", "words", "first_doc").mapInArrow(run, "route long, words binary, first_doc long, found array<int>")
 
 
 def covered_words(docs: DataFrame, length: int = 13) -> DataFrame:
     """(doc_id, spans): what to remove, as start and end word of each piece."""
     texts = text_bytes(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
-    recurring = anchor_rows(texts, length).groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor")
-    anchors = doc_anchor_rows(texts, length).join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    snippets = snippet_rows(anchors.join(texts, "doc_id"), length)
-    found = located(snippets, length)
+    seen = anchor_rows(texts, length).groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    part = F.pmod("anchor", F.ceil(F.col("n") / ROUTE_DOCS).cast("long"))
+    recurring = seen.where("low < high").select("anchor", F.xxhash64("low", part).alias("route"))
+    anchors = doc_anchor_rows(texts, length).join(recurring, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("route").alias("routes"))
+    passages = passage_rows(anchors.join(texts, "doc_id"), length)
+    found = located(passages, length)
     size = F.size(F.split(F.col("words").cast("string"), " "))
-    back = snippets.select("anchor", "words", "doc_id", "start").join(found, ["anchor", "words"])
+    back = passages.select("route", "words", "doc_id", "start").join(found, ["route", "words"])
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + size).alias("b")))
     some = F.transform("found", lambda i: F.struct((F.col("start") + i).alias("a"), (F.col("start") + i + length).alias("b")))
     spans = back.select("doc_id", F.when(F.col("doc_id") > F.col("first_doc"), whole).otherwise(some).alias("spans")).where(F.size("spans") > 0)
