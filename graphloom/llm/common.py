@@ -63,6 +63,11 @@ def text_bytes(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
+def renewed(df: DataFrame) -> DataFrame:
+    """df with columns of its own identity, to be joined with its kin."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
 # ---------------------------------------------------------------- hashing
 
 

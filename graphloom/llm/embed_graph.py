@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, stored
+from graphloom.llm.common import components, renewed, stored
 
 #: Nodes of a shard (aimed at) and of a graph (at most, on average).
 SHARD, BLOCK, MOST_CENTROIDS, SAMPLE = 8192, 8192, 4096, 20_000
@@ -229,7 +229,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     united = built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     graph = members.join(united, "rep").select(*keys, "rep", "v", "n", "near")
     asked = members.where("own").select("label", "dim", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "v")
-    found = stored(graph.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search_block(least), "rep long, found long, root long"), "found")
+    found = stored(graph.groupBy(*keys).cogroup(renewed(asked).groupBy(*keys)).applyInPandas(search_block(least), "rep long, found long, root long"), "found")
     placed_in = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     by_rep = found.groupBy("rep").agg(F.sum("found").alias("found")).join(placed_in.withColumnRenamed("node", "rep"), "rep", "left")
     classes = nodes.select("label", "dim", "hash", "rep", "n").join(by_rep, "rep")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stored
+from graphloom.llm.common import renewed, stored
 
 #: Rows of a block of data and of queries.
 DATA_BLOCK, QUERY_BLOCK, MOST_PIVOTS = 4096, 2048, 256
@@ -163,6 +163,6 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     targets = spark.createDataFrame([(g, d, c, b) for (d, c), gs in needed.items() for g in gs for b in range(size[d, c])], "g int, dim int, cell int, block int")
     queries = own.join(F.broadcast(targets), ["g", "dim"]).select("g", "dim", "cell", "block", "vec_id", "v")
     keys = ["g", "dim", "cell", "block"]
-    found = data.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(best_of_block(k), "query_id long, vec_id long, score long")
+    found = data.groupBy(*keys).cogroup(renewed(queries).groupBy(*keys)).applyInPandas(best_of_block(k), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
