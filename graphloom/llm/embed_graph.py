@@ -38,7 +38,7 @@ from graphloom.llm.common import components, renewed, stored
 
 #: Nodes of a shard (aimed at) and of a graph (at most, on average).
 SHARD, BLOCK, MOST_CENTROIDS, SAMPLE = 8192, 8192, 4096, 20_000
-NEAREST, DEGREE, ALPHA, BEAM, SLACK = 48, 24, 1.2, 8, 0.01
+NEAREST, DEGREE, BACK, ALPHA, BEAM, SLACK = 64, 24, 6, 1.2, 8, 0.02
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def flat_graph(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rep")
     ids, x = pdf["rep"].to_numpy(), matrix(pdf["v"])
     n = len(ids)
-    links: list[set] = [set() for _ in range(n)]
+    links: list[dict] = [{} for _ in range(n)]
     if n > 1:
         c = min(NEAREST, n - 1)
         spread = np.linspace(0, n - 1, min(8, n)).astype(int)  # long links
@@ -152,11 +152,12 @@ def flat_graph(pdf: pd.DataFrame) -> pd.DataFrame:
             top = np.argpartition(-s, c - 1, axis=1)[:, :c]
             for i, near in enumerate(top, start=lo):
                 cand = np.concatenate([[i], near, spread[spread != i]])
-                links[i].update(pruned(x, np.concatenate([[i], np.unique(cand[1:])])))
+                links[i].update(dict.fromkeys(pruned(x, np.concatenate([[i], np.unique(cand[1:])]))))
         for i in range(n):
-            for j in list(links[i]):
-                if len(links[j]) < 2 * DEGREE:
-                    links[j].add(i)
+            for place, j in enumerate(list(links[i])[:DEGREE]):
+                # nobody is left out: a node's nearest always link back
+                if place < BACK or len(links[j]) < 2 * DEGREE:
+                    links[j].setdefault(i)
     return pd.DataFrame({"rep": ids, "near": [ids[sorted(s)].tolist() for s in links]})
 
 
