@@ -19,10 +19,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each near-duplicate group
-    (5-word shingles, similarity 0.8 or more).  Rows of one doc_id are one."""
-    found = minhash.near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    once = docs.dropDuplicates(["doc_id"])
-    return once.join(found, once["doc_id"].eqNullSafe(found["doc_id"]), "left_semi").select(COLUMNS)
+    (5-word shingles, similarity 0.8 or more).  Rows of one doc_id are one;
+    rows without one stay."""
+    kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    both = docs.join(kept, "doc_id")
+    once = both.where("__rows = 1").unionByName(both.where("__rows > 1").dropDuplicates(["doc_id"]))
+    return once.select(COLUMNS).unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

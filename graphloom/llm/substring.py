@@ -110,8 +110,9 @@ def doc_anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
 
 def passage_rows(candidates: DataFrame, length: int) -> DataFrame:
-    """(doc_id, anchors, routes, text) -> (route, doc_id, start, words): runs
-    of windows of one route, with the words that they cover."""
+    """(doc_id, anchors, routes, text) -> (route, doc_id, start, size, mark,
+    words): runs of windows of one route, with the words that they cover;
+    mark is the MD5 of these."""
 
     def run(batches):
         hasher = WordHasher()
@@ -119,7 +120,7 @@ def passage_rows(candidates: DataFrame, length: int) -> DataFrame:
             ids, anchors, routes = b.column(0).to_numpy(zero_copy_only=False), b.column(1), b.column(2)
             for row, data, offsets in blocks(b):
                 starts, ends, doc, at, low = anchors_of(hasher, data, offsets, length)
-                low, out = low.view(np.int64), ([], [], [], [])
+                low, out = low.view(np.int64), ([], [], [], [], [], [])
                 cuts = np.searchsorted(doc[at], np.arange(len(offsets)))
                 firsts = np.searchsorted(doc, np.arange(len(offsets)))
                 raw = data.tobytes()
@@ -141,17 +142,21 @@ def passage_rows(candidates: DataFrame, length: int) -> DataFrame:
                         out[0].append(own[x])
                         out[1].append(ids[row + i])
                         out[2].append(w - firsts[i])
-                        out[3].append(b" ".join(raw[starts[w] : ends[last]].split()))
+                        out[3].append(last - w + 1)
+                        said = b" ".join(raw[starts[w] : ends[last]].split())
+                        out[4].append(hashlib.md5(said).digest())
+                        out[5].append(said)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["route", "doc_id", "start", "words"])
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["route", "doc_id", "start", "size", "mark", "words"])
 
-    return candidates.select("doc_id", "anchors", "routes", "text").mapInArrow(run, "route long, doc_id long, start long, words binary")
+    return candidates.select("doc_id", "anchors", "routes", "text").mapInArrow(run, "route long, doc_id long, start long, size long, mark binary, words binary")
 
 
 def locate(rows: list[tuple], length: int):
     """rows: (route, words, least doc_id) of all passages of some routes.
-    Yields (route, words, numbers of the windows whose words also start in a
-    document with a smaller doc_id than the passage's least one)."""
+    Yields, for each, the numbers of the windows whose words also start in a
+    document with a smaller doc_id than the passage's least one."""
     letters: dict[bytes, str] = {}
     said = []
     for _, words, _ in rows:
@@ -178,14 +183,14 @@ def locate(rows: list[tuple], length: int):
         machine.add_word(w, least[w])
     if recurs:
         machine.make_automaton()
-    for (route, words, doc), text in zip(rows, said, strict=True):
-        yield route, words, [end - length + 1 for end, first in machine.iter(text) if first < doc] if recurs else []
+    for (_, _, doc), text in zip(rows, said, strict=True):
+        yield [end - length + 1 for end, first in machine.iter(text) if first < doc] if recurs else []
 
 
 def located(passages: DataFrame, length: int) -> DataFrame:
     """One row per distinct passage: its least doc_id and its windows that
     were found in a document before that one."""
-    distinct = passages.groupBy("route", "words").agg(F.min("doc_id").alias("first_doc"))
+    distinct = passages.groupBy("route", "words").agg(F.min("doc_id").alias("first_doc"), F.first("mark").alias("mark"))
     dealt = distinct.repartition("route").sortWithinPartitions("route", "first_doc")
 
     def run(batches):
@@ -193,8 +198,8 @@ def located(passages: DataFrame, length: int) -> DataFrame:
         windows = 0
 
         def flush():
-            out = list(locate(held, length))
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([h[2] for h in held], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int32()))], ["route", "words", "first_doc", "found"])
+            out = list(locate([h[:3] for h in held], length))
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[3] for h in held], pa.binary()), pa.array([h[2] for h in held], pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["route", "mark", "first_doc", "found"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -206,21 +211,20 @@ def located(passages: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush()
 
-    return dealt.select("route", "words", "first_doc").mapInArrow(run, "route long, words binary, first_doc long, found array<int>")
+    return dealt.select("route", "words", "first_doc", "mark").mapInArrow(run, "route long, mark binary, first_doc long, found array<int>")
 
 
-def covered_words(docs: DataFrame, length: int = 13) -> DataFrame:
-    """(doc_id, spans): what to remove, as start and end word of each piece."""
-    texts = text_bytes(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+def covered_words(texts: DataFrame, length: int = 13) -> DataFrame:
+    """(doc_id, spans): what to remove, as start and end word of each piece.
+    texts: doc_id (not null), text as bytes."""
     seen = anchor_rows(texts, length).groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     part = F.pmod("anchor", F.ceil(F.col("n") / ROUTE_DOCS).cast("long"))
     recurring = seen.where("low < high").select("anchor", F.xxhash64("low", part).alias("route"))
     anchors = doc_anchor_rows(texts, length).join(recurring, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("route").alias("routes"))
     passages = passage_rows(anchors.join(texts, "doc_id"), length)
     found = located(passages, length)
-    size = F.size(F.split(F.col("words").cast("string"), " "))
-    back = passages.select("route", "words", "doc_id", "start").join(found, ["route", "words"])
-    whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + size).alias("b")))
+    back = passages.select("route", "mark", "doc_id", "start", "size").join(found, ["route", "mark"])
+    whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b")))
     some = F.transform("found", lambda i: F.struct((F.col("start") + i).alias("a"), (F.col("start") + i + length).alias("b")))
     spans = back.select("doc_id", F.when(F.col("doc_id") > F.col("first_doc"), whole).otherwise(some).alias("spans")).where(F.size("spans") > 0)
     return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -229,8 +233,12 @@ def covered_words(docs: DataFrame, length: int = 13) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = 13, as_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, and the kept words: as their SHA-256
     (kept_sha256), or themselves (kept) with as_text."""
-    texts = text_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
-    both = texts.join(covered_words(docs, length), "doc_id", "left").select("doc_id", "spans", "text")
+    all_texts = text_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    # one and the same exchange of the texts serves both joins
+    texts = all_texts.where("doc_id IS NOT NULL")
+    both = texts.join(covered_words(texts, length), "doc_id", "left").select("doc_id", "spans", "text")
+    none = F.lit(None).cast(both.schema["spans"].dataType)
+    both = both.unionByName(all_texts.where("doc_id IS NULL").select("doc_id", none.alias("spans"), "text"))
     name = "kept" if as_text else "kept_sha256"
 
     def run(batches):
