@@ -10,13 +10,12 @@ probability 0.0012, and of 0.9 below one in a million.
 A candidate pair's minhashes are compared first: one whose share of equal ones
 is 4.5 standard deviations below what the similarity needs is none (a similar
 pair is lost so with probability 0.00001).  The others are compared on full
-sets.  Within a table's bucket every member
-is compared with the first.  Where a bucket is then still in several
-components, a small one is compared pair by pair across components, and a
-larger one is split by each further half key (documents that are similar share
-half of them) and gone through again; what is still large after four more
-half keys is gone through in blocks of pivots until all pairs in different
-components were compared.  No cap on members or candidates.
+sets.  Within a table's bucket every member is compared with the first.  Where
+a bucket is then still in several components, a small one is compared pair by
+pair across components, and the members of a larger one go through tables of
+three half keys, then of four (similar documents share half of them).  In what
+is still large then, each member outside its bucket's largest component is
+compared with all other components.  No cap on members or candidates.
 
 Edge cases: a null text or one without words has an empty set and links with
 nothing; fewer words than a shingle give one shingle; repeated rows of one
@@ -32,16 +31,16 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import WordHasher, blocks, components, drop_stored, grams, mix, stored, text_bytes
 
 HALVES, DEPTH = 13, 3
-#: Members of a bucket that are compared pair by pair, or pivots at a time.
-PIVOTS = 16
-#: Further half keys by which larger buckets are split.
-DEEPEST = 4
+#: Members of a bucket up to which it is compared pair by pair.
+PAIRWISE = 64
+#: Half keys that the finest tables combine.
+MOST_TAKEN = 4
 
 
 def shingle_sets(hasher: WordHasher, data, offsets, k: int):
@@ -137,9 +136,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return sides.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def table_keys(docs: DataFrame, taken: int) -> DataFrame:
+    """(key, b, nb): a key for each choice of `taken` half keys."""
+    tables = list(itertools.combinations(range(HALVES), taken))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                b = batch.slice(lo, 1000)
+                halves = np.array(b.column(2).to_pylist(), dtype=np.int64).view(np.uint64)
+                if not len(halves):
+                    continue
+                # a half key is mixed with its place, so no two tables share keys
+                own = mix(halves + mix(np.arange(1, HALVES + 1, dtype=np.uint64)))
+                keys = np.zeros((len(halves), len(tables)), dtype=np.uint64)
+                for k in range(taken):
+                    keys += own[:, [t[k] for t in tables]]
+                rep, n = (np.repeat(c.to_numpy(), len(tables)) for c in (b.column(0), b.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(mix(keys).view(np.int64).reshape(-1)), pa.array(rep), pa.array(n)], ["key", "b", "nb"])
+
+    return docs.select("rep", "n", "halves").mapInArrow(run, "key long, b long, nb long")
+
+
 def starred(rows: DataFrame) -> DataFrame:
-    """Bucket rows (key, used, b, nb) with each bucket's first member a, na;
-    buckets of one member go."""
+    """Bucket rows (key, b, nb) with each bucket's size and first member a,
+    na; buckets of one member go."""
     heads = rows.groupBy("key").agg(F.min(F.struct("b", "nb")).alias("h"), F.count("*").alias("size")).where("size > 1")
     return rows.join(heads.select("key", "size", F.col("h.b").alias("a"), F.col("h.nb").alias("na")), "key")
 
@@ -175,12 +196,19 @@ class Links:
         return rows.join(self.found.withColumnRenamed("node", "b"), "b", "left").withColumn("c", F.coalesce("component", "b")).drop("component")
 
 
-def cross_pairs(rows: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Pairs of a bucket's members in different components, the first of them
-    at ranks above lo up to hi."""
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("b")))
-    first = ranked.where((F.col("rank") > lo) & (F.col("rank") <= hi)).select("key", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("c").alias("ca"), F.col("rank").alias("ra"))
-    return ranked.join(first, "key").where((F.col("rank") > F.col("ra")) & (F.col("c") != F.col("ca")))
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of a bucket's members that are in different components."""
+    first = rows.select("key", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("c").alias("ca"))
+    return rows.join(first, "key").where((F.col("b") > F.col("a")) & (F.col("c") != F.col("ca")))
+
+
+def outsiders(rows: DataFrame) -> DataFrame:
+    """Pairs of each member outside its bucket's largest component with the
+    members of all other components."""
+    count = rows.groupBy("key", "c").agg(F.count("*").alias("k"))
+    main = count.groupBy("key").agg(F.max(F.struct("k", "c")).alias("m")).select("key", F.col("m.c").alias("mc"))
+    out = rows.join(main, "key").where("c <> mc").select("key", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("c").alias("ca"))
+    return rows.join(out, "key").where(F.col("c") != F.col("ca"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, seed: int = 7) -> DataFrame:
@@ -189,29 +217,22 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, seed: int =
     signed = stored(signatures(texts, k, seed), "signed")
     classes = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
     reps = stored(classes, "classes")
-    tables = F.array(*(F.struct(F.xxhash64(F.lit(t), F.col("halves")[i], F.col("halves")[j]).alias("key"), F.array(F.lit(i), F.lit(j)).alias("used")) for t, (i, j) in enumerate(itertools.combinations(range(HALVES), 2))))
-    rows = reps.select(F.explode(tables).alias("t"), F.col("rep").alias("b"), F.col("n").alias("nb")).select("t.key", "t.used", "b", "nb")
-    links = Links(reps, texts, k, percent)
-    for depth in range(DEEPEST + 1):
-        members = stored(starred(rows), "members")
+    links, docs_left = Links(reps, texts, k, percent), reps
+    for taken in range(2, MOST_TAKEN + 1):
+        members = stored(starred(table_keys(docs_left, taken)), "members")
         links.add(members.where(F.col("a") != F.col("b")))
         placed = links.placed(members)
         split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        still = stored(placed.join(split, "key").select("key", "used", "b", "nb", "c", "size"), "open")
+        still = stored(placed.join(split, "key").select("key", "b", "nb", "c", "size"), "open")
         drop_stored(members)
-        links.add(cross_pairs(still.where(F.col("size") <= PIVOTS), 1, PIVOTS))
-        large = still.where(F.col("size") > PIVOTS).drop("size")
+        links.add(cross_pairs(still.where(F.col("size") <= PAIRWISE)))
+        large = still.where(F.col("size") > PAIRWISE)
         if large.isEmpty():
             break
-        if depth == DEEPEST:
-            longest, lo = still.agg(F.max("size")).first()[0], 1
-            while lo < longest:
-                links.add(cross_pairs(links.placed(large.drop("c")), lo, lo + PIVOTS))
-                lo += PIVOTS
-            break
-        finer = F.filter(F.transform("halves", lambda h, i: F.struct(F.xxhash64("key", i, h).alias("key"), F.array_sort(F.concat("used", F.array(i))).alias("used"), i.alias("i"))), lambda x: ~F.array_contains(F.col("used"), x["i"]))
-        wide = large.drop("c").join(reps.select(F.col("rep").alias("b"), "halves"), "b")
-        rows = wide.select(F.explode(finer).alias("t"), "b", "nb").select("t.key", "t.used", "b", "nb")
+        if taken == MOST_TAKEN:
+            links.add(outsiders(large))
+        else:
+            docs_left = stored(reps.join(large.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi"), "left")
     by_class = reps.join(links.components().withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(by_class, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
