@@ -82,29 +82,47 @@ def shortest(starts: DataFrame, edges: DataFrame, least: int, most: int, every:
     return result
 
 
-def weighted_shortest(edges: DataFrame, source, target=None, most: int = 50, fewest_hops: bool = False) -> DataFrame:
-    """Cheapest paths from one source over (source, target, weight) rows.
-
-    Bellman-Ford rounds until nothing gets cheaper.  With fewest_hops only
-    paths of the fewest hops compete.  Returns node, cost, path.
-    """
+def weighted_all(edges: DataFrame, starts: DataFrame, most: int = 50, fewest_hops: bool = False) -> DataFrame:
+    """(__start, node, cost, path): cheapest paths from each start over
+    (source, target, weight) rows, by Bellman-Ford rounds until nothing gets
+    cheaper.  With fewest_hops only paths of the fewest hops compete."""
     e = edges.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("weight").cast("double").alias("w"))
-    kind = e.schema["s"].dataType
-    best = e.sparkSession.range(1).select(F.lit(source).cast(kind).alias("node"), F.lit(0.0).alias("cost"), F.array(F.lit(source).cast(kind)).alias("path"))
-    best = stored(best, "cost")
+    best = stored(starts.select("__start", F.col("__start").alias("node"), F.lit(0.0).alias("cost"), F.array("__start").alias("path")), "cost")
     front = best
     for _ in range(most):
-        step = front.join(e, F.col("node") == F.col("s")).select(F.col("t").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("t")).alias("path"))
-        step = step.groupBy("node").agg(F.min(F.struct("cost", "path")).alias("m")).select("node", "m.cost", "m.path")
-        old = best.select("node", F.col("cost").alias("was"))
-        better = step.join(old, "node", "left").where("was IS NULL" if fewest_hops else "was IS NULL OR cost < was").drop("was")
+        step = front.join(e, F.col("node") == F.col("s")).select("__start", F.col("t").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("t")).alias("path"))
+        step = step.groupBy("__start", "node").agg(F.min(F.struct("cost", "path")).alias("m")).select("__start", "node", "m.cost", "m.path")
+        old = best.select("__start", "node", F.col("cost").alias("was"))
+        better = step.join(old, ["__start", "node"], "left").where("was IS NULL" if fewest_hops else "was IS NULL OR cost < was").drop("was")
         front = stored(better, "cost")
         if front.isEmpty():
             break
-        best = stored(best.join(front.select("node"), "node", "left_anti").unionByName(front), "cost")
+        best = stored(best.join(front.select("__start", "node"), ["__start", "node"], "left_anti").unionByName(front), "cost")
+    return best
+
+
+def weighted_shortest(edges: DataFrame, source, target=None, most: int = 50, fewest_hops: bool = False) -> DataFrame:
+    """node, cost, path: cheapest paths from one source."""
+    kind = edges.schema["source"].dataType
+    starts = edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("__start"))
+    best = weighted_all(edges, starts, most, fewest_hops).select("node", "cost", "path")
     return best if target is None else best.where(F.col("node") == F.lit(target))
 
 
+def with_properties(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Walks whose node structs hold the nodes' properties as well.  nodes:
+    __id, __label and properties.  A walk is known by its start and edges."""
+    ids = ["__start", "__start_label", "__end", "__end_label", "__eids"]
+    props = [c for c in nodes.columns if c not in ("__id", "__label")]
+    every = found.select(*ids, F.posexplode("__nodes").alias("pos", "n"))
+    own = nodes.select(F.col("__id").cast("string").alias("nid"), F.col("__label").alias("nlabel"), *(F.col(f"`{p}`") for p in props))
+    full = every.join(own, (F.col("n.__id") == F.col("nid")) & (F.col("n.__label").isNull() | (F.col("n.__label") == F.col("nlabel"))), "left")
+    node = F.struct(F.coalesce("n.__label", "nlabel").alias("__label"), F.col("n.__id").alias("__id"), *(F.col(f"`{p}`") for p in props))
+    lists = full.groupBy(*ids).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", node.alias("n")))), lambda x: x["n"]).alias("__full"))
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"l.{c}")) for c in ids]
+    return found.alias("f").join(lists.alias("l"), same).select(*(F.col(f"f.{c}") for c in found.columns if c != "__nodes"), F.col("l.__full").alias("__nodes"))
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
     """(node_id, pagerank): synchronous rounds from 1 / N, as (1 - d) +
     d * sum(rank / outdegree); nodes without in-edges drop out after round 1.

@@ -108,6 +108,9 @@ class Compiler:
                     visit(c)
 
         self.star = False
+        #: path variables whose nodes are looked into
+        self.opened = {a.name for x in A.walk(q) if isinstance(x, A.Call) and x.name.lower() == "nodes" for a in x.args if isinstance(a, A.Var)}
+        self.costed = {a.name for x in A.walk(q) if isinstance(x, A.Call) and x.name.lower() == "cost" for a in x.args if isinstance(a, A.Var)}
         visit(q)
 
     def needs(self, var: str | None) -> bool:
@@ -324,6 +327,8 @@ class Compiler:
         for i, x in enumerate(items):
             names.append(x.var or f"#{i}_{self.fresh('anon')}")
         labels = self.labels_of(p, frame.scope)
+        if p.var in self.opened:
+            self.whole |= set(names[::2])
         if not all(labels):
             raise CypherError("no label fits the pattern" if not all(labels) else "")
         start = next((i for i in range(0, len(items), 2) if names[i] in frame.scope), None)
@@ -483,6 +488,8 @@ class Compiler:
         o = self.path_edges(r, labels[near // 2], labels[far // 2])
         starts, b = self.walk_ends(frame, names[near])
         found = paths.walks(starts, o.df, least, most)
+        if names[near] in self.whole and names[near].startswith("#") or names[near] in self.whole and self.opened:
+            found = paths.with_properties(found, self.nodes_frame(labels[near // 2] | labels[far // 2]))
         if far < near:
             found = found.withColumn("__nodes", F.reverse("__nodes")).withColumn("__rels", F.reverse("__rels"))
         out = self.back_join(frame, found, b, names, items, labels, rel, far)
@@ -493,7 +500,30 @@ class Compiler:
         edges_seen.append(w)
         return Frame(df, out.scope)
 
+    def weighted(self, frame: Frame, p: A.PathPat, items, names, labels) -> Frame:
+        """A shortest path over the weights that a WITH has exported as
+        source, target and weight; cost(p) is its sum."""
+        w = {k: frame.scope[k].name for k in ("source", "target", "weight")}
+        edges = paths.stored(frame.df.select(*(col(c).alias(k) for k, c in w.items())).distinct(), "weights")
+        ends = Frame(None, {})
+        for i in (0, 2):
+            df, node = self.bind_nodes(names[i], labels[i // 2])
+            one = self.with_props(Frame(df, {names[i]: node}), items[i], names[i])
+            ends = one if ends.df is None else Frame(ends.df.crossJoin(one.df), {**ends.scope, **one.scope})
+        a, z = ends.scope[names[0]], ends.scope[names[2]]
+        starts = self.nodes_frame(labels[0]) if items[0].props is None else self.with_props(Frame(*(lambda d, n: (d, {names[0]: n}))(*self.bind_nodes(names[0], labels[0]))), items[0], names[0]).df
+        first = "__id" if "__id" in starts.columns else starts.columns[0]
+        best = paths.weighted_all(edges, starts.select(F.col(first).alias("__start")).distinct())
+        s, t, c, n, r = (self.fresh(x) for x in ("start", "end", "cost", "nodes", "rels"))
+        point = lambda x: F.struct(F.lit(None).cast("string").alias("__label"), x.cast("string").alias("__id"))
+        nodes, rels = F.transform("path", point), F.transform(F.slice("path", F.lit(2), F.size("path") - 1), lambda x: F.struct(x.cast("string").alias("__dst")))
+        best = best.where(F.size("path") > 1).select(F.col("__start").alias(s), F.col("node").alias(t), F.col("cost").alias(c), nodes.alias(n), rels.alias(r))
+        df = ends.df.join(best, self.same(ends.df, a.id, best, s) & self.same(ends.df, z.id, best, t))
+        return Frame(df, {**ends.scope, p.var: Path(n, r, c)})
+
     def shortest(self, frame: Frame, p: A.PathPat, items, names, labels) -> Frame:
+        if p.var in self.costed and {"source", "target", "weight"} <= set(frame.scope):
+            return self.weighted(frame, p, items, names, labels)
         near, far = (0, 2) if names[0] in frame.scope or names[2] not in frame.scope else (2, 0)
         r = replace(items[1], direction=self.turned(items[1].direction, far > near))
         least, most = r.hops or (1, 1)
@@ -508,6 +538,8 @@ class Compiler:
         o = self.path_edges(r, labels[near // 2], labels[far // 2])
         starts, b = self.walk_ends(frame, names[near])
         found = paths.shortest(starts, o.df, least, most, p.kind == "all_shortest")
+        if p.var in self.opened:
+            found = paths.with_properties(found, self.nodes_frame(labels[0] | labels[1]))
         if far < near:
             found = found.withColumn("__nodes", F.reverse("__nodes")).withColumn("__rels", F.reverse("__rels"))
         out = self.back_join(frame, found, b, names, items, labels, 1, far)
@@ -518,7 +550,10 @@ class Compiler:
         if len(names) == 3 and f"@{names[1]}" in frame.scope:
             b = frame.scope[f"@{names[1]}"]
             return Frame(frame.df, {**frame.scope, var: b})
-        node_of = lambda n: F.array(F.struct(col(n.label).alias("__label"), col(n.id).cast("string").alias("__id")))
+        held = [frame.scope[x] for x in names[::2]]
+        props = sorted({k for n in held for k in n.props}) if var in self.opened else []
+        value = lambda n, k: col(n.props[k]) if k in n.props else F.lit(None)
+        node_of = lambda n: F.array(F.struct(col(n.label).alias("__label"), col(n.id).cast("string").alias("__id"), *(value(n, k).alias(k) for k in props)))
         rel_of = lambda e: F.array(F.struct(col(e.type).alias("__type"), col(e.eid).cast("string").alias("__eid"), col(e.src).cast("string").alias("__src"), col(e.dst).cast("string").alias("__dst")))
         nodes, rels = node_of(frame.scope[names[0]]), None
         for i in range(1, len(names), 2):
