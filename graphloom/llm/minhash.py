@@ -104,11 +104,12 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose minhashes don't rule them out."""
+    """Those of the pairs (a, b) whose sizes and minhashes don't rule them
+    out."""
     n, p = HALVES * DEPTH, percent / 100
     least = int(n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
-    own = reps.select("rep", "sketch")
-    both = pairs.join(own.select(F.col("rep").alias("b"), F.col("sketch").alias("of_b")), "b").join(own.select(F.col("rep").alias("a"), F.col("sketch").alias("of_a")), "a")
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"of_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def run(batches):
         for b in batches:
@@ -137,14 +138,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 
 def table_keys(docs: DataFrame, taken: int) -> DataFrame:
-    """(key, b, nb): a key for each choice of `taken` half keys."""
+    """(key, b): a key for each choice of `taken` half keys."""
     tables = list(itertools.combinations(range(HALVES), taken))
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 b = batch.slice(lo, 1000)
-                halves = np.array(b.column(2).to_pylist(), dtype=np.int64).view(np.uint64)
+                halves = np.array(b.column(1).to_pylist(), dtype=np.int64).view(np.uint64)
                 if not len(halves):
                     continue
                 # a half key is mixed with its place, so no two tables share keys
@@ -152,21 +153,15 @@ def table_keys(docs: DataFrame, taken: int) -> DataFrame:
                 keys = np.zeros((len(halves), len(tables)), dtype=np.uint64)
                 for k in range(taken):
                     keys += own[:, [t[k] for t in tables]]
-                rep, n = (np.repeat(c.to_numpy(), len(tables)) for c in (b.column(0), b.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(mix(keys).view(np.int64).reshape(-1)), pa.array(rep), pa.array(n)], ["key", "b", "nb"])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(keys).view(np.int64).reshape(-1)), pa.array(np.repeat(b.column(0).to_numpy(), len(tables)))], ["key", "b"])
 
-    return docs.select("rep", "n", "halves").mapInArrow(run, "key long, b long, nb long")
+    return docs.select("rep", "halves").mapInArrow(run, "key long, b long")
 
 
 def starred(rows: DataFrame) -> DataFrame:
-    """Bucket rows (key, b, nb) with each bucket's size and first member a,
-    na; buckets of one member go."""
-    heads = rows.groupBy("key").agg(F.min(F.struct("b", "nb")).alias("h"), F.count("*").alias("size")).where("size > 1")
-    return rows.join(heads.select("key", "size", F.col("h.b").alias("a"), F.col("h.nb").alias("na")), "key")
-
-
-def close(percent: int):
-    return (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)
+    """Bucket rows (key, b) with each bucket's size and first member a;
+    buckets of one member go."""
+    return rows.join(rows.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("size")).where("size > 1"), "key")
 
 
 class Links:
@@ -177,8 +172,7 @@ class Links:
         self.all, self.found, self.fresh = None, None, False
 
     def add(self, pairs: DataFrame) -> None:
-        pairs = pairs.where(close(self.percent)).select("a", "b").distinct()
-        pairs = stored(likely(pairs, self.reps, self.percent), "pairs")
+        pairs = stored(likely(pairs.select("a", "b").distinct(), self.reps, self.percent), "pairs")
         if self.all is None or not pairs.isEmpty():
             more = stored(confirmed(pairs, self.texts, self.k, self.percent), "links")
             self.all = more if self.all is None else self.all.unionByName(more)
@@ -198,7 +192,7 @@ class Links:
 
 def cross_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of a bucket's members that are in different components."""
-    first = rows.select("key", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("c").alias("ca"))
+    first = rows.select("key", F.col("b").alias("a"), F.col("c").alias("ca"))
     return rows.join(first, "key").where((F.col("b") > F.col("a")) & (F.col("c") != F.col("ca")))
 
 
@@ -207,7 +201,7 @@ def outsiders(rows: DataFrame) -> DataFrame:
     members of all other components."""
     count = rows.groupBy("key", "c").agg(F.count("*").alias("k"))
     main = count.groupBy("key").agg(F.max(F.struct("k", "c")).alias("m")).select("key", F.col("m.c").alias("mc"))
-    out = rows.join(main, "key").where("c <> mc").select("key", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("c").alias("ca"))
+    out = rows.join(main, "key").where("c <> mc").select("key", F.col("b").alias("a"), F.col("c").alias("ca"))
     return rows.join(out, "key").where(F.col("c") != F.col("ca"))
 
 
@@ -223,7 +217,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, seed: int =
         links.add(members.where(F.col("a") != F.col("b")))
         placed = links.placed(members)
         split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        still = stored(placed.join(split, "key").select("key", "b", "nb", "c", "size"), "open")
+        still = stored(placed.join(split, "key").select("key", "b", "c", "size"), "open")
         drop_stored(members)
         links.add(cross_pairs(still.where(F.col("size") <= PAIRWISE)))
         large = still.where(F.col("size") > PAIRWISE)

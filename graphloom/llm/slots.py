@@ -28,6 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,34 +93,81 @@ def packed_ids(tokens: DataFrame, width: int) -> DataFrame:
     return tokens.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, ids binary")
 
 
-def sequences(ids: DataFrame, layout: dict, bases: dict[int, int], with_ids: bool) -> DataFrame:
-    """slot, doc_id, chunk, n_tokens, crc32 and, if asked for, the ids."""
-    stride, width, end = layout["length"] * layout["width"], layout["width"], int(layout["end"]).to_bytes(layout["width"], "little")
+def numbered(batches, layout: dict, bases: dict[int, int]):
+    """Blocks of sequences: doc_ids, chunks, sizes in ids, slots, and the ids
+    as rows of bytes."""
+    width, stride = layout["width"], layout["length"] * layout["width"]
+    end = int(layout["end"]).to_bytes(width, "little")
+    number, order = bases.get(TaskContext.get().partitionId(), 0), Feistel(layout["n"], layout["key"])
+    for b in batches:
+        docs, column, lo = b.column(0).to_pylist(), b.column(1), 0
+        while lo < len(docs):
+            texts, size = [], 0
+            while lo + len(texts) < len(docs) and size < 4_000_000:
+                texts.append(column[lo + len(texts)].as_py() + end)
+                size += len(texts[-1])
+            long = np.array([len(t) for t in texts])
+            count = -(-long // stride)
+            at = np.cumsum(count) - count
+            rows = np.tile(np.frombuffer(end, dtype=np.uint8), (int(count.sum()), layout["length"]))
+            flat = rows.reshape(-1)
+            for i, t in zip((at * stride).tolist(), texts, strict=True):
+                flat[i : i + len(t)] = np.frombuffer(t, dtype=np.uint8)
+            chunk = np.arange(len(rows)) - np.repeat(at, count)
+            n_tokens = np.minimum(np.repeat(long, count) - chunk * stride, stride) // width
+            own = [d for d, c in zip(docs[lo : lo + len(texts)], count.tolist(), strict=True) for _ in range(c)]
+            yield own, chunk, n_tokens, order.slots(np.arange(number, number + len(rows))), rows
+            number += len(rows)
+            lo += len(texts)
+
+
+def manifest_rows(ids: DataFrame, layout: dict, bases: dict[int, int]) -> DataFrame:
+    def run(batches):
+        for own, chunk, n_tokens, slots, rows in numbered(batches, layout, bases):
+            crc = [zlib.crc32(r) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(own, pa.int64()), pa.array(chunk.astype(np.int32)), pa.array(n_tokens.astype(np.int32)), pa.array(crc, pa.int64())], ["slot", "doc_id", "chunk", "n_tokens", "crc32"])
+
+    return ids.select("doc_id", "ids").mapInArrow(run, "slot long, doc_id long, chunk int, n_tokens int, crc32 long")
+
+
+def shard_blobs(ids: DataFrame, layout: dict, bases: dict[int, int]) -> DataFrame:
+    """(shard, blob): a block's sequences for one shard, slots first,
+    compressed together for the way there."""
 
     def run(batches):
-        number, order = bases.get(TaskContext.get().partitionId(), 0), Feistel(layout["n"], layout["key"])
+        packer = zstandard.ZstdCompressor(level=3)
+        for _, _, _, slots, rows in numbered(batches, layout, bases):
+            order = np.argsort(slots)
+            slots, rows = slots[order], rows[order]
+            shards, first = np.unique(slots // layout["per_shard"], return_index=True)
+            blobs = [packer.compress(slots[i:j].tobytes() + rows[i:j].tobytes()) for i, j in zip(first, [*first[1:], len(slots)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
+
+    return ids.select("doc_id", "ids").mapInArrow(run, "shard int, blob binary")
+
+
+def in_order(blobs: DataFrame, layout: dict) -> DataFrame:
+    """The records of each partition's shard, which fits into memory as its
+    number of slots is fixed, by slot."""
+    stride = layout["length"] * layout["width"]
+
+    def run(batches):
+        slots, rows, opener = [], [], zstandard.ZstdDecompressor()
         for b in batches:
-            lo = 0
-            docs = b.column(0).to_pylist()
-            column = b.column(1)
-            while lo < len(docs):
-                out, size = ([], [], [], [], []), 0
-                while lo < len(docs) and size < 4_000_000:
-                    raw = column[lo].as_py() + end
-                    for c in range(0, len(raw), stride):
-                        piece = raw[c : c + stride]
-                        piece_ids = piece + end * ((stride - len(piece)) // width)
-                        for to, x in zip(out, (docs[lo], c // stride, len(piece) // width, zlib.crc32(piece_ids), zlib.compress(piece_ids, 1) if with_ids else None), strict=True):
-                            to.append(x)
-                    size += len(raw)
-                    lo += 1
-                n = len(out[0])
-                slots = order.slots(np.arange(number, number + n))
-                number += n
-                arrays = [pa.array(slots), *(pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True))]
-                yield pa.RecordBatch.from_arrays(arrays, ["slot", "doc_id", "chunk", "n_tokens", "crc32", "packed"]).select(range(6 if with_ids else 5))
-
-    return ids.select("doc_id", "ids").mapInArrow(run, "slot long, doc_id long, chunk int, n_tokens int, crc32 long" + ", packed binary" * with_ids)
+            for blob in b.column(1):
+                raw = opener.decompress(blob.as_py())
+                n = len(raw) // (stride + 8)
+                slots.append(np.frombuffer(raw, dtype=np.int64, count=n))
+                rows.append(np.frombuffer(raw, dtype=np.uint8, offset=8 * n).reshape(n, stride))
+        if slots:
+            order = np.argsort(np.concatenate(slots))
+            rows = np.concatenate(rows)
+            for lo in range(0, len(order), 4096):
+                part = rows[order[lo : lo + 4096]]
+                at = pa.array(np.arange(len(part) + 1, dtype=np.int32) * stride)
+                yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, at.buffers()[1], pa.py_buffer(part.tobytes())])], ["record"])
+
+    return blobs.mapInArrow(run, "record binary")
 
 
 def materialise(ids: DataFrame, path: str, key: int = 20240229, length: int = 512, width: int = 1, end: int = BYTE_END, per_shard: int = 65_536, stable: bool = True):
@@ -137,15 +185,10 @@ def materialise(ids: DataFrame, path: str, key: int = 20240229, length: int = 51
     layout = {"n": n, "key": key, "length": length, "width": width, "end": end, "per_shard": per_shard, "stride": bytes_each + 1}
     shard, offset = F.expr(f"slot div {per_shard}"), (F.col("slot") % per_shard) * (bytes_each + 1)
     if n:
-        dealt = sequences(ids, layout, bases, True).select("slot", "packed").repartitionById(-(-n // per_shard), F.expr(f"cast(slot div {per_shard} as int)")).sortWithinPartitions("slot")
-
-        def unpack(batches):
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([zlib.decompress(x.as_py()) for x in b.column(1)], pa.binary())], ["record"])
-
-        dealt.mapInArrow(unpack, "record binary").select(F.col("record").cast("string").alias("record")).write.option("lineSep", "\n").text(f"{path}/shards")
+        dealt = shard_blobs(ids, layout, bases).repartitionById(-(-n // per_shard), F.col("shard"))
+        in_order(dealt, layout).select(F.col("record").cast("string").alias("record")).write.option("lineSep", "\n").text(f"{path}/shards")
     spark.createDataFrame([(json.dumps(layout),)], "layout string").coalesce(1).write.text(f"{path}/layout")
-    manifest = sequences(ids, layout, bases, False).select("doc_id", "chunk", "slot", shard.alias("shard"), offset.alias("byte_offset"), "n_tokens", "crc32")
+    manifest = manifest_rows(ids, layout, bases).select("doc_id", "chunk", "slot", shard.alias("shard"), offset.alias("byte_offset"), "n_tokens", "crc32")
     return layout, manifest
 
 
