@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WordHasher
+from graphloom.llm.common import WordHasher, mix
 
 STATS = ["words", "bytes", "word_bytes", "upper", "shouted", "symbols", "bangs", "bars", "digits", "high", "marked", "stops", "again", "lines", "line_words", "spread"]
 #: The added column of statistics.
@@ -61,9 +61,10 @@ def block_stats(hasher: WordHasher, classes: np.ndarray, data: np.ndarray, offse
     stops = classes[7][last]
     again = np.zeros(len(words))
     again[1:] = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
-    order = np.lexsort((words, doc))
-    w, d = words[order], doc[order]
-    distinct = np.bincount(d, weights=np.append(True, (w[1:] != w[:-1]) | (d[1:] != d[:-1])) if len(w) else None, minlength=n)
+    own = mix(words + mix(doc.astype(np.uint64)))  # a text's word, told from other texts'
+    order = np.argsort(own)
+    fresh = np.append(True, own[order][1:] != own[order][:-1]) if len(own) else np.zeros(0)
+    distinct = np.bincount(doc[order], weights=fresh, minlength=n)
     some, letters, any_bytes = np.maximum(count, 1), np.maximum(sums[0] + sums[1], 1), np.maximum(size, 1)
     solid = np.bincount(doc, weights=ends - starts, minlength=n)
     return np.column_stack([
