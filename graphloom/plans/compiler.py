@@ -485,6 +485,11 @@ class Compiler:
         if frame.df is None:
             df, node = self.bind_nodes(names[near], labels[near // 2])
             frame = self.with_props(Frame(df, {names[near]: node}), items[near], names[near])
+        defs = self.schema.edges_of(r.types)
+        chained = any(not z or not a or z & a for d in defs for _, z in self.ends(d, r.direction) for e in defs for a, _ in self.ends(e, r.direction))
+        if not chained and least > 1:
+            raise CypherError(f"{'|'.join(r.types) or 'no type'} can't follow itself, so a path of {least} hops is impossible")
+        most = most if chained else min(most, 1)
         o = self.path_edges(r, labels[near // 2], labels[far // 2])
         starts, b = self.walk_ends(frame, names[near])
         found = paths.walks(starts, o.df, least, most)
