@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,16 +156,45 @@ def blocks(batch, most: int = 2_000_000):
 # ------------------------------------------------------------- components
 
 
+#: Links up to which components are found in one task (about 10 MB there).
+ONE_TASK = 200_000
+
+
+def united(edges: DataFrame) -> DataFrame:
+    """Components of a bounded number of links (u, v), by union-find."""
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                u, v = top(u), top(v)
+                root[max(u, v)] = min(u, v)
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star.
 
     edges: columns a, b (long).  Returns (node, component) for every node
     with an edge; component is its smallest member.  A round is two
     aggregations with map-side combine and two joins that AQE can split;
-    links never reach the driver, only a count and a checksum do.
+    links never reach the driver, only a count and a checksum do.  Few links
+    (at most ONE_TASK) are united in one task, which needs no rounds.
     """
     one = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     now, seen = stored(one, "links"), None
+    if now.count() <= ONE_TASK:
+        return united(now)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -73,6 +73,7 @@ def first_rates(histogram: DataFrame, most: float) -> DataFrame:
     """(key, lam, lo, hi) from at most a few thousand size bins a source."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
         mean = pdf["source_size"].iloc[0] / max(pdf["n_docs"].iloc[0], 1)
         target, words, z = pdf["target"].iloc[0], pdf["words"].to_numpy(float), pdf["words"].to_numpy(float) / pdf["n"].to_numpy(float) / max(mean, 1e-9)
         lo, hi, lam = -700.0 / max(z.min(), 1e-3), np.log(most) / max(z.min(), 1e-9) if len(z) else 1.0, 0.0
@@ -98,7 +99,9 @@ def rates(sizes: DataFrame, most: float = 3.0) -> DataFrame:
     rate = F.exp(F.least(F.greatest(tilt, F.lit(-700.0)), F.lit(float(np.log(most)))))
     for _ in range(4):
         grouped = keyed.groupBy("key", "size").agg(F.count("*").alias("n")).join(state.where("lam IS NOT NULL"), "key")
-        sums = grouped.groupBy("key").agg(F.sum(F.col("n") * F.col("size") * rate).alias("taken"), F.sum(F.when(tilt < float(np.log(most)), F.col("n") * F.col("size") * rate * z)).alias("slope"))
+        # sums of decimals do not depend on the order of the rows
+        exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
+        sums = grouped.groupBy("key").agg(exact(F.col("n") * F.col("size") * rate).alias("taken"), exact(F.when(tilt < float(np.log(most)), F.col("n") * F.col("size") * rate * z)).alias("slope"))
         moved = state.join(sums, "key", "left").withColumn("lam", F.col("lam") - F.coalesce((F.col("taken") - F.col("target")) / F.nullif("slope", F.lit(0.0)), F.lit(0.0)))
         state = stored(moved, "rates")
         worst = state.agg(F.max(F.abs(F.col("taken") - F.col("target")) / F.greatest("target", F.lit(1.0)))).first()[0] or 0

@@ -70,7 +70,9 @@ def test_word_hashes():
     assert h[0] == h[2] == h[5] and h[0] != h[1] and len(set(h.tolist())) == 3
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(common, "ONE_TASK", one_task)
     rnd = random.Random(3)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)]
     par = {x: x for e in edges for x in e}
