@@ -59,6 +59,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def long_id(df: DataFrame, name: str = "doc_id"):
+    """The id as long; a plain column where it is one already, so that plans
+    of the same scan stay the same and Spark reuses their exchanges."""
+    return F.col(name) if df.schema[name].dataType.simpleString() == "bigint" else F.col(name).cast("long").alias(name)
+
+
 def text_bytes(df: DataFrame, *keys: str) -> DataFrame:
     """keys and the text as bytes (null: empty), which need no decoding."""
     return df.select(*keys, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))

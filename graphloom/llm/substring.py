@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WordHasher, blocks, grams, text_bytes
+from graphloom.llm.common import WordHasher, blocks, grams, long_id, text_bytes
 
 PHRASE = 5
 #: Windows that one automaton holds; a shard compiles as many as it needs.
@@ -62,7 +62,8 @@ def anchors_of(hasher: WordHasher, data, offsets, length: int):
     for i in range(1, length - phrase + 1):
         np.minimum(low, g[i : i + n], out=low)
     at = np.flatnonzero(doc[:n] == doc[length - 1 :])
-    return starts, ends, doc, at, low[at]
+    # 48 bits are enough for a route and travel lighter
+    return starts, ends, doc, at, low[at] >> np.uint64(16)
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -233,7 +234,7 @@ def covered_words(texts: DataFrame, length: int = 13) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = 13, as_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, and the kept words: as their SHA-256
     (kept_sha256), or themselves (kept) with as_text."""
-    all_texts = text_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    all_texts = text_bytes(docs.select(long_id(docs), "text"), "doc_id")
     # one and the same exchange of the texts serves both joins
     texts = all_texts.where("doc_id IS NOT NULL")
     both = texts.join(covered_words(texts, length), "doc_id", "left").select("doc_id", "spans", "text")
