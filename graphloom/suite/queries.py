@@ -112,7 +112,7 @@ add("g55_composite_hop", "MATCH (a:Turn)-[:NEXT_TURN]->(b:Turn) WHERE a.role = '
 add("g56_pagerank", "CALL pagerank(graph: 'star', nodeLabels: 'Nation', relationshipTypes: 'TOP_TRADE', maxIterations: 3, dampingFactor: 0.85) YIELD node_id, pagerank RETURN node_id AS id, round(pagerank, 6) AS rank",
     f"WITH {TRADE_SQL}, l AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM top_trade), r1 AS (SELECT dst AS id, 0.15 + 0.85 * sum(0.04 / deg) AS r FROM l GROUP BY 1), r2 AS (SELECT dst AS id, 0.15 + 0.85 * sum(r / deg) AS r FROM l JOIN r1 ON src = id GROUP BY 1), r3 AS (SELECT dst AS id, 0.15 + 0.85 * sum(r / deg) AS r FROM l JOIN r2 ON src = id GROUP BY 1) SELECT id, round(r, 6) AS rank FROM r3")
 add("g57_order_nulls", "UNWIND [3, null, 1] AS x WITH x ORDER BY x DESC LIMIT 2 RETURN x", "SELECT x FROM (SELECT unnest([CAST(3 AS BIGINT), NULL, 1]) AS x) ORDER BY x DESC NULLS FIRST LIMIT 2")
-add("g58_native_functions", "MATCH (p:Part) RETURN spark.approx_percentile(p.size, 0.5, 10000) AS mid, spark.max_by(p.id, p.price) AS dearest, ch.argMin(p.id, p.price) AS cheapest", "SELECT quantile_disc(p_size, 0.5) AS mid, max_by(p_partkey, p_retailprice) AS dearest, min_by(p_partkey, p_retailprice) AS cheapest FROM part")
+add("g58_native_functions", "MATCH (p:Part) RETURN spark.approx_percentile(p.size, 0.5, 10000) AS mid, spark.max_by(p.price, p.id) AS dearest, ch.argMin(p.price, p.id) AS cheapest", "SELECT quantile_disc(p_size, 0.5) AS mid, max_by(p_retailprice, p_partkey) AS dearest, min_by(p_retailprice, p_partkey) AS cheapest FROM part")
 
 
 def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
