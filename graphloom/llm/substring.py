@@ -37,6 +37,7 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,27 @@ def anchors_of(hasher: WordHasher, data, offsets, length: int):
     return starts, ends, doc, at, low[at] >> np.uint64(16)
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """texts with each text compressed for the way through an exchange."""
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packer.compress(t.as_py()) for t in b.column(1)], pa.binary())], ["doc_id", "text"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, text binary")
+
+
+def unpacked(batches, rows: int = 1000):
+    """Batches of at most so many rows, the last column decompressed."""
+    opener = zstandard.ZstdDecompressor()
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            part = b.slice(i, rows)
+            texts = [opener.decompress(t.as_py()) for t in part.column(part.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.binary())], part.schema.names)
+
+
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     """(anchor, low, high, n): least and greatest doc_id, and the number of
     documents, by anchor and block."""
@@ -111,13 +133,13 @@ def doc_anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
 
 def passage_rows(candidates: DataFrame, length: int) -> DataFrame:
-    """(doc_id, anchors, routes, text) -> (route, doc_id, start, size, mark,
+    """(doc_id, anchors, routes, packed text) -> (route, doc_id, start, size, mark,
     words): runs of windows of one route, with the words that they cover;
     mark is the MD5 of these."""
 
     def run(batches):
         hasher = WordHasher()
-        for b in batches:
+        for b in unpacked(batches):
             ids, anchors, routes = b.column(0).to_numpy(zero_copy_only=False), b.column(1), b.column(2)
             for row, data, offsets in blocks(b):
                 starts, ends, doc, at, low = anchors_of(hasher, data, offsets, length)
@@ -215,14 +237,14 @@ def located(passages: DataFrame, length: int) -> DataFrame:
     return dealt.select("route", "words", "first_doc", "mark").mapInArrow(run, "route long, mark binary, first_doc long, found array<int>")
 
 
-def covered_words(texts: DataFrame, length: int = 13) -> DataFrame:
+def covered_words(texts: DataFrame, bundle: DataFrame, length: int = 13) -> DataFrame:
     """(doc_id, spans): what to remove, as start and end word of each piece.
     texts: doc_id (not null), text as bytes."""
     seen = anchor_rows(texts, length).groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     part = F.pmod("anchor", F.ceil(F.col("n") / ROUTE_DOCS).cast("long"))
     recurring = seen.where("low < high").select("anchor", F.xxhash64("low", part).alias("route"))
     anchors = doc_anchor_rows(texts, length).join(recurring, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("route").alias("routes"))
-    passages = passage_rows(anchors.join(texts, "doc_id"), length)
+    passages = passage_rows(anchors.join(bundle, "doc_id"), length)
     found = located(passages, length)
     back = passages.select("route", "mark", "doc_id", "start", "size").join(found, ["route", "mark"])
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b")))
@@ -237,28 +259,27 @@ def without_repeats(docs: DataFrame, length: int = 13, as_text: bool = False) ->
     all_texts = text_bytes(docs.select(long_id(docs), "text"), "doc_id")
     # one and the same exchange of the texts serves both joins
     texts = all_texts.where("doc_id IS NOT NULL")
-    both = texts.join(covered_words(texts, length), "doc_id", "left").select("doc_id", "spans", "text")
+    bundle = packed(texts)
+    both = bundle.join(covered_words(texts, bundle, length), "doc_id", "left").select("doc_id", "spans", "text")
     none = F.lit(None).cast(both.schema["spans"].dataType)
-    both = both.unionByName(all_texts.where("doc_id IS NULL").select("doc_id", none.alias("spans"), "text"))
+    both = both.unionByName(packed(all_texts.where("doc_id IS NULL")).select("doc_id", none.alias("spans"), "text"))
     name = "kept" if as_text else "kept_sha256"
 
     def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                total, gone, kept = [], [], []
-                for spans, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    words = text.split()
-                    total.append(len(words))
-                    if spans:
-                        keep = np.zeros(len(words) + 1, dtype=np.int64)
-                        np.add.at(keep, [s["a"] for s in spans], 1)
-                        np.add.at(keep, [s["b"] for s in spans], -1)
-                        keep = np.cumsum(keep)[:-1] == 0
-                        words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                    gone.append(total[-1] - len(words))
-                    said = b" ".join(words)
-                    kept.append(said.decode("utf-8", "replace") if as_text else hashlib.sha256(said).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", name])
+        for part in unpacked(batches, 500):
+            total, gone, kept = [], [], []
+            for spans, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                words = text.split()
+                total.append(len(words))
+                if spans:
+                    keep = np.zeros(len(words) + 1, dtype=np.int64)
+                    np.add.at(keep, [s["a"] for s in spans], 1)
+                    np.add.at(keep, [s["b"] for s in spans], -1)
+                    keep = np.cumsum(keep)[:-1] == 0
+                    words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+                gone.append(total[-1] - len(words))
+                said = b" ".join(words)
+                kept.append(said.decode("utf-8", "replace") if as_text else hashlib.sha256(said).hexdigest())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", name])
 
     return both.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} string")
