@@ -142,7 +142,7 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def blocks(batch, most: int = 2_000_000):
+def blocks(batch, most: int = 1_000_000):
     """Cut an Arrow batch whose last column is binary into runs of rows of at
     most about `most` bytes: (first row, bytes, offsets from 0)."""
     column = batch.column(batch.num_columns - 1)

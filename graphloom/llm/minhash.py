@@ -38,7 +38,7 @@ from graphloom.llm.common import WordHasher, blocks, components, drop_stored, gr
 
 HALVES, DEPTH = 13, 3
 #: Members of a bucket up to which it is compared pair by pair.
-PAIRWISE = 64
+PAIRWISE = 16
 #: Half keys that the finest tables combine.
 MOST_TAKEN = 4
 

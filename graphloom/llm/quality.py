@@ -79,7 +79,7 @@ def text_stats(texts: pd.Series) -> pd.DataFrame:
     i = 0
     while i < len(values):
         j, size = i, 0
-        while j < len(values) and (j == i or size < 2_000_000):
+        while j < len(values) and (j == i or size < 1_000_000):
             size += len(values[j])
             j += 1
         part = values[i:j]
