@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import stored
 
 #: Documents that one rounding group holds on average.
-GROUP = 20_000
+GROUP = 4_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
