@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache, partial
+
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,18 +55,25 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def star(spark: SparkSession, sf_dir: str) -> Graph:
-    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in TABLES}
-    c = t["conversations"].select("conv_id", "turn")
-    t["turns"] = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"]).select("conv_id", "turn", (F.col("turn") + 1).alias("next_turn"))
-    pairs = (
-        t["lineitem"].select("l_orderkey", "l_suppkey").join(t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-        .join(t["customer"].select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("src")), "o_custkey")
-        .join(t["supplier"].select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst")), "l_suppkey")
-        .groupBy("src", "dst").agg(F.count("*").alias("items"))
-    )
-    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("items"), "dst"))
-    t["top_trade"] = pairs.withColumn("r", place).where("r <= 3").select("src", "dst", "items")
-    return Graph(spark, STAR, t)
+    """The graph; a table is opened when a query first needs it."""
+    read = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+    def turns():
+        c = read("conversations").select("conv_id", "turn")
+        return c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"]).select("conv_id", "turn", (F.col("turn") + 1).alias("next_turn"))
+
+    def top_trade():
+        pairs = (
+            read("lineitem").select("l_orderkey", "l_suppkey").join(read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+            .join(read("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("src")), "o_custkey")
+            .join(read("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst")), "l_suppkey")
+            .groupBy("src", "dst").agg(F.count("*").alias("items"))
+        )
+        place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("items"), "dst"))
+        return pairs.withColumn("r", place).where("r <= 3").select("src", "dst", "items")
+
+    tables = {n: partial(read, n) for n in TABLES} | {"turns": cache(turns), "top_trade": cache(top_trade)}
+    return Graph(spark, STAR, tables)
 
 
 #: The derived tables, for the SQL side.
