@@ -5,17 +5,19 @@ many, are counted once.  Each class's text gets a few half keys of a few
 minhashes each; all pairs of half keys are the table keys, which needs about
 the square root of the minhashes that independent tables would.  With the
 defaults (13 half keys of 3) two sets of similarity 0.8 share no table with
-probability 0.0012, and of 0.9 below one in a million.
+probability 0.0013, of 0.85 0.0001, and of 0.9 two in a million.
 
 A candidate pair's minhashes are compared first: one whose share of equal ones
 is 4.5 standard deviations below what the similarity needs is none (a similar
 pair is lost so with probability 0.00001).  The others are compared on full
 sets.  Within a table's bucket every member is compared with the first.  Where
 a bucket is then still in several components, a small one is compared pair by
-pair across components, and the members of a larger one go through tables of
-three half keys, then of four (similar documents share half of them).  In what
-is still large then, each member outside its bucket's largest component is
-compared with all other components.  No cap on members or candidates.
+pair across components, and the members of a larger one are first linked by
+tables of three half keys, then of four (similar documents share half of them).
+What is then still in different components of a larger bucket is compared pair
+by pair as well, in blocks of bounded size, sketches first.  So every pair that
+shares a table is compared or in one component; no cap on members or
+candidates.
 
 Edge cases: a null text or one without words has an empty set and links with
 nothing; fewer words than a shingle give one shingle; repeated rows of one
@@ -30,6 +32,7 @@ import hashlib
 import itertools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +44,8 @@ HALVES, DEPTH = 13, 3
 PAIRWISE = 16
 #: Half keys that the finest tables combine.
 MOST_TAKEN = 4
+#: Members of a block of a larger bucket, on average.
+BLOCK = 4096
 
 
 def shingle_sets(hasher: WordHasher, data, offsets, k: int):
@@ -103,11 +108,16 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
+def least_equal(percent: int) -> int:
+    """Equal minhashes that a similar pair has, less 4.5 deviations."""
+    n, p = HALVES * DEPTH, percent / 100
+    return int(n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
+
+
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sizes and minhashes don't rule them
     out."""
-    n, p = HALVES * DEPTH, percent / 100
-    least = int(n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
+    n, least = HALVES * DEPTH, least_equal(percent)
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"of_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
@@ -137,6 +147,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return sides.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def placed_halves(halves: np.ndarray) -> np.ndarray:
+    """Half keys mixed with their places, so no two tables share keys."""
+    return mix(halves.view(np.uint64) + mix(np.arange(1, HALVES + 1, dtype=np.uint64)))
+
+
+def pair_key(halves: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The key of each row in the table of its half keys i and j."""
+    own, at = placed_halves(halves), np.arange(len(halves))
+    return mix(own[at, i] + own[at, j]).view(np.int64)
+
+
 def table_keys(docs: DataFrame, taken: int) -> DataFrame:
     """(key, b): a key for each choice of `taken` half keys."""
     tables = list(itertools.combinations(range(HALVES), taken))
@@ -145,11 +166,10 @@ def table_keys(docs: DataFrame, taken: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 b = batch.slice(lo, 1000)
-                halves = np.array(b.column(1).to_pylist(), dtype=np.int64).view(np.uint64)
+                halves = np.array(b.column(1).to_pylist(), dtype=np.int64)
                 if not len(halves):
                     continue
-                # a half key is mixed with its place, so no two tables share keys
-                own = mix(halves + mix(np.arange(1, HALVES + 1, dtype=np.uint64)))
+                own = placed_halves(halves)
                 keys = np.zeros((len(halves), len(tables)), dtype=np.uint64)
                 for k in range(taken):
                     keys += own[:, [t[k] for t in tables]]
@@ -172,7 +192,10 @@ class Links:
         self.all, self.found, self.fresh = None, None, False
 
     def add(self, pairs: DataFrame) -> None:
-        pairs = stored(likely(pairs.select("a", "b").distinct(), self.reps, self.percent), "pairs")
+        self.add_likely(likely(pairs.select("a", "b").distinct(), self.reps, self.percent))
+
+    def add_likely(self, pairs: DataFrame) -> None:
+        pairs = stored(pairs, "pairs")
         if self.all is None or not pairs.isEmpty():
             more = stored(confirmed(pairs, self.texts, self.k, self.percent), "links")
             self.all = more if self.all is None else self.all.unionByName(more)
@@ -190,19 +213,64 @@ class Links:
         return rows.join(self.found.withColumnRenamed("node", "b"), "b", "left").withColumn("c", F.coalesce("component", "b")).drop("component")
 
 
+def split(placed: DataFrame) -> DataFrame:
+    """The members (key, b, c, size) of buckets in several components."""
+    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    return stored(placed.join(several, "key").select("key", "b", "c", "size"), "open")
+
+
 def cross_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of a bucket's members that are in different components."""
     first = rows.select("key", F.col("b").alias("a"), F.col("c").alias("ca"))
     return rows.join(first, "key").where((F.col("b") > F.col("a")) & (F.col("c") != F.col("ca")))
 
 
-def outsiders(rows: DataFrame) -> DataFrame:
-    """Pairs of each member outside its bucket's largest component with the
-    members of all other components."""
-    count = rows.groupBy("key", "c").agg(F.count("*").alias("k"))
-    main = count.groupBy("key").agg(F.max(F.struct("k", "c")).alias("m")).select("key", F.col("m.c").alias("mc"))
-    out = rows.join(main, "key").where("c <> mc").select("key", F.col("b").alias("a"), F.col("c").alias("ca"))
-    return rows.join(out, "key").where(F.col("c") != F.col("ca"))
+def block_pairs(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b) of members of a large bucket that are in different
+    components, each pair once: in the first table that it shares.
+
+    A bucket's members are dealt into blocks, and each two blocks meet in one
+    task.  A pair is compared there in numpy, so that only likely ones leave."""
+    n, least = HALVES * DEPTH, least_equal(percent)
+    of = reps.select(F.col("rep").alias("b"), "n", "halves", "sketch")
+    dealt = rows.withColumn("s", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("b"), "s").cast("int"))
+    meet = dealt.select("key", "b", "c", "block", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other"))
+    meet = meet.select("key", "b", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).join(of, "b")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, c, size = (pdf[x].to_numpy() for x in ("b", "c", "n"))
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(-1, n)
+        halves, block, key = np.array(pdf["halves"].tolist(), dtype=np.int64), pdf["block"].to_numpy(), pdf["key"].iloc[0]
+        within = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
+        # pairs inside the most frequent component need no look
+        kinds, times = np.unique(c, return_counts=True)
+        out = c != kinds[times.argmax()]
+        asked = np.flatnonzero(out)
+        found = []
+        for lo in range(0, len(asked), 256):
+            i = asked[lo : lo + 256]
+            same = np.zeros((len(i), len(ids)), dtype=np.uint8)
+            for k in range(n):
+                same += sketch[i, k][:, None] == sketch[:, k]
+            # two that are both asked meet once
+            fine = (same >= least) & (c[i][:, None] != c) & (~out | (ids[i][:, None] < ids))
+            if not within:
+                fine &= block[i][:, None] != block
+            x, y = np.nonzero(fine)
+            x = i[x]
+            sizes = np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * percent
+            x, y = x[sizes], y[sizes]
+            for at in range(0, len(x), 100_000):
+                p, q = x[at : at + 100_000], y[at : at + 100_000]
+                equal = halves[p] == halves[q]
+                first = equal.argmax(1)
+                equal[np.arange(len(p)), first] = False
+                here = equal.any(1) & (pair_key(halves[p], first, equal.argmax(1)) == key)
+                found.append(np.stack([ids[p[here]], ids[q[here]]]))
+        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+        return pd.DataFrame({"a": both.min(0), "b": both.max(0)})
+
+    return meet.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, seed: int = 7) -> DataFrame:
@@ -211,22 +279,20 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, seed: int =
     signed = stored(signatures(texts, k, seed), "signed")
     classes = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
     reps = stored(classes, "classes")
-    links, docs_left = Links(reps, texts, k, percent), reps
+    links, docs_left, large = Links(reps, texts, k, percent), reps, None
     for taken in range(2, MOST_TAKEN + 1):
         members = stored(starred(table_keys(docs_left, taken)), "members")
         links.add(members.where(F.col("a") != F.col("b")))
-        placed = links.placed(members)
-        split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        still = stored(placed.join(split, "key").select("key", "b", "c", "size"), "open")
-        drop_stored(members)
-        links.add(cross_pairs(still.where(F.col("size") <= PAIRWISE)))
-        large = still.where(F.col("size") > PAIRWISE)
-        if large.isEmpty():
-            break
-        if taken == MOST_TAKEN:
-            links.add(outsiders(large))
-        else:
+        if taken == 2:
+            still = split(links.placed(members))
+            links.add(cross_pairs(still.where(F.col("size") <= PAIRWISE)))
+            large = still.where(F.col("size") > PAIRWISE)
+            if large.isEmpty():
+                break
             docs_left = stored(reps.join(large.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi"), "left")
+        drop_stored(members)
+    if not large.isEmpty():
+        links.add_likely(block_pairs(split(links.placed(large.drop("c"))), reps, percent))
     by_class = reps.join(links.components().withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(by_class, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

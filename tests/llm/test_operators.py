@@ -228,6 +228,25 @@ def test_minhash_large_buckets(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
 
 
+def test_minhash_few_shared_half_keys(spark, monkeypatch):
+    """Similar pairs that share only two or three half keys, in buckets that
+    others of less similarity make large."""
+    rows = []
+    for g in (25, 45, 90, 164, 418, 439):
+        rnd = random.Random(g)
+        base = [f"g{g}w{i}" for i in range(90)]
+        sets = [rnd.sample(base, 75) + [f"g{g}z{n}-{j}" for j in range(10)] for n in range(12)]
+        sets += [base + [f"g{g}{x}{j}" for j in range(11)] for x in "xy"]
+        rows += [(g * 100 + n, " ".join(s)) for n, s in enumerate(sets)]
+    want = {i: c for i, (_, c) in shingle_truth(rows, 1, 80).items()}
+    assert sum(i != c for i, c in want.items()) == 6
+    for block in (4096, 5):
+        monkeypatch.setattr(minhash, "PAIRWISE", 4)
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
 # ------------------------------------------------------- language, licenses
 
 
