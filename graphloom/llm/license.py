@@ -1,8 +1,9 @@
 """Operator 7: license scan as an exact set-similarity join.
 
 Templates are short license notices.  A text block (a line, or overlapping
-runs of a longer line's words) matches a template if it holds at least
-`threshold` of the template's distinct words.  The tokens of all templates are
+runs of the words of a longer line or of the whole text, as notices are often
+wrapped) matches a template if it holds at least `threshold` of the template's
+distinct words.  The tokens of all templates are
 ordered by their frequency over all documents, rarest first; a template's
 prefix are the tokens of which a match must hold one; the length filter asks
 for enough distinct words, and the positional filter gives up as soon as the
@@ -40,7 +41,7 @@ TEMPLATES = {
     "public-domain": "this work is dedicated to the public domain",
     "rights": "copyright all rights reserved",
 }
-#: Words of a long line's block, and how far its blocks are apart.  A template
+#: Words of a block of a long line or text, and how far blocks are apart.  A template
 #: of up to BLOCK - STRIDE words lies whole in some block.
 BLOCK, STRIDE = 64, 32
 #: What separates words becomes a space (a line feed stays), letters go lower.
@@ -108,7 +109,7 @@ class Scanner:
                 at = said.find(phrase, at + 1)
         best: dict[str, float] = {}
         if any(w in said for w in self.by_prefix):
-            for line in lines:
+            for line in lines if len(lines) == 1 else [*lines, [w for line in lines for w in line]]:
                 words = set(line)
                 if not self.by_prefix.keys().isdisjoint(words):
                     for i in range(0, max(len(line) - BLOCK + STRIDE, 1), STRIDE) if len(line) > BLOCK else (0,):

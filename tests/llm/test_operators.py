@@ -306,6 +306,17 @@ def test_license(spark, empty):
     assert license.scan_documents(empty).collect() == []
 
 
+def test_license_wrapped(spark):
+    """Notices as they stand in license files, wrapped."""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation"
+    long = "a b c\n" * 50
+    texts = [bsd, gpl, long + bsd.replace(" ", "\n") + long, "Redistribution and use in\nsource"]
+    got = {r.doc_id: r for r in license.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(4)] == ["bsd", "gpl,gpl-notice", "bsd", ""]
+    assert got[0].score == 1.0
+
+
 # ------------------------------------------------------------- mix and rank
 
 
