@@ -113,6 +113,15 @@ add("g56_pagerank", "CALL pagerank(graph: 'star', nodeLabels: 'Nation', relation
     f"WITH {TRADE_SQL}, l AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM top_trade), r1 AS (SELECT dst AS id, 0.15 + 0.85 * sum(0.04 / deg) AS r FROM l GROUP BY 1), r2 AS (SELECT dst AS id, 0.15 + 0.85 * sum(r / deg) AS r FROM l JOIN r1 ON src = id GROUP BY 1), r3 AS (SELECT dst AS id, 0.15 + 0.85 * sum(r / deg) AS r FROM l JOIN r2 ON src = id GROUP BY 1) SELECT id, round(r, 6) AS rank FROM r3")
 add("g57_order_nulls", "UNWIND [3, null, 1] AS x WITH x ORDER BY x DESC LIMIT 2 RETURN x", "SELECT x FROM (SELECT unnest([CAST(3 AS BIGINT), NULL, 1]) AS x) ORDER BY x DESC NULLS FIRST LIMIT 2")
 add("g58_native_functions", "MATCH (p:Part) RETURN spark.approx_percentile(p.size, 0.5, 10000) AS mid, spark.max_by(p.price, p.id) AS dearest, ch.argMin(p.price, p.id) AS cheapest", "SELECT quantile_disc(p_size, 0.5) AS mid, max_by(p_retailprice, p_partkey) AS dearest, min_by(p_retailprice, p_partkey) AS cheapest FROM part")
+# g08, g11, g35 and g45 over the whole tables
+add("g59_optional_match_whole", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.total > 400000 RETURN c.id AS id, count(o) AS big",
+    "SELECT c_custkey AS id, count(o_orderkey) AS big FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000 GROUP BY 1")
+add("g60_multi_type_whole", "MATCH (o:Order)-[e:CONTAINS|SUPPLIED_BY]->(x) RETURN type(e) AS kind, count(*) AS n, sum(e.quantity) AS quantity",
+    "SELECT kind, count(*) AS n, sum(l_quantity) AS quantity FROM (SELECT 'CONTAINS' AS kind, * FROM lineitem UNION ALL SELECT 'SUPPLIED_BY', * FROM lineitem) GROUP BY 1")
+add("g61_math_whole", "MATCH (p:Part) RETURN p.id AS id, abs(-p.size) AS a, p.size / 4 AS whole, p.size % 7 AS rest, round(p.price) AS r, ceil(p.price) AS c, floor(p.price) AS f, sign(p.size - 20) AS s, p.size ^ 2 AS sq, round(sqrt(p.size), 6) AS root",
+    "SELECT p_partkey AS id, abs(-p_size) AS a, CAST(p_size // 4 AS BIGINT) AS whole, CAST(p_size % 7 AS BIGINT) AS rest, floor(p_retailprice + 0.5) AS r, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, CAST(sign(p_size - 20) AS DOUBLE) AS s, CAST(p_size AS DOUBLE) ^ 2 AS sq, round(sqrt(p_size), 6) AS root FROM part")
+add("g62_coupled_row_whole", "MATCH (s:Supplier)<-[:SUPPLIED_BY]-(o:Order)-[:CONTAINS]->(p:Part) RETURN count(*) AS n, count(DISTINCT s) AS suppliers",
+    "SELECT count(*) AS n, count(DISTINCT a.l_suppkey) AS suppliers FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey")
 
 
 def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
