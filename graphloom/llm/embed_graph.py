@@ -3,7 +3,7 @@
 Vectors are unit vectors in double precision; equal vectors of a label are one
 node first, so copies, however many, are counted once.  A label's nodes are
 cut into overlapping shards around a few centroids (each node belongs to its
-nearest one and to the next ones that are about as near).  A shard builds a
+nearest one and to every one that may be the nearest of a node in range).  A shard builds a
 flat graph: each node's nearest members, robust-pruned, plus reverse links;
 the adjacency lists of a node's shards are united.  Then every node is searched
 in its own shard's graph: greedily from the medoid, and from itself, to the
@@ -85,7 +85,23 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def sharded(nodes: DataFrame) -> DataFrame:
+def near_shards(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each row of x, and, as a mask, all centroids
+    that may be the nearest of a vector of similarity `least` or more to it.
+
+    Such a vector is at most r away.  If centroid j is its nearest, the row's
+    similarity to any centroid i is at most r * |c_i - c_j| above that to j;
+    this is asked for each row's few nearest i."""
+    s, r = x @ c.T, np.sqrt(max(2 - 2 * least, 0))
+    best = np.argsort(-s, axis=1, kind="stable")[:, :4]
+    norms, fine = (c * c).sum(1), np.ones(s.shape, dtype=bool)
+    for i in best.T:
+        apart = np.sqrt(np.maximum(norms[i][:, None] + norms - 2 * c[i] @ c.T, 0))
+        fine &= s[np.arange(len(x)), i][:, None] - s <= r * apart + 1e-6
+    return best[:, 0], fine
+
+
+def sharded(nodes: DataFrame, least: float) -> DataFrame:
     """nodes with shard and own (whether it is the node's nearest shard)."""
     counts = nodes.groupBy("label", "dim").count().where(F.col("count") > SHARD).orderBy(F.desc("count")).limit(MOST_CENTROIDS // 2).collect()
     wanted = {(r.label, r.dim): -(-r["count"] // SHARD) for r in counts}
@@ -101,17 +117,24 @@ def sharded(nodes: DataFrame) -> DataFrame:
         for b in batches:
             labels, dims = b.column(1).to_pylist(), b.column(2).to_pylist()
             rows, shards, own = [], [], []
+            by_key: dict = {}
             for i, key in enumerate(zip(labels, dims, strict=True)):
+                by_key.setdefault(key, []).append(i)
+            for key, places in by_key.items():
                 c = sent.value.get(key)
                 if c is None:
-                    rows.append(i), shards.append(0), own.append(True)
+                    rows += places
+                    shards += [0] * len(places)
+                    own += [True] * len(places)
                     continue
-                s = c @ np.frombuffer(b.column(3)[i].as_py())
-                order = np.argsort(-s)[:3]
-                near = [j for n, j in enumerate(order.tolist()) if n < 2 or s[order[0]] - s[j] <= 0.1]
-                rows += [i] * len(near)
-                shards += near
-                own += [True] + [False] * (len(near) - 1)
+                for lo in range(0, len(places), 256):
+                    part = np.array(places[lo : lo + 256])
+                    nearest, fine = near_shards(matrix(b.column(3)[i].as_py() for i in part.tolist()), c, least)
+                    fine[np.arange(len(part)), nearest] = True
+                    at, shard = np.nonzero(fine)
+                    rows += part[at].tolist()
+                    shards += shard.tolist()
+                    own += (nearest[at] == shard).tolist()
             out = b.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(shards, pa.int32()), pa.array(own, pa.bool_())], [*out.schema.names, "shard", "own"])
 
@@ -222,7 +245,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors."""
     units = stored(unit_vectors(vectors).dropDuplicates(["vec_id", "label", "dim", "hash"]), "units")
     nodes = stored(units.groupBy("label", "dim", "hash").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "nodes")
-    placed = sharded(nodes)
+    placed = sharded(nodes, least)
     size = placed.groupBy("label", "dim", "shard").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
     keys = ["label", "dim", "shard", "block"]
     members = stored(placed.join(size, ["label", "dim", "shard"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")), "members")

@@ -129,6 +129,26 @@ def test_embedding_graph(spark, monkeypatch):
     assert embed_graph.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_embedding_graph_many_shards(spark, monkeypatch):
+    """A label in many shards: every link's ends meet in a shard of each."""
+    x = np.random.default_rng(6).normal(size=(600, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    monkeypatch.setattr(embed_graph, "SHARD", 6)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    nodes = embed_graph.unit_vectors(df).withColumnRenamed("vec_id", "rep").withColumn("n", F.lit(1).cast("long"))
+    shards, own = defaultdict(set), {}
+    for r in embed_graph.sharded(nodes, least=0.98).collect():
+        shards[r.rep].add(r.shard)
+        if r.own:
+            own[r.rep] = r.shard
+    near = np.argwhere((x @ x.T >= 0.98) & ~np.eye(len(x), dtype=bool)).tolist()
+    assert len(set(own.values())) > 60 and len(near) > 500
+    assert all(own[a] in shards[b] for a, b in near)
+    out = embed_graph.near_duplicates(df)
+    assert sum(r.n_links for r in out.collect()) == len(near)
+    assert embed_graph.recall(df, out, every=1) == 1.0
+
+
 def test_top_k(spark, monkeypatch):
     rows, df = vectors(spark)
     ints = {i: [math.floor(64 * x) for x in v] for i, v, *_ in rows if good(v) and i != 508}
