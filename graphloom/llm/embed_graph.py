@@ -8,8 +8,8 @@ flat graph: each node's nearest members, robust-pruned, plus reverse links;
 the adjacency lists of a node's shards are united.  Then every node is searched
 in its own shard's graph: greedily from the medoid, and from itself, to the
 nearest nodes, and on through all nodes in range.  Similarities are computed
-exactly, so no link is below the threshold; `recall` audits what is found
-against brute force.
+exactly, so no link is below the threshold; `recall`, a separate step, audits
+what is found against brute force.
 
 A shard of more than `BLOCK` nodes becomes several graphs, each searched for
 all of the shard's nodes, so that any shard is handled in bounded memory.
