@@ -10,7 +10,8 @@ are cut into blocks of bounded size, so a task holds one block of each, and
 the block's k best per query are merged.
 
 Edge cases: vectors that are null or hold null or non-finite components take
-no part; only vectors of equal length are compared; ties go to the smaller
+no part; only vectors of equal length are compared (lengths beyond the 256 most
+frequent have the zero vector as their pivot); ties go to the smaller
 vec_id; repeated rows of one vec_id count once (the least vector); a query
 without other vectors has no rows; an empty table gives an empty result.
 Components beyond 2**62 and scores beyond the range of long are cut there.
@@ -92,7 +93,7 @@ def plan(cells, pivots: dict[int, np.ndarray], k: int):
     for g, own in enumerate(members):
         for q in own:
             dim = q.dim
-            p, slack = pivots[dim], 1e-6
+            p, slack = pivots.get(dim, np.zeros((1, dim))), 1e-6
             mine = p[q.cell]
             data = [c for c in cells if c.dim == dim]
             mid = np.array([mine @ p[c.cell] for c in data])
@@ -150,7 +151,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         most = max(1, min(MOST_PIVOTS, n // DATA_BLOCK) // (1 if len(counts) < 8 else len(counts)))
         rows = ints.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("v").collect()
         pivots[dim] = np.unique(np.array([np.frombuffer(r.v, dtype=np.int64) for r in rows], dtype=float).reshape(len(rows), dim), axis=0)
-    placed = stored(assigned(ints.where(F.col("dim").isin(list(counts))), pivots), "placed")
+    placed = stored(assigned(ints, pivots), "placed")
     asks = F.col("vec_id") % every == 0
     cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("far"), F.count(F.when(asks, 1)).alias("nq"), F.coalesce(F.max(F.when(asks, F.col("dist"))), F.lit(0.0)).alias("farq")).collect()
     groups, needed = plan(cells, pivots, k)

@@ -165,6 +165,15 @@ def test_top_k(spark, monkeypatch):
     assert [(r.vec_id, r.rank) for r in knn.top_k(big).orderBy("rank").collect()] == [(1, 1), (2, 2)]
 
 
+def test_top_k_many_lengths(spark, monkeypatch):
+    """Vectors of a length without a pivot take part as well."""
+    monkeypatch.setattr(knn, "MOST_PIVOTS", 2)
+    rows = [(i, [float(i)] * (1 + i % 5)) for i in range(60)]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2, every=1).collect()
+    want = {(i, n + 1, j) for i, v in rows for n, j in enumerate(sorted((j for j, w in rows if j != i and len(w) == len(v)), key=lambda j: (-i * j, j))[:2])}
+    assert {(r.query_id, r.rank, r.vec_id) for r in got} == want
+
+
 def test_pruned_cells(spark, monkeypatch):
     """Far clusters are not sent, and results stay exact."""
     rnd = np.random.default_rng(4)
