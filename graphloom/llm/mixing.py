@@ -146,10 +146,19 @@ def mix_report(docs: DataFrame, most: float = 3.0) -> DataFrame:
 
 
 def resampled(docs: DataFrame, most: float = 3.0) -> DataFrame:
-    """docs as the mix has them: each row as often as its copies say."""
-    plan = mixed(docs, most).groupBy(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), F.col("size").alias("__size")).agg(F.min("copies").alias("__copies"))
+    """docs as the mix has them: each row as often as its copies say.
+
+    Rows of one doc_id (or of none), source and size take the key's copies one
+    by one: of its rows in order, as many take no more than c copies as the mix
+    has."""
+    key = ["__null", "__doc", "__key", "__size"]
+    ident = F.col("doc_id").cast("long")
+    keyed = lambda df: df.withColumn("__null", ident.isNull()).withColumn("__doc", F.coalesce(ident, F.lit(0)))
+    steps = range(max(int(most), 1))
+    plan = keyed(mixed(docs, most)).groupBy("__null", "__doc", F.col("key").alias("__key"), F.col("size").alias("__size")).agg(*(F.count(F.when(F.col("copies") <= c, 1)).alias(f"__to_{c}") for c in steps))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    own = docs.withColumn("__size", size).withColumn("__key", source_key()).withColumn("__doc", F.col("doc_id").cast("long"))
-    same = F.col("o.__doc").eqNullSafe(F.col("p.__doc")) & (F.col("o.__key") == F.col("p.__key")) & (F.col("o.__size") == F.col("p.__size"))
-    both = own.alias("o").join(plan.alias("p"), same).where("__copies > 0")
-    return both.select(*(F.col(f"o.`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), "__copies")).alias("__n")).drop("__n")
+    own = keyed(docs).withColumn("__size", size).withColumn("__key", source_key())
+    own = own.withColumn("__row", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
+    copies = sum((F.when(F.col("__row") > F.col(f"__to_{c}"), 1).otherwise(0) for c in steps), F.lit(0))
+    both = own.join(plan, key).withColumn("__copies", copies).where("__copies > 0")
+    return both.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), "__copies")).alias("__n")).drop("__n")

@@ -378,6 +378,17 @@ def test_mixing(docs, empty):
     assert mixing.mix_report(empty).collect() == []
 
 
+def test_resampled_rows_of_one_key(spark):
+    """Rows without doc_id, of one source and size, share the key's copies."""
+    rows = [(None, f"a{i} b c d", s) for s, n in (("p", 90), ("q", 30)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = sum(r.copies for r in mixing.mix_report(df).collect())
+    out = mixing.resampled(df).collect()
+    assert len(out) == want and abs(want - 120) <= 4
+    assert 30 < sum(r.source == "p" for r in out) < 60
+    assert set(out) <= set(df.collect())
+
+
 def test_quality(spark, empty):
     rnd = random.Random(8)
     rows, labels = [], []
