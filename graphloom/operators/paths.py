@@ -82,13 +82,17 @@ def shortest(starts: DataFrame, edges: DataFrame, least: int, most: int, every:
     return result
 
 
-def weighted_all(edges: DataFrame, starts: DataFrame, most: int = 50, fewest_hops: bool = False) -> DataFrame:
+def weighted_all(edges: DataFrame, starts: DataFrame, most: int | None = None, fewest_hops: bool = False) -> DataFrame:
     """(__start, node, cost, path): cheapest paths from each start over
     (source, target, weight) rows, by Bellman-Ford rounds until nothing gets
-    cheaper.  With fewest_hops only paths of the fewest hops compete."""
+    cheaper.  With fewest_hops only paths of the fewest hops compete.  It is an
+    error if costs still fall after `most` rounds, or, without it, after as
+    many as there are nodes (a cycle of negative weight)."""
     e = edges.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("weight").cast("double").alias("w"))
     best = stored(starts.select("__start", F.col("__start").alias("node"), F.lit(0.0).alias("cost"), F.array("__start").alias("path")), "cost")
     front = best
+    if most is None:
+        most = e.select("s").union(e.select("t")).distinct().count() + 1
     for _ in range(most):
         step = front.join(e, F.col("node") == F.col("s")).select("__start", F.col("t").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("t")).alias("path"))
         step = step.groupBy("__start", "node").agg(F.min(F.struct("cost", "path")).alias("m")).select("__start", "node", "m.cost", "m.path")
@@ -98,10 +102,12 @@ def weighted_all(edges: DataFrame, starts: DataFrame, most: int = 50, fewest_hop
         if front.isEmpty():
             break
         best = stored(best.join(front.select("__start", "node"), ["__start", "node"], "left_anti").unionByName(front), "cost")
+    else:
+        raise RuntimeError("path costs did not settle")
     return best
 
 
-def weighted_shortest(edges: DataFrame, source, target=None, most: int = 50, fewest_hops: bool = False) -> DataFrame:
+def weighted_shortest(edges: DataFrame, source, target=None, most: int | None = None, fewest_hops: bool = False) -> DataFrame:
     """node, cost, path: cheapest paths from one source."""
     kind = edges.schema["source"].dataType
     starts = edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("__start"))

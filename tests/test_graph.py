@@ -197,6 +197,17 @@ def test_weighted(spark):
     assert weighted_shortest(e, 1, 3, fewest_hops=True).first().cost == 5.0
 
 
+def test_weighted_long_paths(spark):
+    import pytest
+
+    from graphloom.operators.paths import weighted_shortest
+
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(52)], "source long, target long, weight double").coalesce(1)
+    assert weighted_shortest(e, 0, 52).first().cost == 52.0
+    with pytest.raises(RuntimeError):
+        weighted_shortest(e, 0, 52, most=3)
+
+
 def test_streaming(spark, tmp_path):
     from graphloom.streaming.matching import stream_query
 
