@@ -70,6 +70,12 @@ def text_bytes(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """An equi-join that is sorted and merged: files of a few repeated keys look
+    small enough to broadcast when their rows are not."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def renewed(df: DataFrame) -> DataFrame:
     """df with columns of its own identity, to be joined with its kin."""
     return df.select(*(F.col(c).alias(c) for c in df.columns))

@@ -7,23 +7,29 @@ the square root of the minhashes that independent tables would.  With the
 defaults (13 half keys of 3) two sets of similarity 0.8 share no table with
 probability 0.0013, of 0.85 0.0001, and of 0.9 two in a million.
 
-A candidate pair's minhashes are compared first: one whose share of equal ones
-is 4.5 standard deviations below what the similarity needs is none (a similar
-pair is lost so with probability 0.00001).  The others are compared on full
-sets.  Within a table's bucket every member is compared with the first.  Where
-a bucket is then still in several components, a small one is compared pair by
-pair across components, and the members of a larger one are first linked by
-tables of three half keys, then of four (similar documents share half of them).
-What is then still in different components of a larger bucket is compared pair
-by pair as well, in blocks of bounded size, sketches first.  So every pair that
-shares a table is compared or in one component; no cap on members or
-candidates.
+Two classes that share a table are candidates.  Within a table's bucket every
+member is first compared with the least one, which links near copies of one
+document, however many, in a number of comparisons that grows with the bucket.
+A bucket whose members are then still in several components is gone through
+pair by pair across components, in one task in numpy, so that only pairs whose
+sketches agree leave it.  A bucket of more than `BLOCK` members is cut first:
+into the groups that share a shingle of their prefixes (a set's rarest shingles,
+of which two similar sets share one), and a group that is still larger into
+blocks, each seen by all members outside the largest component.  So every pair
+that shares a table is compared or in one component already, whatever the
+bucket's size.
+
+A sketch keeps a byte of the least hash in each of 128 ranges; a pair whose
+sketches agree 4.5 standard deviations less than the similarity needs is none
+(a similar pair is lost so with probability 0.00001).  All others are compared
+on full sets.
 
 Edge cases: a null text or one without words has an empty set and links with
 nothing; fewer words than a shingle give one shingle; repeated rows of one
-doc_id are one document in the links and give equal rows; null doc_ids are
-returned, linked with nothing; texts of any length are read whole; extra
-columns do not matter; empty tables give empty results.
+doc_id give equal rows; rows of one doc_id with different texts are compared as
+documents of their own; null doc_ids are returned, linked with nothing (null
+component, kept); texts of any length are read whole; extra columns do not
+matter; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,20 +38,26 @@ import hashlib
 import itertools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WordHasher, blocks, components, drop_stored, grams, mix, stored, text_bytes
+from graphloom.llm.common import WordHasher, blocks, components, drop_stored, grams, merged, mix, stored, text_bytes
 
 HALVES, DEPTH = 13, 3
-#: Members of a bucket up to which it is compared pair by pair.
-PAIRWISE = 16
-#: Half keys that the finest tables combine.
-MOST_TAKEN = 4
-#: Members of a block of a larger bucket, on average.
-BLOCK = 4096
+#: Ranges of a sketch, a byte each.
+RANGES = 128
+#: Members of a bucket, or of a part of one, that are compared in one task.
+BLOCK = 1024
+#: Bits of the hash by which shingles are counted for the prefixes' order.
+COUNT_BITS = 18
+#: Values of the hash by which texts are left out before they are shuffled.
+FILTER = 1 << 20
+#: Bytes of text that are hashed at a time.
+TEXT_BLOCK = 500_000
+
+
+# ------------------------------------------------------- sets and signatures
 
 
 def shingle_sets(hasher: WordHasher, data, offsets, k: int):
@@ -65,75 +77,102 @@ def shingle_sets(hasher: WordHasher, data, offsets, k: int):
             yield np.zeros(0, dtype=np.uint64)
 
 
+def sketched(s: np.ndarray) -> bytes:
+    """The least hash of each of RANGES equal ranges as a byte; 0: none."""
+    at = np.searchsorted(s, np.arange(RANGES, dtype=np.uint64) * np.uint64((1 << 64) // RANGES))
+    full = at < np.append(at[1:], len(s))
+    out = np.zeros(RANGES, dtype=np.uint8)
+    out[full] = mix(s[at[full]]) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
 def signatures(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, halves, sketch): sketch has one byte of
-    each minhash."""
+    """(doc_id, n_shingles, set_key, halves, sketch)."""
     multipliers = mix(np.arange(1, HALVES * DEPTH + 1, dtype=np.uint64) + np.uint64(seed << 32)) | np.uint64(1)
+    names = ["doc_id", "n_shingles", "set_key", "halves", "sketch"]
 
     def run(batches):
         hasher = WordHasher()
         for b in batches:
-            for row, data, offsets in blocks(b):
-                sizes, keys, halves, sketches = [], [], [], []
-                for s in shingle_sets(hasher, data, offsets, k):
-                    sizes.append(len(s))
-                    if not len(s):
-                        keys.append(None)
-                        halves.append(None)
-                        sketches.append(None)
-                        continue
-                    keys.append(hashlib.md5(s.tobytes()).digest())
-                    low = np.array([(x := s * m, (x ^ (x >> np.uint64(32))).min())[1] for m in multipliers], dtype=np.uint64).reshape(HALVES, DEPTH)
-                    h = low[:, 0]
+            for row, data, offsets in blocks(b, TEXT_BLOCK):
+                sets = list(shingle_sets(hasher, data, offsets, k))
+                sizes = np.array([len(s) for s in sets])
+                some = np.flatnonzero(sizes)
+                halves: list = [None] * len(sets)
+                if len(some):
+                    # the sets of a block one after another, so that each
+                    # minhash is three passes over all of them
+                    every, begin = np.concatenate(sets), (np.cumsum(sizes) - sizes)[some]
+                    low = np.empty((len(some), HALVES * DEPTH), dtype=np.uint64)
+                    for j, m in enumerate(multipliers):
+                        x = every * m
+                        x ^= x >> np.uint64(32)
+                        low[:, j] = np.minimum.reduceat(x, begin)
+                    low = low.reshape(len(some), HALVES, DEPTH)
+                    h = low[:, :, 0]
                     for d in range(1, DEPTH):
-                        h = mix(h + low[:, d])
-                    halves.append(h.view(np.int64))
-                    sketches.append((mix(low.reshape(-1)) & np.uint64(255)).astype(np.uint8).tobytes())
-                part = b.slice(row, len(sizes))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(halves, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set_key", "halves", "sketch"])
+                        h = mix(h + low[:, :, d])
+                    for i, own in zip(some.tolist(), h.view(np.int64), strict=True):
+                        halves[i] = own
+                keys = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
+                sketches = [sketched(s) if len(s) else None for s in sets]
+                ids = b.column(0).slice(row, len(sets))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(halves, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names)
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, halves array<long>, sketch binary")
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles): the sorted hashes as bytes."""
+def full_sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(node, shingles): the sorted hashes, as bytes, of each of the nodes."""
+    own = nodes.select(F.col("rep").alias("doc_id"), "node", "set_key")
+    # most texts that nobody asks for stay where they are: what is broadcast are
+    # hashes of the ids asked for, FILTER at most
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("mark")
+    near = texts.select("*", mark).join(F.broadcast(own.select(mark).distinct()), "mark", "left_semi")
+    wanted = merged(near.select("doc_id", "text"), own, "doc_id").select("node", "set_key", "text")
 
     def run(batches):
         hasher = WordHasher()
         for b in batches:
-            for row, data, offsets in blocks(b):
-                sets = [s.tobytes() for s in shingle_sets(hasher, data, offsets, k)]
-                yield pa.RecordBatch.from_arrays([b.slice(row, len(sets)).column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            for row, data, offsets in blocks(b, TEXT_BLOCK):
+                out = [s.tobytes() for s in shingle_sets(hasher, data, offsets, k)]
+                own = pa.array([x if hashlib.md5(x).digest() == y.as_py() else None for x, y in zip(out, b.column(1).slice(row, len(out)), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(out)), own], ["node", "shingles"]).filter(own.is_valid())
+
+    # a doc_id with several rows has its set several times
+    return wanted.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+# --------------------------------------------------------------------- pairs
 
 
-def least_equal(percent: int) -> int:
-    """Equal minhashes that a similar pair has, less 4.5 deviations."""
-    n, p = HALVES * DEPTH, percent / 100
-    return int(n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
+def least_equal(union, percent: int):
+    """Equal ranges that a similar pair has, less 4.5 deviations, of so many
+    that either set has."""
+    p = percent / 100
+    return union * p - 4.5 * np.sqrt(union * (p * (1 - p)))
 
 
-def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sizes and minhashes don't rule them
-    out."""
-    n, least = HALVES * DEPTH, least_equal(percent)
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"of_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sizes and sketches don't rule them out."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"of_{x}"))
+    both = merged(merged(pairs, side("b"), "b"), side("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, n) for c in (b.column(2), b.column(3)))
-            yield b.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= least))
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, RANGES) for c in (b.column(2), b.column(3)))
+            union, equal = ((x > 0) | (y > 0)).sum(axis=1), ((x == y) & (x > 0)).sum(axis=1)
+            yield b.select([0, 1]).filter(pa.array(equal >= least_equal(union, percent)))
 
     return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = full_sets(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k)
-    sides = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
+    pairs = stored(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = full_sets(merged(nodes.select("node", "rep", "set_key"), wanted, "node", "left_semi"), texts, k)
+    sides = merged(merged(pairs, sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b"), sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
 
     def run(batches):
         for batch in batches:
@@ -144,133 +183,139 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 keep.append(100 * inner >= percent * (len(x) + len(y) - inner))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return sides.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    out = stored(sides.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "links")
+    drop_stored(pairs)
+    return out
 
 
-def placed_halves(halves: np.ndarray) -> np.ndarray:
-    """Half keys mixed with their places, so no two tables share keys."""
-    return mix(halves.view(np.uint64) + mix(np.arange(1, HALVES + 1, dtype=np.uint64)))
+# ------------------------------------------------------------------- buckets
 
 
-def pair_key(halves: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The key of each row in the table of its half keys i and j."""
-    own, at = placed_halves(halves), np.arange(len(halves))
-    return mix(own[at, i] + own[at, j]).view(np.int64)
-
-
-def table_keys(docs: DataFrame, taken: int) -> DataFrame:
-    """(key, b): a key for each choice of `taken` half keys."""
-    tables = list(itertools.combinations(range(HALVES), taken))
+def table_keys(nodes: DataFrame) -> DataFrame:
+    """(key, b): a key for each pair of half keys."""
+    i, j = (list(x) for x in zip(*itertools.combinations(range(HALVES), 2), strict=True))
 
     def run(batches):
+        place = mix(np.arange(1, HALVES + 1, dtype=np.uint64))  # no two tables share keys
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 b = batch.slice(lo, 1000)
-                halves = np.array(b.column(1).to_pylist(), dtype=np.int64)
-                if not len(halves):
-                    continue
-                own = placed_halves(halves)
-                keys = np.zeros((len(halves), len(tables)), dtype=np.uint64)
-                for k in range(taken):
-                    keys += own[:, [t[k] for t in tables]]
-                yield pa.RecordBatch.from_arrays([pa.array(mix(keys).view(np.int64).reshape(-1)), pa.array(np.repeat(b.column(0).to_numpy(), len(tables)))], ["key", "b"])
-
-    return docs.select("rep", "halves").mapInArrow(run, "key long, b long")
-
-
-def starred(rows: DataFrame) -> DataFrame:
-    """Bucket rows (key, b) with each bucket's size and first member a;
-    buckets of one member go."""
-    return rows.join(rows.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("size")).where("size > 1"), "key")
-
-
-class Links:
-    """Confirmed links so far, and the components that they make."""
-
-    def __init__(self, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> None:
-        self.reps, self.texts, self.k, self.percent = reps, texts, k, percent
-        self.all, self.found, self.fresh = None, None, False
-
-    def add(self, pairs: DataFrame) -> None:
-        self.add_likely(likely(pairs.select("a", "b").distinct(), self.reps, self.percent))
-
-    def add_likely(self, pairs: DataFrame) -> None:
-        pairs = stored(pairs, "pairs")
-        if self.all is None or not pairs.isEmpty():
-            more = stored(confirmed(pairs, self.texts, self.k, self.percent), "links")
-            self.all = more if self.all is None else self.all.unionByName(more)
-            self.fresh = True
-        drop_stored(pairs)
-
-    def components(self) -> DataFrame:
-        if self.fresh:
-            self.found, self.fresh = stored(components(self.all), "components"), False
-        return self.found
-
-    def placed(self, rows: DataFrame) -> DataFrame:
-        """rows with the component c of b."""
-        self.components()
-        return rows.join(self.found.withColumnRenamed("node", "b"), "b", "left").withColumn("c", F.coalesce("component", "b")).drop("component")
-
-
-def split(placed: DataFrame) -> DataFrame:
-    """The members (key, b, c, size) of buckets in several components."""
-    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    return stored(placed.join(several, "key").select("key", "b", "c", "size"), "open")
-
-
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members that are in different components."""
-    first = rows.select("key", F.col("b").alias("a"), F.col("c").alias("ca"))
-    return rows.join(first, "key").where((F.col("b") > F.col("a")) & (F.col("c") != F.col("ca")))
-
-
-def block_pairs(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of members of a large bucket that are in different
-    components, each pair once: in the first table that it shares.
-
-    A bucket's members are dealt into blocks, and each two blocks meet in one
-    task.  A pair is compared there in numpy, so that only likely ones leave."""
-    n, least = HALVES * DEPTH, least_equal(percent)
-    of = reps.select(F.col("rep").alias("b"), "n", "halves", "sketch")
-    dealt = rows.withColumn("s", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("b"), "s").cast("int"))
-    meet = dealt.select("key", "b", "c", "block", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other"))
-    meet = meet.select("key", "b", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).join(of, "b")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, c, size = (pdf[x].to_numpy() for x in ("b", "c", "n"))
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(-1, n)
-        halves, block, key = np.array(pdf["halves"].tolist(), dtype=np.int64), pdf["block"].to_numpy(), pdf["key"].iloc[0]
-        within = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
-        # pairs inside the most frequent component need no look
-        kinds, times = np.unique(c, return_counts=True)
-        out = c != kinds[times.argmax()]
-        asked = np.flatnonzero(out)
-        found = []
-        for lo in range(0, len(asked), 256):
-            i = asked[lo : lo + 256]
-            same = np.zeros((len(i), len(ids)), dtype=np.uint8)
-            for k in range(n):
-                same += sketch[i, k][:, None] == sketch[:, k]
-            # two that are both asked meet once
-            fine = (same >= least) & (c[i][:, None] != c) & (~out | (ids[i][:, None] < ids))
-            if not within:
-                fine &= block[i][:, None] != block
-            x, y = np.nonzero(fine)
-            x = i[x]
-            sizes = np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * percent
-            x, y = x[sizes], y[sizes]
-            for at in range(0, len(x), 100_000):
-                p, q = x[at : at + 100_000], y[at : at + 100_000]
-                equal = halves[p] == halves[q]
-                first = equal.argmax(1)
-                equal[np.arange(len(p)), first] = False
-                here = equal.any(1) & (pair_key(halves[p], first, equal.argmax(1)) == key)
-                found.append(np.stack([ids[p[here]], ids[q[here]]]))
-        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-        return pd.DataFrame({"a": both.min(0), "b": both.max(0)})
-
-    return meet.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
+                own = mix(np.array(b.column(1).to_pylist(), dtype=np.int64).view(np.uint64) + place)
+                keys = mix(own[:, i] + own[:, j]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1]))], ["key", "b"])
+
+    return nodes.select("node", "halves").mapInArrow(run, "key long, b long")
+
+
+def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, b): the rarest shingles of each set, so many that two similar sets
+    share one.  Any order that is the same for all sets does; here it is by the
+    count of a shingle's hash among 2 ** COUNT_BITS, then by the shingle."""
+    spread = np.uint64(64 - COUNT_BITS)
+
+    def count(batches):
+        total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        for b in batches:
+            for s in b.column(0):
+                np.add.at(total, (mix(np.frombuffer(s.as_py(), np.uint64)) >> spread).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bin", "n"])
+
+    def packed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.stack([c.to_numpy() for c in b.columns]).tobytes()], pa.binary())], ["counts"])
+
+    counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+    for row in sets.select("shingles").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).mapInArrow(packed, "counts binary").toLocalIterator():
+        at, n = np.frombuffer(row.counts, dtype=np.int64).reshape(2, -1)
+        counts[at] = n
+    sent = sets.sparkSession.sparkContext.broadcast(counts)  # 2 MB, whatever the input
+
+    def run(batches):
+        for b in batches:
+            for node, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = np.frombuffer(s.as_py(), np.uint64)
+                least = -(-len(s) * percent // 100)
+                rare = s[np.lexsort((s, sent.value[(mix(s) >> spread).astype(np.int64)]))[: len(s) - least + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(rare.view(np.int64)), pa.array(np.full(len(rare), node))], ["key", "b"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "key long, b long")
+
+
+def bucketed(rows: DataFrame) -> DataFrame:
+    """Rows (key, b) with each bucket's size and least member a; buckets of one
+    member go."""
+    return merged(rows, rows.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("size")).where("size > 1"), "key")
+
+
+def still_open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, b, c, size, top): members of the buckets that hold several
+    components c; top is the largest of these."""
+    placed = merged(rows, found.select(F.col("node").alias("b"), "component"), "b", "left").select("key", "b", F.coalesce("component", "b").alias("c"), "size")
+    kinds = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("kinds"))
+    return stored(merged(placed, kinds.where("kinds > 1").select("key", "top"), "key").select("key", "b", "c", "size", "top"), "open")
+
+
+def open_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b) of members of one bucket in different components.
+
+    A bucket is cut into blocks of BLOCK members on average.  A pair has a
+    member outside the largest component; these visit every other block, and
+    all others stay in their own, so that near copies of one document, however
+    many, are moved once."""
+    dealt = rows.withColumn("s", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("b"), "s").cast("int"))
+    every = F.sequence(F.lit(0), F.col("s") - 1)
+    dealt = dealt.select("key", "b", "c", "top", "own", F.explode(F.when(F.col("c") != F.col("top"), every).otherwise(F.array("own"))).alias("block"))
+    dealt = merged(dealt, nodes.select(F.col("node").alias("b"), "n", "sketch"), "b").select("key", "block", "b", "c", (F.col("c") != F.col("top")).alias("out"), (F.col("own") == F.col("block")).alias("here"), "n", "sketch")
+
+    def pairs_of(ids, c, out, here, n, sketch):
+        """Each outsider with the block's own members."""
+        x, data = np.flatnonzero(out), np.flatnonzero(here)
+        full = (sketch > 0).astype(np.float32)
+        for lo in range(0, len(x), 256):
+            i = x[lo : lo + 256]
+            fine = (c[i][:, None] != c[data]) & (np.minimum(n[i][:, None], n[data]) * 100 >= np.maximum(n[i][:, None], n[data]) * percent)
+            p, q = np.nonzero(fine & (out[i][:, None] & out[data] & (ids[i][:, None] < ids[data]) | ~out[data]))
+            for at in range(0, len(p), 50_000):
+                u, v = i[p[at : at + 50_000]], data[q[at : at + 50_000]]
+                equal = ((sketch[u] == sketch[v]) & (sketch[u] > 0)).sum(axis=1)
+                union = RANGES - ((1 - full[u]) * (1 - full[v])).sum(axis=1)
+                good = equal >= least_equal(union, percent)
+                yield np.minimum(ids[u[good]], ids[v[good]]), np.maximum(ids[u[good]], ids[v[good]])
+
+    def run(batches):
+        held: list = []
+
+        def flush(rows):
+            whole = pa.Table.from_batches(rows).combine_chunks()
+            key, block, ids, c, out, here, n = (whole.column(i).to_numpy() for i in range(7))
+            sketch = np.frombuffer(b"".join(whole.column(7).to_pylist()), dtype=np.uint8).reshape(-1, RANGES)
+            turn = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+            found = []
+            for lo, hi in zip(turn.tolist(), [*turn[1:].tolist(), len(key)], strict=True):
+                found += pairs_of(*(x[lo:hi] for x in (ids, c, out, here, n, sketch)))
+            a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+            both = np.unique(np.stack([a, b]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+        for b in batches:
+            key, block = b.column(0).to_numpy(), b.column(1).to_numpy()
+            turn = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]))
+            if not len(b):
+                continue
+            if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (key[0], block[0]):
+                yield flush(held)
+                held = []
+            if len(turn):  # all but the last bucket are whole
+                cut = int(turn[-1]) + 1
+                yield flush([*held, b.slice(0, cut)])
+                held = []
+                b = b.slice(cut)
+            held.append(b)
+        if held:
+            yield flush(held)
+
+    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, seed: int = 7) -> DataFrame:
@@ -278,21 +323,22 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, seed: int =
     texts = text_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
     signed = stored(signatures(texts, k, seed), "signed")
     classes = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
-    reps = stored(classes, "classes")
-    links, docs_left, large = Links(reps, texts, k, percent), reps, None
-    for taken in range(2, MOST_TAKEN + 1):
-        members = stored(starred(table_keys(docs_left, taken)), "members")
-        links.add(members.where(F.col("a") != F.col("b")))
-        if taken == 2:
-            still = split(links.placed(members))
-            links.add(cross_pairs(still.where(F.col("size") <= PAIRWISE)))
-            large = still.where(F.col("size") > PAIRWISE)
-            if large.isEmpty():
-                break
-            docs_left = stored(reps.join(large.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi"), "left")
-        drop_stored(members)
+    nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members = stored(bucketed(table_keys(nodes)), "members")
+    first = confirmed(likely(members.where("a <> b").select("a", "b").distinct(), nodes, percent), nodes, texts, k, percent)
+    found = stored(components(first), "components")
+    rows = still_open(members.where("size > 2"), found)
+    pairs = open_pairs(rows.where(F.col("size") <= BLOCK), nodes, percent)
+    large = rows.where(F.col("size") > BLOCK)
     if not large.isEmpty():
-        links.add_likely(block_pairs(split(links.placed(large.drop("c"))), reps, percent))
-    by_class = reps.join(links.components().withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(by_class, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        inside = merged(nodes.select("node", "rep", "set_key"), large.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
+        sub = stored(bucketed(prefix_keys(stored(full_sets(inside, texts, k), "sets"), percent)), "prefixes")
+        pairs = pairs.unionByName(open_pairs(still_open(sub, found), nodes, percent)).distinct()
+    second = confirmed(pairs, nodes, texts, k, percent)
+    found = stored(components(second.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
+    drop_stored(members, rows)
+    named = merged(nodes.select("node", "set_key", "rep"), found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    label = merged(named, named.groupBy("c").agg(F.min("rep").alias("component_id")), "c").select("set_key", "component_id")
+    out = merged(signed.select("doc_id", "n_shingles", "set_key"), label, "set_key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -249,10 +249,9 @@ def test_minhash_large_buckets(spark, monkeypatch):
         own = [f"d{i // 2}-{j}" for j in range(20)]
         rows.append((i, " ".join(passage + own + ([f"z{i}"] if i % 2 else []))))
     rnd.shuffle(rows)
-    monkeypatch.setattr(minhash, "PAIRWISE", 4)
     want = shingle_truth(rows, 4, 80)
-    for most in (2, 3, 4):
-        monkeypatch.setattr(minhash, "MOST_TAKEN", most)
+    for block in (1024, 20, 4):
+        monkeypatch.setattr(minhash, "BLOCK", block)
         got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
 
@@ -270,12 +269,43 @@ def test_minhash_few_shared_half_keys(spark, monkeypatch):
     want = {i: c for i, (_, c) in shingle_truth(rows, 1, 80).items()}
     assert sum(i != c for i, c in want.items()) == 6
     for block in (4096, 5):
-        monkeypatch.setattr(minhash, "PAIRWISE", 4)
         monkeypatch.setattr(minhash, "BLOCK", block)
         got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()
         assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_minhash_hot_bucket(spark, monkeypatch):
+    """Pairs of similarity 0.80 to 0.85 among many documents of one template,
+    which fall into the same buckets and are mostly not similar, beside a group
+    of near copies."""
+    rnd = random.Random(12)
+    base, rows, planted = [f"s{i}" for i in range(200)], [], []
+    for i in range(150):
+        own = [x if rnd.random() < 0.7 else f"t{i}-{j}" for j, x in enumerate(base)]
+        rows.append((i, " ".join(own)))
+        if i % 5 == 0:
+            for j in rnd.sample(range(len(own)), 19):
+                own[j] = f"u{i}-{j}"
+            rows.append((1000 + i, " ".join(own)))
+            planted.append((i, 1000 + i))
+    rows += [(2000 + i, " ".join([*base[:150], f"v{i}"])) for i in range(60)]
+    want = {i: c for i, (_, c) in shingle_truth(rows, 1, 80).items()}
+    assert all(want[a] == want[b] for a, b in planted)
+    for block in (1024, 30):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_minhash_odd_ids(spark):
+    """Null doc_ids, one doc_id with two texts, and its repeated rows."""
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(None, one), (None, two), (5, one), (5, two), (5, one), (6, one + " c"), (7, two + " c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("clash"))
+    got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, None, True)] * 2 + [(5, 5, True)] * 3 + [(6, 5, False), (7, 5, False)], key=str)
+
+
 # ------------------------------------------------------- language, licenses
 
 
