@@ -10,20 +10,20 @@ probability 0.0013, of 0.85 0.0001, and of 0.9 two in a million.
 Two classes that share a table are candidates.  Within a table's bucket every
 member is first compared with the least one, which links near copies of one
 document, however many, in a number of comparisons that grows with the bucket.
+A candidate of these is first judged by sketches, a byte of the least hash in
+each of 128 ranges; a pair whose sketches agree 4.5 standard deviations less
+than the similarity needs is none (a similar pair is lost so with probability
+0.00001).  All others are compared on full sets.
+
 A bucket whose members are then still in several components is gone through
-pair by pair across components, in one task in numpy, so that only pairs whose
-sketches agree leave it.  A bucket of more than `BLOCK` members is cut first:
+pair by pair across components, on full sets in one task, and only links that
+join components leave it.  A bucket that is too large for a task is cut first:
 into the groups that share a shingle of their prefixes (a set's rarest shingles,
-of which two similar sets share one), and a group that is still larger into
+of which two similar sets share one), and a group that is still too large into
 blocks, each seen by all members outside the largest component.  So every pair
 that shares a table is compared or in one component already, whatever the
 bucket's size.
 
-A sketch keeps a byte of the least hash in each of 128 ranges; a pair whose
-sketches agree 4.5 standard deviations less than the similarity needs is none
-(a similar pair is lost so with probability 0.00001).  All others are compared
-on full sets.
-
 Edge cases: a null text or one without words has an empty set and links with
 nothing; fewer words than a shingle give one shingle; repeated rows of one
 doc_id give equal rows; rows of one doc_id with different texts are compared as
@@ -47,8 +47,11 @@ from graphloom.llm.common import WordHasher, blocks, components, drop_stored, gr
 HALVES, DEPTH = 13, 3
 #: Ranges of a sketch, a byte each.
 RANGES = 128
-#: Members of a bucket, or of a part of one, that are compared in one task.
-BLOCK = 1024
+#: Members of a bucket, or of a part of one, that are compared in one task on
+#: average, and their shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Shingles and visitors of a block that are compared at a time.
+COLUMNS, VISITORS = 4096, 256
 #: Bits of the hash by which shingles are counted for the prefixes' order.
 COUNT_BITS = 18
 #: Values of the hash by which texts are left out before they are shuffled.
@@ -248,74 +251,102 @@ def bucketed(rows: DataFrame) -> DataFrame:
     return merged(rows, rows.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("size")).where("size > 1"), "key")
 
 
-def still_open(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, b, c, size, top): members of the buckets that hold several
-    components c; top is the largest of these."""
-    placed = merged(rows, found.select(F.col("node").alias("b"), "component"), "b", "left").select("key", "b", F.coalesce("component", "b").alias("c"), "size")
-    kinds = placed.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("kinds"))
-    return stored(merged(placed, kinds.where("kinds > 1").select("key", "top"), "key").select("key", "b", "c", "size", "top"), "open")
-
-
-def open_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of members of one bucket in different components.
-
-    A bucket is cut into blocks of BLOCK members on average.  A pair has a
-    member outside the largest component; these visit every other block, and
-    all others stay in their own, so that near copies of one document, however
-    many, are moved once."""
-    dealt = rows.withColumn("s", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("b"), "s").cast("int"))
-    every = F.sequence(F.lit(0), F.col("s") - 1)
-    dealt = dealt.select("key", "b", "c", "top", "own", F.explode(F.when(F.col("c") != F.col("top"), every).otherwise(F.array("own"))).alias("block"))
-    dealt = merged(dealt, nodes.select(F.col("node").alias("b"), "n", "sketch"), "b").select("key", "block", "b", "c", (F.col("c") != F.col("top")).alias("out"), (F.col("own") == F.col("block")).alias("here"), "n", "sketch")
-
-    def pairs_of(ids, c, out, here, n, sketch):
-        """Each outsider with the block's own members."""
-        x, data = np.flatnonzero(out), np.flatnonzero(here)
-        full = (sketch > 0).astype(np.float32)
-        for lo in range(0, len(x), 256):
-            i = x[lo : lo + 256]
-            fine = (c[i][:, None] != c[data]) & (np.minimum(n[i][:, None], n[data]) * 100 >= np.maximum(n[i][:, None], n[data]) * percent)
-            p, q = np.nonzero(fine & (out[i][:, None] & out[data] & (ids[i][:, None] < ids[data]) | ~out[data]))
-            for at in range(0, len(p), 50_000):
-                u, v = i[p[at : at + 50_000]], data[q[at : at + 50_000]]
-                equal = ((sketch[u] == sketch[v]) & (sketch[u] > 0)).sum(axis=1)
-                union = RANGES - ((1 - full[u]) * (1 - full[v])).sum(axis=1)
-                good = equal >= least_equal(union, percent)
-                yield np.minimum(ids[u[good]], ids[v[good]]), np.maximum(ids[u[good]], ids[v[good]])
+def still_open(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, b, c, top, parts): members of the buckets that hold several
+    components c; top is the largest of these, parts the number of tasks that
+    the bucket needs.  Of buckets of the same members one is enough."""
+    sized = merged(rows, nodes.select(F.col("node").alias("b"), "n"), "b")
+    placed = merged(sized, found.select(F.col("node").alias("b"), "component"), "b", "left").select("key", "b", F.coalesce("component", "b").alias("c"), "n")
+    kinds = placed.groupBy("key", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("b")).alias("mark"))
+    kinds = kinds.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("kinds"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.bit_xor("mark").alias("mark"))
+    one = kinds.where("kinds > 1").groupBy("mark", "m", "n").agg(F.min(F.struct("key", "top")).alias("k"))
+    parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
+    return stored(merged(placed.select("key", "b", "c"), one.select("k.key", "k.top", parts.alias("parts")), "key"), "open")
+
+
+class Block:
+    """Members of one block on full sets, and which components they join."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent, self.root = percent, {}
+        self.data: list[tuple] = []
+
+    def top(self, x: int) -> int:
+        while self.root.setdefault(x, x) != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def links(self, asked: list[tuple]):
+        """Links (b, b) of those asked with the block's members that join two
+        components.  Rows are (b, c, shingles)."""
+        every = [*asked, *self.data]
+        sizes = np.array([len(x[2]) for x in every])
+        values = np.concatenate([x[2] for x in every])
+        _, at, times = np.unique(values, return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1
+        fine = times[at] > 1  # a shingle of one member is in no intersection
+        owner, at = np.repeat(np.arange(len(every)), sizes)[fine], column[at[fine]]
+        order = np.argsort(at, kind="stable")
+        owner, at = owner[order], at[order]
+        n, inner = len(asked), np.zeros((len(asked), len(self.data)), dtype=np.float32)
+        for lo in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+            i, j = np.searchsorted(at, [lo, lo + COLUMNS])
+            held = np.zeros((len(every), min(COLUMNS, int(at[-1]) + 1 - lo)), dtype=np.float32)
+            held[owner[i:j], at[i:j] - lo] = 1
+            inner += held[:n] @ held[n:].T
+        union = sizes[:n][:, None] + sizes[n:] - inner
+        for x, y in zip(*np.nonzero(100 * inner >= self.percent * union), strict=True):
+            a, b = self.top(asked[x][1]), self.top(self.data[y][1])
+            if a != b:
+                self.root[max(a, b)] = min(a, b)
+                yield asked[x][0], self.data[y][0]
+
+
+def open_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of members of one bucket in different components, as many
+    as join these.
+
+    A pair has a member outside the largest component; these visit every block
+    of their bucket, and all others stay in their own, so that near copies of
+    one document, however many, are moved once."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("b"), "parts").cast("int")).withColumn("out", F.col("c") != F.col("top"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    dealt = dealt.select("key", "b", "c", "out", "own", F.explode(F.when(F.col("out"), every).otherwise(F.array("own"))).alias("block"))
+    dealt = merged(dealt, sets.select(F.col("node").alias("b"), "shingles"), "b").select("key", "block", (F.col("own") != F.col("block")).alias("visits"), "out", "b", "c", "shingles")
 
     def run(batches):
-        held: list = []
-
-        def flush(rows):
-            whole = pa.Table.from_batches(rows).combine_chunks()
-            key, block, ids, c, out, here, n = (whole.column(i).to_numpy() for i in range(7))
-            sketch = np.frombuffer(b"".join(whole.column(7).to_pylist()), dtype=np.uint8).reshape(-1, RANGES)
-            turn = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
-            found = []
-            for lo, hi in zip(turn.tolist(), [*turn[1:].tolist(), len(key)], strict=True):
-                found += pairs_of(*(x[lo:hi] for x in (ids, c, out, here, n, sketch)))
-            a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-            both = np.unique(np.stack([a, b]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+        now, block, asked, found = None, Block(percent), [], []
 
-        for b in batches:
-            key, block = b.column(0).to_numpy(), b.column(1).to_numpy()
-            turn = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]))
-            if not len(b):
-                continue
-            if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (key[0], block[0]):
-                yield flush(held)
-                held = []
-            if len(turn):  # all but the last bucket are whole
-                cut = int(turn[-1]) + 1
-                yield flush([*held, b.slice(0, cut)])
-                held = []
-                b = b.slice(cut)
-            held.append(b)
-        if held:
-            yield flush(held)
-
-    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long").distinct()
+        def ask():
+            if asked and block.data:
+                found.extend(block.links(asked))
+            asked.clear()
+
+        def sent():
+            a, b = ([x[i] for x in found] for i in (0, 1))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for key, part, visits, out, b, c, shingles in zip(*(x.to_pylist() for x in batch.columns[:6]), batch.column(6), strict=True):
+                if now != (key, part):
+                    ask()
+                    now, block = (key, part), Block(percent)
+                row = (b, c, np.frombuffer(shingles.as_py(), np.uint64))
+                if not visits:  # these come first, so the block is whole when asked
+                    block.data.append(row)
+                elif len(asked) >= VISITORS:
+                    ask()
+                if out:
+                    asked.append(row)
+            if found:
+                yield sent()
+        ask()
+        if found:
+            yield sent()
+
+    return dealt.repartition("key", "block").sortWithinPartitions("key", "block", "visits").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, seed: int = 7) -> DataFrame:
@@ -327,16 +358,18 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, seed: int =
     members = stored(bucketed(table_keys(nodes)), "members")
     first = confirmed(likely(members.where("a <> b").select("a", "b").distinct(), nodes, percent), nodes, texts, k, percent)
     found = stored(components(first), "components")
-    rows = still_open(members.where("size > 2"), found)
-    pairs = open_pairs(rows.where(F.col("size") <= BLOCK), nodes, percent)
-    large = rows.where(F.col("size") > BLOCK)
+    rows = still_open(members.where("size > 2"), nodes, found)
+    asked = merged(nodes.select("node", "rep", "set_key"), rows.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
+    sets = stored(full_sets(asked, texts, k), "sets")
+    second = open_links(rows.where("parts = 1"), sets, percent)
+    large = rows.where("parts > 1")
     if not large.isEmpty():
-        inside = merged(nodes.select("node", "rep", "set_key"), large.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
-        sub = stored(bucketed(prefix_keys(stored(full_sets(inside, texts, k), "sets"), percent)), "prefixes")
-        pairs = pairs.unionByName(open_pairs(still_open(sub, found), nodes, percent)).distinct()
-    second = confirmed(pairs, nodes, texts, k, percent)
-    found = stored(components(second.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
-    drop_stored(members, rows)
+        inside = merged(sets, large.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
+        sub = stored(bucketed(prefix_keys(inside, percent)), "prefixes")
+        second = second.unionByName(open_links(still_open(sub, nodes, found), sets, percent))
+    edges = stored(second.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), "links")
+    found = stored(components(edges), "components")
+    drop_stored(members, rows, sets)
     named = merged(nodes.select("node", "set_key", "rep"), found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     label = merged(named, named.groupBy("c").agg(F.min("rep").alias("component_id")), "c").select("set_key", "component_id")
     out = merged(signed.select("doc_id", "n_shingles", "set_key"), label, "set_key", "left")
