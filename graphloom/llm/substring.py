@@ -7,13 +7,14 @@ document with a smaller doc_id; windows are judged on the input.
 1. Every window is given an anchor: the least hash among the five-word
    phrases in it.  Equal windows have equal anchors, and neighbours mostly
    share theirs, so anchors are about a fifth of the words.  Those seen in two
-   documents or more are the recurring ones (an aggregation with map-side
-   combine: least and greatest doc_id, and how many documents).
+   documents or more are the recurring ones.  Each task combines its own (least
+   and greatest doc_id, and how many documents) and sends them packed, column by
+   column, a blob for each bucket of anchors.
 2. A recurring anchor has a route: its least doc_id, and, if many documents
-   have it, one of as many parts as keep a route's documents few.  A run of
-   windows with one route is a passage.  Equal passages are counted once, with
-   their least doc_id, so thousands of copies come to one row before anything
-   is dealt out by route.
+   have it, one of as many parts as keep a route's documents few.  An anchor of
+   very many documents has several routes, by the hash of the window, so that
+   equal windows still meet.  A run of windows with one route is a passage.
+   Equal passages of a task are sent once, with their least doc_id.
 3. Passages are dealt to shards by route.  A shard confirms the recurring
    windows word by word, compiles an Aho-Corasick automaton of them with
    their least doc_id (each distinct word is one letter of its alphabet), and
@@ -41,13 +42,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WordHasher, blocks, grams, long_id, text_bytes
+from graphloom.llm.common import WordHasher, blocks, grams, long_id, mix, text_bytes
 
 PHRASE = 5
 #: Windows that one automaton holds; a shard compiles as many as it needs.
 AUTOMATON = 20_000
-#: Documents of an anchor for which it has one more route.
-ROUTE_DOCS = 200
+#: Documents of an anchor for which routes are parted once more, and for which
+#: the anchor itself gets one more route.
+ROUTE_DOCS, HOT_DOCS = 200, 10_000
+#: Anchors that a task holds before it combines and sends them, and bytes of
+#: passages that it holds to send equal ones once.
+HELD_ANCHORS, HELD_BYTES = 1_000_000, 8_000_000
+#: Bytes of text that are hashed at a time.
+TEXT_BLOCK = 500_000
 
 
 def anchors_of(hasher: WordHasher, data, offsets, length: int):
@@ -78,7 +85,7 @@ def packed(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, text binary")
 
 
-def unpacked(batches, rows: int = 1000):
+def unpacked(batches, rows: int = 250):
     """Batches of at most so many rows, the last column decompressed."""
     opener = zstandard.ZstdDecompressor()
     for b in batches:
@@ -88,28 +95,85 @@ def unpacked(batches, rows: int = 1000):
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.binary())], part.schema.names)
 
 
-def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, low, high, n): least and greatest doc_id, and the number of
-    documents, by anchor and block."""
+def combined(anchor, low, high, n):
+    """Rows of equal anchors as one, by anchor: least, greatest, number."""
+    order = np.argsort(anchor, kind="stable")
+    anchor, low, high, n = anchor[order], low[order], high[order], n[order]
+    first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    return anchor[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), np.add.reduceat(n, first)
+
+
+def blob_of(packer, anchor, low, high, n) -> bytes:
+    """The rows, sorted by anchor, byte by byte of each column."""
+    columns = np.stack([anchor.view(np.int64), low, high - low, n])
+    return packer.compress(np.ascontiguousarray(columns.view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1)).tobytes())
+
+
+def rows_of(opener, blob: bytes):
+    raw = np.frombuffer(opener.decompress(blob), dtype=np.uint8).reshape(4, 8, -1)
+    anchor, low, more, n = np.ascontiguousarray(raw.transpose(0, 2, 1)).view(np.int64).reshape(4, -1)
+    return anchor.view(np.uint64), low, low + more, n
+
+
+def anchor_blobs(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+    """(bucket, blob): anchors with their documents, combined by task."""
 
     def run(batches):
-        hasher = WordHasher()
+        hasher, packer, held = WordHasher(), zstandard.ZstdCompressor(level=1), []
+
+        def flush():
+            rows = combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            bucket = (mix(rows[0]) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
+            blobs = [blob_of(packer, *(x[order[lo:hi]] for x in rows)) for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts]]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for row, data, offsets in blocks(b):
+            for row, data, offsets in blocks(b, TEXT_BLOCK):
                 _, _, doc, at, low = anchors_of(hasher, data, offsets, length)
                 if not len(at):
                     continue
                 own = ids[row + doc[at]]
                 new = np.ones(len(at), dtype=bool)
                 new[1:] = (low[1:] != low[:-1]) | (own[1:] != own[:-1])
-                low, own = low[new], own[new]
-                order = np.argsort(low, kind="stable")
-                low, own = low[order], own[order]
-                first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(low[first].view(np.int64)), pa.array(np.minimum.reduceat(own, first)), pa.array(np.maximum.reduceat(own, first)), pa.array(np.diff(np.append(first, len(low))))], ["anchor", "low", "high", "n"])
+                held.append(combined(low[new], own[new], own[new], np.ones(int(new.sum()), dtype=np.int64)))
+                if sum(len(x[0]) for x in held) > HELD_ANCHORS:
+                    yield flush()
+                    held.clear()
+        if held:
+            yield flush()
+
+    return docs.mapInArrow(run, "bucket int, blob binary")
+
+
+def recurring_anchors(blobs: DataFrame) -> DataFrame:
+    """(anchor, route, pieces) of the anchors of two documents or more."""
+
+    def run(batches):
+        opener, now, held = zstandard.ZstdDecompressor(), None, []
 
-    return docs.mapInArrow(run, "anchor long, low long, high long, n long")
+        def flush():
+            anchor, low, high, n = combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            many = low < high
+            anchor, low, n = anchor[many], low[many], n[many]
+            part = anchor % (-(-n // ROUTE_DOCS)).astype(np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(mix(mix(low.view(np.uint64)) + part).view(np.int64)), pa.array((-(-n // HOT_DOCS)).astype(np.int32))], ["anchor", "route", "pieces"])
+
+        for b in batches:
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if held and bucket != now:
+                    yield flush()
+                    held.clear()
+                now = bucket
+                held.append(rows_of(opener, blob.as_py()))
+                if len(held) > 64:  # most of a hot anchor's rows are one by now
+                    held[:] = [combined(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+        if held:
+            yield flush()
+
+    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "anchor long, route long, pieces int")
 
 
 def doc_anchor_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -119,7 +183,7 @@ def doc_anchor_rows(docs: DataFrame, length: int) -> DataFrame:
         hasher = WordHasher()
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for row, data, offsets in blocks(b):
+            for row, data, offsets in blocks(b, TEXT_BLOCK):
                 _, _, doc, at, low = anchors_of(hasher, data, offsets, length)
                 if not len(at):
                     continue
@@ -132,48 +196,80 @@ def doc_anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, anchor long")
 
 
-def passage_rows(candidates: DataFrame, length: int) -> DataFrame:
-    """(doc_id, anchors, routes, packed text) -> (route, doc_id, start, size, mark,
-    words): runs of windows of one route, with the words that they cover;
-    mark is the MD5 of these."""
+def passages_of(hasher: WordHasher, batch, length: int):
+    """Passages of a batch (doc_id, anchors: route and pieces of each, text):
+    (route, doc_id, first word, words, bytes), from block to block."""
+    ids, known = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+    for row, data, offsets in blocks(batch, TEXT_BLOCK):
+        starts, ends, doc, at, low = anchors_of(hasher, data, offsets, length)
+        low, exact = low.view(np.int64), None
+        cuts = np.searchsorted(doc[at], np.arange(len(offsets)))
+        firsts = np.searchsorted(doc, np.arange(len(offsets)))
+        raw = data.tobytes()
+        for i in range(len(offsets) - 1):
+            lo, hi = cuts[i], cuts[i + 1]
+            if lo == hi:
+                continue
+            anchors, routes, pieces = (x.to_numpy(zero_copy_only=False) for x in known[row + i].values.flatten())
+            order = np.argsort(anchors)
+            anchors, routes, pieces = anchors[order], routes[order], pieces[order]
+            k = np.minimum(np.searchsorted(anchors, low[lo:hi]), len(anchors) - 1)
+            hit, own, parts = anchors[k] == low[lo:hi], routes[k], pieces[k]
+            if (hot := np.flatnonzero(parts > 1)).size:
+                if exact is None:
+                    _, _, _, words = hasher(data, offsets)
+                    exact = grams(words, length)
+                own[hot] = mix(own[hot].view(np.uint64) + np.uint64(1) + exact[at[lo:hi][hot]] % parts[hot].astype(np.uint64)).view(np.int64)
+            turn = np.append(True, own[1:] != own[:-1])
+            begin = np.flatnonzero(hit & (turn | np.append(True, ~hit[:-1])))
+            end = np.flatnonzero(hit & (np.append(turn[1:], True) | np.append(~hit[1:], True)))
+            for x, y in zip(begin.tolist(), end.tolist(), strict=True):
+                w, last = at[lo + x], at[lo + y] + length - 1
+                yield own[x], ids[row + i], w - firsts[i], last - w + 1, b" ".join(raw[starts[w] : ends[last]].split())
+
+
+def passage_places(candidates: DataFrame, length: int) -> DataFrame:
+    """(route, mark, doc_id, start, size): where each document has passages;
+    mark is the MD5 of a passage's words."""
+    kinds, names = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()], ["route", "mark", "doc_id", "start", "size"]
 
     def run(batches):
         hasher = WordHasher()
         for b in unpacked(batches):
-            ids, anchors, routes = b.column(0).to_numpy(zero_copy_only=False), b.column(1), b.column(2)
-            for row, data, offsets in blocks(b):
-                starts, ends, doc, at, low = anchors_of(hasher, data, offsets, length)
-                low, out = low.view(np.int64), ([], [], [], [], [], [])
-                cuts = np.searchsorted(doc[at], np.arange(len(offsets)))
-                firsts = np.searchsorted(doc, np.arange(len(offsets)))
-                raw = data.tobytes()
-                for i in range(len(offsets) - 1):
-                    lo, hi = cuts[i], cuts[i + 1]
-                    if lo == hi:
-                        continue
-                    known, leads = (x[row + i].values.to_numpy(zero_copy_only=False) for x in (anchors, routes))
-                    order = np.argsort(known)
-                    known, leads = known[order], leads[order]
-                    k = np.minimum(np.searchsorted(known, low[lo:hi]), len(known) - 1)
-                    hit, own = known[k] == low[lo:hi], leads[k]
-                    turn = np.append(True, own[1:] != own[:-1])
-                    begin = np.flatnonzero(hit & (turn | np.append(True, ~hit[:-1])))
-                    end = np.flatnonzero(hit & (np.append(turn[1:], True) | np.append(~hit[1:], True)))
-                    for x, y in zip(begin.tolist(), end.tolist(), strict=True):
-                        w = at[lo + x]
-                        last = at[lo + y] + length - 1
-                        out[0].append(own[x])
-                        out[1].append(ids[row + i])
-                        out[2].append(w - firsts[i])
-                        out[3].append(last - w + 1)
-                        said = b" ".join(raw[starts[w] : ends[last]].split())
-                        out[4].append(hashlib.md5(said).digest())
-                        out[5].append(said)
-                if out[0]:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["route", "doc_id", "start", "size", "mark", "words"])
-
-    return candidates.select("doc_id", "anchors", "routes", "text").mapInArrow(run, "route long, doc_id long, start long, size long, mark binary, words binary")
+            rows = [(route, hashlib.md5(said).digest(), doc, at, size) for route, doc, at, size, said in passages_of(hasher, b, length)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return candidates.select("doc_id", "anchors", "text").mapInArrow(run, "route long, mark binary, doc_id long, start long, size long")
+
+
+def passage_words(candidates: DataFrame, length: int) -> DataFrame:
+    """(route, mark, doc_id, words): passages with their least doc_id; equal
+    ones that a task holds at a time are one row."""
+
+    def run(batches):
+        hasher, held, size = WordHasher(), {}, 0
+
+        def flush():
+            (routes, marks), (docs, said) = zip(*held, strict=True), zip(*held.values(), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), pa.array(marks, pa.binary()), pa.array(docs, pa.int64()), pa.array(said, pa.binary())], ["route", "mark", "doc_id", "words"])
+
+        for b in unpacked(batches):
+            for route, doc, _, _, said in passages_of(hasher, b, length):
+                key = (route, hashlib.md5(said).digest())
+                before = held.get(key)
+                if before is None:
+                    size += len(said)
+                    held[key] = (doc, said)
+                elif doc < before[0]:
+                    held[key] = (doc, before[1])
+            if size > HELD_BYTES:
+                yield flush()
+                held, size = {}, 0
+        if held:
+            yield flush()
+
+    return candidates.select("doc_id", "anchors", "text").mapInArrow(run, "route long, mark binary, doc_id long, words binary")
 
 
 def locate(rows: list[tuple], length: int):
@@ -211,42 +307,42 @@ def locate(rows: list[tuple], length: int):
 
 
 def located(passages: DataFrame, length: int) -> DataFrame:
-    """One row per distinct passage: its least doc_id and its windows that
-    were found in a document before that one."""
-    distinct = passages.groupBy("route", "words").agg(F.min("doc_id").alias("first_doc"), F.first("mark").alias("mark"))
-    dealt = distinct.repartition("route").sortWithinPartitions("route", "first_doc")
+    """One row per distinct passage (route, mark, doc_id, words): its least
+    doc_id and its windows that were found in a document before that one."""
+    dealt = passages.repartition("route").sortWithinPartitions("route", "mark", "doc_id")
 
     def run(batches):
         held: list[tuple] = []
         windows = 0
 
         def flush():
-            out = list(locate([h[:3] for h in held], length))
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[3] for h in held], pa.binary()), pa.array([h[2] for h in held], pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["route", "mark", "first_doc", "found"])
+            out = list(locate([(h[0], h[3], h[2]) for h in held], length))
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary()), pa.array([h[2] for h in held], pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["route", "mark", "first_doc", "found"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[-1][:2] == row[:2]:
+                    continue  # the same words from another task, a later document
                 if windows > AUTOMATON and held[-1][0] != row[0]:
                     yield flush()
                     held, windows = [], 0
                 held.append(row)
-                windows += max(1, row[1].count(b" ") + 2 - length)
+                windows += max(1, row[3].count(b" ") + 2 - length)
         if held:
             yield flush()
 
-    return dealt.select("route", "words", "first_doc", "mark").mapInArrow(run, "route long, mark binary, first_doc long, found array<int>")
+    return dealt.mapInArrow(run, "route long, mark binary, first_doc long, found array<int>")
 
 
 def covered_words(texts: DataFrame, bundle: DataFrame, length: int = 13) -> DataFrame:
     """(doc_id, spans): what to remove, as start and end word of each piece.
     texts: doc_id (not null), text as bytes."""
-    seen = anchor_rows(texts, length).groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    part = F.pmod("anchor", F.ceil(F.col("n") / ROUTE_DOCS).cast("long"))
-    recurring = seen.where("low < high").select("anchor", F.xxhash64("low", part).alias("route"))
-    anchors = doc_anchor_rows(texts, length).join(recurring, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("route").alias("routes"))
-    passages = passage_rows(anchors.join(bundle, "doc_id"), length)
-    found = located(passages, length)
-    back = passages.select("route", "mark", "doc_id", "start", "size").join(found, ["route", "mark"])
+    buckets = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    recurring = recurring_anchors(anchor_blobs(texts, length, buckets))
+    anchors = doc_anchor_rows(texts, length).join(recurring, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "route", "pieces")).alias("anchors"))
+    candidates = anchors.join(bundle, "doc_id")
+    found = located(passage_words(candidates, length), length)
+    back = passage_places(candidates, length).join(found, ["route", "mark"])
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b")))
     some = F.transform("found", lambda i: F.struct((F.col("start") + i).alias("a"), (F.col("start") + i + length).alias("b")))
     spans = back.select("doc_id", F.when(F.col("doc_id") > F.col("first_doc"), whole).otherwise(some).alias("spans")).where(F.size("spans") > 0)
@@ -266,7 +362,7 @@ def without_repeats(docs: DataFrame, length: int = 13, as_text: bool = False) ->
     name = "kept" if as_text else "kept_sha256"
 
     def run(batches):
-        for part in unpacked(batches, 500):
+        for part in unpacked(batches):
             total, gone, kept = [], [], []
             for spans, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 words = text.split()

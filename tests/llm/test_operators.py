@@ -192,7 +192,7 @@ def test_pruned_cells(spark, monkeypatch):
 # ----------------------------------------------------------------- dedup
 
 
-def test_substring(docs, empty, monkeypatch):
+def test_substring(spark, docs, empty, monkeypatch):
     rows = corpus()
     first = {}
     for i, t, *_ in sorted(rows, key=lambda r: r[0]):
@@ -207,12 +207,17 @@ def test_substring(docs, empty, monkeypatch):
             if first[tuple(w[k : k + 13])] < i:
                 keep[k : k + 13] = [False] * 13
         want[i] = (len(w), keep.count(False), hashlib.sha256(b" ".join(x for x, y in zip(w, keep, strict=True) if y)).hexdigest())
-    for docs_per_route, windows in ((200, 20_000), (2, 5)):
+    for docs_per_route, windows, hot, held in ((200, 20_000, 10_000, 8_000_000), (2, 5, 10_000, 100), (2, 5, 3, 8_000_000)):
         monkeypatch.setattr(substring, "ROUTE_DOCS", docs_per_route)
+        monkeypatch.setattr(substring, "HOT_DOCS", hot)
+        monkeypatch.setattr(substring, "HELD_BYTES", held)
+        monkeypatch.setattr(substring, "HELD_ANCHORS", held // 100)
         monkeypatch.setattr(substring, "AUTOMATON", windows)
         got = substring.without_repeats(docs).collect()
         assert len(got) == len(rows) and all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got)
     assert sum(v[1] for v in want.values()) > 100
+    nulls = spark.createDataFrame([(None, rows[0][1]), (None, rows[0][1]), (1, None), (2, rows[0][1])], "doc_id long, text string")
+    assert {(r.doc_id, r.n_removed) for r in substring.without_repeats(nulls).collect()} == {(None, 0), (1, 0), (2, 0)}
     assert substring.without_repeats(empty).collect() == []
 
 
@@ -492,18 +497,51 @@ def test_feistel(n):
 
 
 def test_slots(spark, docs, empty, tmp_path):
-    path = f"file://{tmp_path}/out"
-    layout, manifest = slots.materialise(slots.byte_ids(docs), path, length=64, per_shard=100, stable=False)
+    """Exact round trips: from the shards back to the ids, and to the texts."""
+    import public_tokenizers
+    import tiktoken
+
+    vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    own = slots.Vocabulary.of(slots.vocabulary_bytes(vocabulary), pattern)
+    assert isinstance(own.own, tiktoken.Encoding) and own.end == 50256
+    path, stride = f"file://{tmp_path}/out", 128
+    odd = [(None, None), (None, "no id"), (300, "<|endoftext|> \u65e5\u672c\u8a9e \U0001f468"), (301, None)]
+    corpus_and_odd = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string")).withColumn("ids", F.lit("clash")).withColumn("slot", F.lit(1))
+    layout, manifest = slots.materialise(slots.token_ids(corpus_and_odd, vocabulary, pattern), path, own.end, length=64, per_shard=100)
+    # the passes after the first must not depend on how files are split
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     rows = sorted(manifest.collect(), key=lambda r: r.slot)
-    assert [r.slot for r in rows] == list(range(layout["n"])) and layout["stride"] == 65
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        assert sorted(manifest.collect(), key=lambda r: r.slot) == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.slot for r in rows] == list(range(layout["n"])) and layout["stride"] == stride + 1
     read = slots.read_slots(spark, path, 0, layout["n"])
-    assert all(zlib.crc32(x) == r.crc32 and len(x) == 64 and r.shard == r.slot // 100 and r.byte_offset == r.slot % 100 * 65 for x, r in zip(read, rows, strict=True))
+    assert all(zlib.crc32(x) == r.crc32 and len(x) == stride and r.shard == r.slot // 100 and r.byte_offset == r.slot % 100 * (stride + 1) for x, r in zip(read, rows, strict=True))
     assert slots.read_slots(spark, path, 95, 30) == read[95:125]
-    whole = defaultdict(dict)
+    whole = defaultdict(list)
     for x, r in zip(read, rows, strict=True):
-        whole[r.doc_id].setdefault(r.chunk, x[: r.n_tokens])
-    for i, t, *_ in corpus():
-        assert b"".join(whole[i][k] for k in sorted(whole[i])) == (t or "").encode() + b"\xff"
-    assert slots.materialise(slots.byte_ids(empty), f"{path}2")[1].collect() == []
+        whole[r.doc_id].append((r.chunk, x[: 2 * r.n_tokens]))
+    texts = defaultdict(list)
+    for i, t in [r[:2] for r in corpus()] + odd:
+        texts[i].append(t or "")
+    for i, some in texts.items():
+        if len(some) == 1:
+            ids = np.frombuffer(b"".join(x for _, x in sorted(whole[i])), "<u2")
+            assert ids[-1] == own.end and own.own.decode(ids[:-1].tolist()) == some[0]
+        else:
+            assert len(whole[i]) >= len(some)
+    assert slots.materialise(slots.token_ids(empty, vocabulary, pattern), f"{path}2", own.end)[1].collect() == []
     packed = slots.packed_ids(spark.createDataFrame([(1, [1, 70000]), (2, None)], "doc_id long, token_ids array<int>"), 4)
     assert {r.doc_id: bytes(r.ids) for r in packed.collect()} == {1: np.array([1, 70000], "<u4").tobytes(), 2: b""}
+    _, four = slots.materialise(packed, f"{path}3", 99999, width=4, length=2, per_shard=2)
+    assert {(r.doc_id, r.chunk, r.n_tokens) for r in four.collect()} == {(1, 0, 2), (1, 1, 1), (2, 0, 1)}
+
+
+def test_slots_missing(spark):
+    """A shard that lacks a slot is not written."""
+    layout = {"n": 5, "key": 1, "length": 2, "width": 1, "end": 9, "per_shard": 5}
+    ids = spark.createDataFrame([(0, 0, 1, 1, b"a"), (0, 1, 1, 2, b"b")], "part int, first long, n long, doc_id long, ids binary")
+    with pytest.raises(Exception, match="does not hold each of its slots"):
+        slots.in_order(slots.shard_blobs(ids, layout, {0: 0}).repartitionById(1, F.col("shard")), layout).collect()
