@@ -1,44 +1,50 @@
 """Operator 10: training-order materialisation of token-ID sequences.
 
 Each document's token ids, with an end mark after them, are cut into sequences
-of a fixed number of ids (the last one padded by end marks).  Sequences are
-numbered by input partition and place in it; a keyed Feistel permutation with
-cycle-walking takes number i of n to its slot, a bijection of 0 .. n - 1.
-Slots are dealt by range: shard s holds the slots from s * per_shard on, in
-order, and is one file of records of one fixed stride (the ids, little-endian,
-and a line feed).  So slot x stands at byte (x mod per_shard) * stride of shard
+of a fixed number of ids (the last one padded by end marks).  The ids are
+written once, and with them what numbers the sequences: the writing task, and
+how many sequences it had before the row.  Only one number a task reaches the
+driver, and all later passes read the numbers with the rows, so neither the
+split of the files nor lost executors can change them.  A keyed Feistel
+permutation with cycle-walking takes number i of n to its slot, a bijection of
+0 .. n - 1.  Slots are dealt by range: shard s holds the slots from
+s * per_shard on, in order, and is one file of records of one fixed stride (the
+ids, little-endian, and a line feed); a shard that does not hold exactly its
+slots is an error.  So slot x stands at byte (x mod per_shard) * stride of shard
 x div per_shard, and training can read on from any slot.
 
-Two passes over the input: one counts sequences by partition (what reaches the
-driver is one number a partition), one cuts and writes.  Both need the input's
-partitions to be the same, as those of a table scan are; pass stable=False for
-any other frame, which is then written to the shared folder first.
+The query's ids are those of a public byte-level BPE vocabulary (two bytes
+each), by the tiktoken library; ids from elsewhere go through `packed_ids`.
 
 Edge cases: a null text has no ids but its end mark, so every row of the input
-has a sequence; repeated rows have their own; null doc_ids are kept; ids of any
-number are cut whole; extra columns do not matter; an empty table gives an
-empty result and no shards.
+has a sequence; repeated rows have their own; null doc_ids are kept; texts and
+ids of any length are cut whole; extra columns do not matter; an empty table
+gives an empty result and no shards.  The order is the same for the same files
+and split size.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import mix, shared_dir, stored
+from graphloom.llm.common import mix, shared_dir, stored, text_bytes
 
 ROUNDS = 6
-#: The byte-level vocabulary: ids are the text's UTF-8 bytes; 255, which UTF-8
-#: has nowhere, is the end mark.
-BYTE_END = 255
+#: Sequences of a shard (32 MB with 512 ids of two bytes).
+PER_SHARD = 32_768
+#: Bytes of a vocabulary that may be sent to the tasks.
+MOST_BYTES = 64_000_000
 
 
 class Feistel:
@@ -77,9 +83,45 @@ class Feistel:
         return x.astype(np.int64)
 
 
-def byte_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, ids): texts as ids of the byte-level vocabulary."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("ids"))
+class Vocabulary:
+    """Byte-level BPE from a file of ranks; the end mark is the first free id."""
+
+    held: dict = {}
+
+    def __init__(self, raw: bytes, pattern: str) -> None:
+        ranks = {base64.b64decode(t): int(n) for t, n in (line.split() for line in raw.splitlines())}
+        self.own, self.end = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
+
+    @classmethod
+    def of(cls, raw: bytes, pattern: str) -> Vocabulary:
+        """One a worker: building it takes longer than many batches do."""
+        key = (zlib.crc32(raw), len(raw), pattern)
+        if key not in cls.held:
+            cls.held = {key: cls(raw, pattern)}
+        return cls.held[key]
+
+
+def vocabulary_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        raw = f.read()
+    if len(raw) > MOST_BYTES:
+        raise ValueError(f"{path} has over {MOST_BYTES} bytes")
+    return raw
+
+
+def token_ids(docs: DataFrame, path: str, pattern: str, width: int = 2) -> DataFrame:
+    """(doc_id, ids): each whole text's ids, of `width` bytes each."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(path))
+
+    def run(batches):
+        own = Vocabulary.of(sent.value, pattern).own
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                raw = [np.asarray(own.encode_ordinary(t.as_py().decode("utf-8", "replace")), dtype=f"<u{width}").tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], ["doc_id", "ids"])
+
+    return text_bytes(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(run, "doc_id long, ids binary")
 
 
 def packed_ids(tokens: DataFrame, width: int) -> DataFrame:
@@ -93,14 +135,30 @@ def packed_ids(tokens: DataFrame, width: int) -> DataFrame:
     return tokens.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, ids binary")
 
 
+def placed(ids: DataFrame, width: int, stride: int) -> DataFrame:
+    """ids with the task that wrote a row, its first number there and its
+    number of sequences."""
+
+    def run(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            long = np.array([len(x.as_py()) for x in b.column(1)], dtype=np.int64)
+            count = -(-(long + width) // stride)
+            first = at + np.cumsum(count) - count
+            at += int(count.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(long), part, dtype=np.int32)), pa.array(first), pa.array(count), *b.columns], ["part", "first", "n", "doc_id", "ids"])
+
+    return ids.select("doc_id", "ids").mapInArrow(run, "part int, first long, n long, doc_id long, ids binary")
+
+
 def numbered(batches, layout: dict, bases: dict[int, int]):
     """Blocks of sequences: doc_ids, chunks, sizes in ids, slots, and the ids
     as rows of bytes."""
     width, stride = layout["width"], layout["length"] * layout["width"]
-    end = int(layout["end"]).to_bytes(width, "little")
-    number, order = bases.get(TaskContext.get().partitionId(), 0), Feistel(layout["n"], layout["key"])
+    end, order = int(layout["end"]).to_bytes(width, "little"), Feistel(layout["n"], layout["key"])
     for b in batches:
-        docs, column, lo = b.column(0).to_pylist(), b.column(1), 0
+        docs, column, lo = b.column(3).to_pylist(), b.column(4), 0
+        number = np.array([bases[p] for p in b.column(0).to_pylist()], dtype=np.int64) + b.column(1).to_numpy()
         while lo < len(docs):
             texts, size = [], 0
             while lo + len(texts) < len(docs) and size < 4_000_000:
@@ -116,8 +174,7 @@ def numbered(batches, layout: dict, bases: dict[int, int]):
             chunk = np.arange(len(rows)) - np.repeat(at, count)
             n_tokens = np.minimum(np.repeat(long, count) - chunk * stride, stride) // width
             own = [d for d, c in zip(docs[lo : lo + len(texts)], count.tolist(), strict=True) for _ in range(c)]
-            yield own, chunk, n_tokens, order.slots(np.arange(number, number + len(rows))), rows
-            number += len(rows)
+            yield own, chunk, n_tokens, order.slots(np.repeat(number[lo : lo + len(texts)], count) + chunk), rows
             lo += len(texts)
 
 
@@ -127,7 +184,7 @@ def manifest_rows(ids: DataFrame, layout: dict, bases: dict[int, int]) -> DataFr
             crc = [zlib.crc32(r) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(own, pa.int64()), pa.array(chunk.astype(np.int32)), pa.array(n_tokens.astype(np.int32)), pa.array(crc, pa.int64())], ["slot", "doc_id", "chunk", "n_tokens", "crc32"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, "slot long, doc_id long, chunk int, n_tokens int, crc32 long")
+    return ids.mapInArrow(run, "slot long, doc_id long, chunk int, n_tokens int, crc32 long")
 
 
 def shard_blobs(ids: DataFrame, layout: dict, bases: dict[int, int]) -> DataFrame:
@@ -143,7 +200,7 @@ def shard_blobs(ids: DataFrame, layout: dict, bases: dict[int, int]) -> DataFram
             blobs = [packer.compress(slots[i:j].tobytes() + rows[i:j].tobytes()) for i, j in zip(first, [*first[1:], len(slots)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, "shard int, blob binary")
+    return ids.mapInArrow(run, "shard int, blob binary")
 
 
 def in_order(blobs: DataFrame, layout: dict) -> DataFrame:
@@ -159,8 +216,12 @@ def in_order(blobs: DataFrame, layout: dict) -> DataFrame:
                 n = len(raw) // (stride + 8)
                 slots.append(np.frombuffer(raw, dtype=np.int64, count=n))
                 rows.append(np.frombuffer(raw, dtype=np.uint8, offset=8 * n).reshape(n, stride))
+        shard = TaskContext.get().partitionId()
+        every = np.concatenate(slots) if slots else np.zeros(0, np.int64)
+        order = np.argsort(every)
+        if not np.array_equal(every[order], np.arange(shard * layout["per_shard"], min((shard + 1) * layout["per_shard"], layout["n"]))):
+            raise RuntimeError(f"shard {shard} does not hold each of its slots once")
         if slots:
-            order = np.argsort(np.concatenate(slots))
             rows = np.concatenate(rows)
             for lo in range(0, len(order), 4096):
                 part = rows[order[lo : lo + 4096]]
@@ -170,17 +231,17 @@ def in_order(blobs: DataFrame, layout: dict) -> DataFrame:
     return blobs.mapInArrow(run, "record binary")
 
 
-def materialise(ids: DataFrame, path: str, key: int = 20240229, length: int = 512, width: int = 1, end: int = BYTE_END, per_shard: int = 65_536, stable: bool = True):
-    """Write the shards under path.  Returns the layout and the manifest: one
-    row a sequence with its slot, shard, byte offset, size and checksum."""
+def materialise(ids: DataFrame, path: str, end: int, width: int = 2, key: int = 20240229, length: int = 512, per_shard: int = PER_SHARD):
+    """Write the shards under path.  ids: (doc_id, ids), `width` bytes an id.
+    Returns the layout and the manifest: one row a sequence with its slot,
+    shard, byte offset, size and checksum."""
     spark = ids.sparkSession
-    ids = ids if stable else stored(ids, "ids")
     bytes_each = length * width
-    per_doc = F.ceil((F.octet_length("ids") + width) / bytes_each)
-    counts = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(per_doc).alias("n")).collect()
+    ids = stored(placed(ids, width, bytes_each), "ids")
+    counts = ids.groupBy("part").agg(F.sum("n").alias("n")).collect()
     bases, n = {}, 0
-    for row in sorted(counts, key=lambda r: r.p):
-        bases[row.p] = n
+    for row in sorted(counts, key=lambda r: r.part):
+        bases[row.part] = n
         n += int(row.n)
     layout = {"n": n, "key": key, "length": length, "width": width, "end": end, "per_shard": per_shard, "stride": bytes_each + 1}
     shard, offset = F.expr(f"slot div {per_shard}"), (F.col("slot") % per_shard) * (bytes_each + 1)
@@ -211,6 +272,7 @@ def read_slots(spark: SparkSession, path: str, first: int, count: int) -> list[b
     return out
 
 
-def training_order(docs: DataFrame) -> DataFrame:
-    path = f"{shared_dir(docs.sparkSession)}/slots-{uuid.uuid4().hex}"
-    return materialise(byte_ids(docs), path)[1]
+def training_order(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """The manifest of the documents' ids, materialised in the shared folder."""
+    end = Vocabulary.of(vocabulary_bytes(vocabulary), pattern).end
+    return materialise(token_ids(docs, vocabulary, pattern), f"{shared_dir(docs.sparkSession)}/slots-{uuid.uuid4().hex}", end)[1]
