@@ -2,9 +2,11 @@
 
 Features are character n-grams (n = 1 to 4) of the whole lower-cased text,
 hashed into 2**15 bins, for texts of any length in blocks.  Training sums
-counts in every task and then by language, so what is moved is one count
-vector a task and language.  The matrix of log probabilities is broadcast;
-its size is bounded by `MOST_CELLS` (more languages get fewer bins, by halves).
+counts in every task, then by language and salt and then by language, so that a
+language that most documents have is added up in many tasks.  The matrix of log
+probabilities is broadcast; its size is bounded by `MOST_CELLS`, and more
+languages than fit (512) are an error, which asks for fewer `bits`.  The counts
+reach the driver as one vector a language (128 MB at most, in 64 bits).
 A text's score is the product of one sparse batch and the matrix, by gather
 and segment sums in numpy.
 
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import mix, stored
 
 BITS, LONGEST = 15, 4
+#: Parts in which the count vectors of one language are added up first.
+SALTS = 64
 #: Cells of the broadcast matrix at most: 64 MB of 32-bit floats.
 MOST_CELLS = 1 << 24
 LETTER = regex.compile(r"\p{L}")
@@ -95,7 +99,8 @@ def count_grams(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def sum_counts(counts: DataFrame) -> DataFrame:
-    """Add the count vectors of each language, a few at a time."""
+    """Add the count vectors of each language: by salt, then all."""
+    fields = "lang string, n long, counts binary"
 
     def add(batches):
         total: dict[str, list] = {}
@@ -107,16 +112,16 @@ def sum_counts(counts: DataFrame) -> DataFrame:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1].tobytes() for v in total.values()], pa.binary())], ["lang", "n", "counts"])
 
-    return counts.repartition("lang").mapInArrow(add, "lang string, n long, counts binary")
+    salt = F.pmod(F.xxhash64("counts"), F.lit(SALTS))
+    return counts.repartition("lang", salt).mapInArrow(add, fields).repartition("lang").mapInArrow(add, fields)
 
 
-def train(docs: DataFrame, smoothing: float = 0.5):
+def train(docs: DataFrame, smoothing: float = 0.5, bits: int = BITS):
     """Languages, bits, and the log probabilities (bins x languages)."""
     usable = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     n_langs = usable.select("lang").distinct().count()
-    bits = BITS
-    while n_langs << bits > MOST_CELLS and bits > 6:
-        bits -= 1
+    if n_langs << bits > MOST_CELLS:
+        raise ValueError(f"{n_langs} languages in 2**{bits} bins are over {MOST_CELLS} cells; use fewer bits")
     rows = sorted(stored(sum_counts(count_grams(usable, bits)), "counts").collect(), key=lambda r: r.lang)
     if not rows:
         return [], bits, np.zeros((1 << bits, 0), np.float32), np.zeros(0)
