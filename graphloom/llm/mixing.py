@@ -5,8 +5,9 @@ most `most` times its own size, the excess going to the others by weight.
 Rates are those nearest to 1 in relative entropy that meet every source's
 token constraint with none above `most`: exp(lambda * size), cut at `most`.
 The dual is convex and splits by source; Newton's method, kept in a bracket,
-starts from a histogram of sizes and is finished by exact passes over all
-documents.  Rates become whole copies by error diffusion from the longest
+starts from a histogram of sizes and goes on with exact sums over all documents
+until every source meets its target (an error if it does not in `MOST_PASSES`).
+Rates become whole copies by error diffusion from the longest
 document to the shortest in groups of bounded size, so a source's words miss
 its target by about the size of a few of its shortest documents.
 
@@ -28,6 +29,8 @@ from graphloom.llm.common import stored
 
 #: Documents that one rounding group holds on average.
 GROUP = 4_000
+#: Exact Newton or bisection passes, and the relative error that ends them.
+MOST_PASSES, CLOSE = 100, 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -93,21 +96,31 @@ def rates(sizes: DataFrame, most: float = 3.0) -> DataFrame:
     targets = source_targets(sizes, most)
     keyed = sizes.select("doc_id", "size", source_key().alias("key"))
     bins = keyed.where("size > 0").groupBy("key", F.floor(F.log2("size") * 64).alias("bin")).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    state = stored(targets.join(first_rates(bins.join(targets.where("target < source_size * %r" % (most * (1 - 1e-12))), "key"), most), "key", "left"), "rates")
-    z = F.col("size") / F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1e-9))
-    tilt = F.coalesce(F.col("lam") * z, F.lit(float(np.log(most))))
-    rate = F.exp(F.least(F.greatest(tilt, F.lit(-700.0)), F.lit(float(np.log(most)))))
-    for _ in range(4):
-        grouped = keyed.groupBy("key", "size").agg(F.count("*").alias("n")).join(state.where("lam IS NOT NULL"), "key")
-        # sums of decimals do not depend on the order of the rows
-        exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
-        sums = grouped.groupBy("key").agg(exact(F.col("n") * F.col("size") * rate).alias("taken"), exact(F.when(tilt < float(np.log(most)), F.col("n") * F.col("size") * rate * z)).alias("slope"))
-        moved = state.join(sums, "key", "left").withColumn("lam", F.col("lam") - F.coalesce((F.col("taken") - F.col("target")) / F.nullif("slope", F.lit(0.0)), F.lit(0.0)))
-        state = stored(moved, "rates")
-        worst = state.agg(F.max(F.abs(F.col("taken") - F.col("target")) / F.greatest("target", F.lit(1.0)))).first()[0] or 0
-        state = state.drop("taken", "slope")
-        if worst < 1e-9:
+    top = float(np.log(most))
+    state = targets.join(first_rates(bins.join(targets.where("target < source_size * %r" % (most * (1 - 1e-12))), "key"), most), "key", "left")
+    # between these all documents of a word or more go from no copy to most
+    mean = F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1e-9))
+    state = stored(state.withColumn("lo", -700.0 * mean).withColumn("hi", top * mean), "rates")
+    z = F.col("size") / mean
+    tilt = F.coalesce(F.col("lam") * z, F.lit(top))
+    rate = F.exp(F.least(F.greatest(tilt, F.lit(-700.0)), F.lit(top)))
+    by_size = stored(keyed.groupBy("key", "size").agg(F.count("*").alias("n")), "by_size")
+    # sums of decimals do not depend on the order of the rows
+    exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
+    for _ in range(MOST_PASSES):
+        grouped = by_size.join(state.where("lam IS NOT NULL"), "key")
+        sums = grouped.groupBy("key").agg(exact(F.col("n") * F.col("size") * rate).alias("taken"), exact(F.when(tilt < top, F.col("n") * F.col("size") * rate * z)).alias("slope"))
+        after = stored(state.join(sums, "key", "left"), "rates")
+        worst = after.agg(F.max(F.abs(F.col("taken") - F.col("target")) / F.greatest("target", F.lit(1.0)))).first()[0] or 0
+        if worst < CLOSE:
             break
+        less, new = F.col("taken") < F.col("target"), F.col("lam") - (F.col("taken") - F.col("target")) / F.nullif("slope", F.lit(0.0))
+        after = after.withColumn("lo", F.when(less, F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(less, F.col("hi")).otherwise(F.col("lam")))
+        inside = F.when((new > F.col("lo")) & (new < F.col("hi")), new).otherwise((F.col("lo") + F.col("hi")) / 2)
+        done = F.abs(F.col("taken") - F.col("target")) <= CLOSE * F.greatest("target", F.lit(1.0)) / 2
+        state = stored(after.withColumn("lam", F.when(done | F.col("lam").isNull(), F.col("lam")).otherwise(inside)).drop("taken", "slope"), "rates")
+    else:
+        raise RuntimeError(f"a source missed its target by the share {worst} after {MOST_PASSES} passes")
     return keyed.join(state, "key").select("doc_id", "size", "key", "source_size", "n_docs", "target", rate.alias("rate"))
 
 
