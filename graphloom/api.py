@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections import OrderedDict
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +25,19 @@ class Graph:
     schema: a dict, YAML text, a path, or a GraphSchema.  tables: frames (or
     functions of the view parameters) by table name; others are read from
     their source or Spark's catalog.
+
+    trusted: every end of an edge is a row of its node table, and ids there are
+    unique, so a node's table is joined only where its properties are used.
+    With trusted=False it is always joined, one row an id, whatever a query
+    returns.
     """
 
-    def __init__(self, spark: SparkSession, schema, tables: dict | None = None, max_hops: int = 5, view_parameters: dict | None = None) -> None:
+    def __init__(self, spark: SparkSession, schema, tables: dict | None = None, max_hops: int = 5, view_parameters: dict | None = None, trusted: bool = True) -> None:
         if isinstance(schema, GraphSchema):
             self.schemas, self.default = {schema.name: schema}, schema.name
         else:
             self.schemas, self.default = load_schemas(schema)
-        self.spark, self.max_hops = spark, max_hops
+        self.spark, self.max_hops, self.trusted = spark, max_hops, trusted
         self.tables = Tables(spark, dict(tables or {}), dict(view_parameters or {}))
         self.session: dict = {}
         self.counters: dict = {}
@@ -91,9 +97,9 @@ class Graph:
         try:
             q = self.parse(text)
             if isinstance(q, A.Query) and not writes.is_write(q):
-                self.compiled(q, params or {}, None)
+                self.compiled(q, checked(params or {}), None).schema
             return None
-        except CypherError as e:
+        except (CypherError, AnalysisException) as e:
             return str(e)
 
     def explain(self, text: str, params: dict | None = None, mode: str = "formatted") -> None:
@@ -115,17 +121,22 @@ class Graph:
     def export(self, text: str, dest: str, fmt: str | None = None, params: dict | None = None, **options) -> str:
         return write_export(self.cypher(text, params), dest, fmt, options)
 
-    def formatted(self, text: str, fmt: str = "JSONEachRow", params: dict | None = None, limit: int = 1000) -> str:
-        """A result as text, for people: at most `limit` rows."""
-        df = self.cypher(text, params).limit(limit)
+    def formatted(self, text: str, fmt: str = "JSONEachRow", params: dict | None = None, limit: int | None = None) -> str:
+        """A whole result as text, for people; with `limit`, its first rows."""
         kind = fmt.lower()
+        if kind == "graph":
+            nodes, edges = self.query_graph(text, params)
+            part = lambda df: [r.asDict() | {"properties": json.loads(r.properties or "{}")} for r in (df if limit is None else df.limit(limit)).collect()]
+            return json.dumps({"nodes": part(nodes), "edges": part(edges)}, sort_keys=True)
+        df = self.cypher(text, params)
+        df = df if limit is None else df.limit(limit)
         if kind in ("jsoneachrow", "json"):
             return "\n".join(r[0] for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect())
         if kind in ("csv", "csvwithnames"):
             body = df.toPandas().to_csv(index=False, header=kind == "csvwithnames")
             return body.rstrip("\n")
         if kind in ("pretty", "prettycompact"):
-            return df._jdf.showString(limit, 0 if kind == "pretty" else 40, False).rstrip("\n")
+            return df._jdf.showString(limit or df.count(), 0 if kind == "pretty" else 40, False).rstrip("\n")
         raise CypherError(f"unknown format {fmt!r}")
 
     def query_graph(self, text: str, params: dict | None = None) -> tuple[DataFrame, DataFrame]:
@@ -161,6 +172,41 @@ class Graph:
         self.tables.given[d.table] = old.unionByName(self.spark.createDataFrame(data, old.schema))
         return len(rows)
 
+    def create_edge(self, kind: str, **values) -> int:
+        return self.create_edges(kind, [values])
+
+    def upsert_edges(self, kind: str, rows: list[dict]) -> int:
+        """Edges that replace those of the same edge id (or the same ends)."""
+        d = self.schema().edges_of((kind,))[0]
+        old, ids = writes.writable(self, d), [*(d.edge_id or (*d.from_id, *d.to_id))]
+        data = [tuple({d.props.get(k, k): v for k, v in r.items()}.get(x.name) for x in old.schema) for r in rows]
+        new = self.spark.createDataFrame(data, old.schema)
+        self.tables.given[d.table] = old.join(new.select(*ids), ids, "left_anti").select(*old.columns).unionByName(new)
+        return len(rows)
+
+    def delete_edges(self, kind: str, rows: list[dict]) -> int:
+        """Deletes the edges with these values of columns or properties."""
+        d = self.schema().edges_of((kind,))[0]
+        old, names = writes.writable(self, d), sorted({d.props.get(k, k) for k in rows[0]}) if rows else []
+        if not names:
+            return 0
+        gone = self.spark.createDataFrame([tuple({d.props.get(k, k): v for k, v in r.items()}[n] for n in names) for r in rows], old.select(*names).schema).distinct()
+        mine = old.where(F.col(d.type_column) == F.lit(d.type)) if d.type_column else old
+        n = mine.join(gone, names, "left_semi").count()
+        rest = old.join(gone, names, "left_anti").select(*old.columns)
+        if d.type_column:
+            rest = rest.unionByName(old.where(~F.col(d.type_column).eqNullSafe(F.lit(d.type))).join(gone, names, "left_semi").select(*old.columns))
+        self.tables.given[d.table] = rest
+        return n
+
+    def load_cypher_create(self, text: str) -> int:
+        """Runs CREATE statements, one after another, that `;` parts."""
+        n = 0
+        for one in statements(text):
+            self.cypher(one)
+            n += self.counters.get("nodes_created", 0)
+        return n
+
     def upsert_nodes(self, label: str, rows: list[dict]) -> int:
         d = self.schema().node(label)
         old = writes.writable(self, d)
@@ -176,6 +222,15 @@ class Graph:
         self.cypher(f"MATCH ({names}:`{label}`) WHERE id({names}) IN $ids DETACH DELETE {names}", {"ids": ids}) if len(d.id) == 1 else None
         return self.counters
 
+    def import_json(self, label: str, path: str, **options) -> int:
+        return self.import_file(label, path, "json", **options)
+
+    def import_csv(self, label: str, path: str, **options) -> int:
+        return self.import_file(label, path, "csv", **options)
+
+    def import_parquet(self, label: str, path: str, **options) -> int:
+        return self.import_file(label, path, "parquet", **options)
+
     def import_file(self, label: str, path: str, fmt: str | None = None, **options) -> int:
         d = self.schema().node(label)
         old = writes.writable(self, d)
@@ -214,8 +269,31 @@ class Graph:
         return json.dumps(procedures.schema_map(self, self.schema()), indent=2, sort_keys=True)
 
 
+def statements(text: str) -> list[str]:
+    """The statements of a script; a `;` in quotes parts nothing."""
+    out, now, quote = [], "", ""
+    for i, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote and text[i - 1] != "\\" else quote
+        elif c in "'\"`":
+            quote = c
+        elif c == ";":
+            out.append(now)
+            now = ""
+            continue
+        now += c
+    return [s for x in [*out, now] if (s := x.strip())]
+
+
 def checked(params: dict) -> dict:
-    for k, v in params.items():
+    """Parameters without numbers that are not finite, at any depth."""
+
+    def visit(k, v):
         if isinstance(v, float) and v - v != 0:
             raise CypherError(f"parameter ${k} is not a finite number")
+        for x in v.values() if isinstance(v, dict) else v if isinstance(v, list | tuple) else ():
+            visit(k, x)
+
+    for k, v in params.items():
+        visit(k, v)
     return params

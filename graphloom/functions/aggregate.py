@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,10 +20,17 @@ def total(ctx, x: Column, distinct: bool) -> Column:
 
 
 def percentile_disc(ctx, x: Column, distinct: bool, p: Column) -> Column:
-    held = F.array_sort(F.collect_set(x) if distinct else F.collect_list(x))
+    """Of distinct values; all others are made by `ordered_percentile`."""
+    held = F.array_sort(F.collect_set(x))
     return F.try_element_at(held, F.greatest(F.lit(1), F.ceil(p * F.size(held))).cast("int"))
 
 
+def ordered_percentile(name: str, share: float, kind: T.DataType) -> Column:
+    """The discrete percentile of a column, which Spark keeps as counts."""
+    out = F.expr(f"percentile_disc({float(share)!r}D) WITHIN GROUP (ORDER BY `{name}`)")
+    return out.cast(kind) if isinstance(kind, T.NumericType) else out
+
+
 def spread(f: Callable) -> Callable:
     """A single value has spread 0; none has none."""
     return lambda ctx, x, d: F.when(F.count(x) == 1, F.lit(0.0)).otherwise(f(x))
@@ -50,14 +58,6 @@ NATIVE: dict[str, Callable] = {
     "stddevpop": F.stddev_pop, "stddevsamp": F.stddev_samp, "covarpop": F.covar_pop, "covarsamp": F.covar_samp, "corr": F.corr, "skewpop": F.skewness, "kurtpop": F.kurtosis, "argmin": F.min_by, "argmax": F.max_by, "groupbitand": F.bit_and,
     "groupbitor": F.bit_or, "groupbitxor": F.bit_xor, "groupbitmap": F.count_distinct, "avgweighted": lambda x, w: F.try_divide(F.sum(x * w), F.sum(w)), "countif": F.count_if, "sumif": lambda x, c: F.sum(F.when(c, x)),
     "avgif": lambda x, c: F.avg(F.when(c, x)), "groupconcat": lambda x: F.listagg(x.cast("string"), F.lit(",")), "histogram": lambda x: F.histogram_numeric(x, F.lit(10)), "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count,
-    "entropy": lambda x: F.ln(F.count(x)) / F.ln(F.lit(2.0)),
-}
-del NATIVE["entropy"]
-#: Spark's own aggregates that may be called by name through spark.f / dbx.f.
-SPARK_AGGREGATES = {
-    "any_value", "approx_count_distinct", "approx_percentile", "array_agg", "avg", "bit_and", "bit_or", "bit_xor", "bool_and", "bool_or", "collect_list", "collect_set", "corr", "count", "count_if", "count_min_sketch", "covar_pop", "covar_samp", "every",
-    "first", "first_value", "histogram_numeric", "hll_sketch_agg", "kurtosis", "last", "last_value", "listagg", "max", "max_by", "mean", "median", "min", "min_by", "mode", "percentile", "percentile_approx", "regr_avgx", "regr_avgy", "regr_count", "regr_intercept",
-    "regr_r2", "regr_slope", "regr_sxx", "regr_sxy", "regr_syy", "skewness", "some", "std", "stddev", "stddev_pop", "stddev_samp", "string_agg", "sum", "try_avg", "try_sum", "var_pop", "var_samp", "variance", "grouping", "bitmap_construct_agg", "bitmap_or_agg",
 }
 PREFIXES = ("ch.", "chagg.", "dbx.", "spark.")
 
@@ -66,12 +66,23 @@ def is_native(name: str) -> bool:
     return name.lower().startswith(PREFIXES)
 
 
+@cache
+def is_spark_aggregate(name: str) -> bool:
+    """Whether Spark's own registry has the name as an aggregate."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return False
+    ident = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
+    found = spark._jsparkSession.sessionState().functionRegistry().lookupFunction(ident)
+    return found.isDefined() and found.get().getGroup() == "agg_funcs"
+
+
 def is_native_aggregate(name: str) -> bool:
     prefix, _, f = name.partition(".")
     low = f.lower()
     if prefix.lower() == "chagg":
         return True
-    return low in NATIVE if prefix.lower() == "ch" else low in SPARK_AGGREGATES
+    return low in NATIVE if prefix.lower() == "ch" else is_spark_aggregate(low)
 
 
 def native(name: str, args: list[Column]) -> Column:

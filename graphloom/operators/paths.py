@@ -55,31 +55,69 @@ def walks(starts: DataFrame, edges: DataFrame, least: int, most: int) -> DataFra
     return result
 
 
-def shortest(starts: DataFrame, edges: DataFrame, least: int, most: int, every: bool) -> DataFrame:
+PAIR = ["__start", "__start_label", "__end", "__end_label"]
+
+
+def shortest(starts: DataFrame, edges: DataFrame, least: int, most: int, every: bool, goals: DataFrame | None = None, light: bool = False) -> DataFrame:
     """Breadth-first: one shortest path, or all, for each start and end.
 
     A round keeps only ends that the start has not reached before; state is
-    one row a reached pair, not a row a path.  Rounds end with the frontier.
+    one row a reached pair, not a row a path, and each round writes only its
+    own.  Rounds end with the frontier, or when every start has reached all
+    goals (__start, __start_label of the ends asked for).  light: paths hold
+    as many empty relationships as they have hops, and nothing is carried.
     """
-    level = first_level(starts, edges)
-    reached = level.select("__start", "__start_label", "__end", "__end_label")
-    out = [level] if least == 0 else []
-    pair = ["__start", "__start_label", "__end", "__end_label"]
+    # each round reads the edges again, so what made them is not done again
+    edges = edges.select("__a", "__a_label", "__b", "__b_label", *(() if light else ("__eid", "__rel")))
+    rel = None if light else edges.schema["__rel"].dataType.simpleString()
+    edges = stored(edges.distinct() if light else edges, "edges")
+    starts = stored(starts, "starts")
+    if goals is not None:
+        goals = stored(goals.select(F.col("__start").alias("__end"), F.col("__start_label").alias("__end_label")).distinct(), "goals")
+        reached = lambda rows, how: rows.alias("n").join(goals.withColumn("hit", F.lit(1)).alias("g"), (F.col("n.__end") == F.col("g.__end")) & (F.col("n.__end_label").isNull() | F.col("n.__end_label").eqNullSafe(F.col("g.__end_label"))), how)
+        wanted = starts.count() * goals.count()
+        there = reached(starts.select(F.col("__start").alias("__end"), F.col("__start_label").alias("__end_label")), "left_semi").count()
+    if light:
+        level = starts.select("__start", "__start_label", F.col("__start").alias("__end"), F.col("__start_label").alias("__end_label"), F.lit(0).alias("__hops"))
+    else:
+        level = first_level(starts, edges)
+    levels, before = [level], None
     for h in range(1, most + 1):
-        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"r.{c}")) for c in pair]
-        step = one_more(level, edges).select(KEPT).alias("n").join(reached.alias("r"), same, "left_anti")
-        if not every:
-            step = step.groupBy(*pair).agg(F.min(F.struct("__eids", "__rels", "__nodes", "__hops")).alias("m")).select(*pair, "m.*").select(KEPT)
+        if light:
+            near = (F.col("__end") == F.col("__a")) & (F.col("__end_label").eqNullSafe(F.col("__a_label")) | F.col("__a_label").isNull())
+            step = level.join(edges, near).select("__start", "__start_label", F.col("__b").alias("__end"), F.col("__b_label").alias("__end_label")).distinct().withColumn("__hops", F.lit(h))
+        else:
+            step = one_more(level, edges).select(KEPT)
+        before = level.select(PAIR) if before is None else before.unionByName(level.select(PAIR))
+        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"r.{c}")) for c in PAIR]
+        step = step.alias("n").join(before.alias("r"), same, "left_anti")
+        if not every and not light:
+            step = step.groupBy(*PAIR).agg(F.min(F.struct("__eids", "__rels", "__nodes", "__hops")).alias("m")).select(*PAIR, "m.*").select(KEPT)
         level = stored(step, "bfs")
-        if level.isEmpty():
+        if goals is None:
+            if level.isEmpty():
+                break
+        else:
+            pairs = level.select(PAIR).distinct() if every else level.select(PAIR)
+            n, hits = reached(pairs, "left").agg(F.count("*"), F.count("hit")).first()
+            if not n:
+                break
+            there += hits
+        levels.append(level)
+        if goals is not None and there >= wanted:
             break
-        reached = stored(reached.unionByName(level.select(pair).distinct()), "reached")
-        if h >= least:
-            out.append(level)
-    result = out[0] if out else level
-    for x in out[1:]:
+    kept = [x for i, x in enumerate(levels) if i >= least] or [level.where("false")]
+    result = kept[0]
+    for x in kept[1:]:
         result = result.unionByName(x)
-    return result
+    if goals is not None:
+        result = reached(result, "left_semi")
+    if light:
+        kind = "array<struct<__type:string,__eid:string,__src:string,__dst:string>>"
+        empty = F.struct(*(F.lit(None).cast("string").alias(c) for c in ("__type", "__eid", "__src", "__dst")))
+        return result.select(*PAIR, F.array().cast("array<string>").alias("__eids"), F.array_repeat(empty, F.col("__hops")).cast(kind).alias("__rels"), F.array(point("__start_label", "__start"), point("__end_label", "__end")).alias("__nodes"), "__hops")
+    assert rel is not None
+    return result.select(KEPT)
 
 
 def weighted_all(edges: DataFrame, starts: DataFrame, most: int | None = None, fewest_hops: bool = False) -> DataFrame:
@@ -130,16 +168,18 @@ def with_properties(found: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
-    """(node_id, pagerank): synchronous rounds from 1 / N, as (1 - d) +
+    """(node_id, label, pagerank): synchronous rounds from 1 / N, as (1 - d) +
     d * sum(rank / outdegree); nodes without in-edges drop out after round 1.
-    nodes: __id; edges: __src, __dst."""
-    out_degree = edges.groupBy("__src").agg(F.count("*").alias("deg"))
-    links = stored(edges.join(out_degree, "__src").groupBy("__src", "__dst", "deg").agg(F.count("*").alias("n")), "links")
+    nodes: __id, __label; edges: __src, __src_label, __dst, __dst_label.  A node
+    is its label and id, as ids of different labels overlap."""
+    ends = ["__src", "__src_label", "__dst", "__dst_label"]
+    out_degree = edges.groupBy("__src", "__src_label").agg(F.count("*").alias("deg"))
+    links = stored(edges.join(out_degree, ["__src", "__src_label"]).groupBy(*ends, "deg").agg(F.count("*").alias("n")), "links")
     n = nodes.count()
-    rank = nodes.select(F.col("__id").alias("__src"), F.lit(1.0 / max(n, 1)).alias("rank"))
+    rank = nodes.select(F.col("__id").alias("__src"), F.col("__label").alias("__src_label"), F.lit(1.0 / max(n, 1)).alias("rank"))
     for i in range(iterations):
-        share = links.join(rank, "__src").groupBy(F.col("__dst").alias("__src")).agg(F.sum(F.col("rank") * F.col("n") / F.col("deg")).alias("r"))
-        rank = share.select("__src", (F.lit(1 - damping) + F.lit(damping) * F.col("r")).alias("rank"))
+        share = links.join(rank, ["__src", "__src_label"]).groupBy("__dst", "__dst_label").agg(F.sum(F.col("rank") * F.col("n") / F.col("deg")).alias("r"))
+        rank = share.select(F.col("__dst").alias("__src"), F.col("__dst_label").alias("__src_label"), (F.lit(1 - damping) + F.lit(damping) * F.col("r")).alias("rank"))
         if i % 3 == 2 and i + 1 < iterations:
             rank = stored(rank, "rank")
-    return rank.select(F.col("__src").alias("node_id"), F.col("rank").alias("pagerank")).orderBy(F.desc("pagerank"), "node_id")
+    return rank.select(F.col("__src").alias("node_id"), F.col("__src_label").alias("label"), F.col("rank").alias("pagerank")).orderBy(F.desc("pagerank"), "node_id", "label")

@@ -71,26 +71,38 @@ def stats(graph, schema, args):
 
 
 def page_rank(graph, schema, args):
+    from graphloom.plans.compiler import unite
+
     named = {k: v for k, v in args if k}
     labels = named.get("nodeLabels")
     types = named.get("relationshipTypes")
     split = lambda x: [i.strip() for i in x.split(",")] if isinstance(x, str) else list(x) if x else None
     types, labels = split(types), split(labels)
-    edges = [edge_frame(graph.tables, schema, d).df.select("__src", "__dst") for d in schema.edges_of(tuple(types or ()))]
-    if not edges:
-        raise CypherError("pagerank: no relationships")
+    defs = schema.edges_of(tuple(types or ()))
     if labels is None:
-        labels = sorted({x for d in schema.edges_of(tuple(types or ())) for x in (d.from_label, d.to_label) if x})
-    nodes = [node_frame(graph.tables, schema, x).select("__id") for x in labels]
+        labels = sorted({x for d in defs for x in (d.from_label, d.to_label) if x}) or sorted(schema.nodes)
     iterations, damping = int(named.get("maxIterations", named.get("iterations", 10))), float(named.get("dampingFactor", 0.85))
     if iterations < 1 or not 0 <= damping <= 1:
         raise CypherError("pagerank: maxIterations must be positive and dampingFactor between 0 and 1")
-    all_nodes, all_edges = nodes[0], edges[0]
-    for n in nodes[1:]:
-        all_nodes = all_nodes.unionByName(n)
-    for e in edges[1:]:
-        all_edges = all_edges.unionByName(e)
-    return paths.pagerank(all_nodes, all_edges, iterations, damping)
+    ids = ("__id", "__src", "__dst")
+    edges = []
+    for d in defs:
+        df = edge_frame(graph.tables, schema, d).df.select("__src", "__src_label", "__dst", "__dst_label")
+        for end in ("__src_label", "__dst_label"):
+            if len(labels) == 1:  # an end that no label is given for
+                df = df.withColumn(end, F.coalesce(end, F.lit(labels[0])))
+        edges.append(df.where(F.col("__src_label").isin(labels) & F.col("__dst_label").isin(labels)))
+    if not edges:
+        raise CypherError("pagerank: no relationships")
+    nodes = [node_frame(graph.tables, schema, x).select("__id", "__label") for x in labels]
+    # ids of different kinds as text, alike in nodes and edges
+    kinds = {f.schema[c].dataType.simpleString() for f in [*nodes, *edges] for c in ids if c in f.columns}
+    if len(kinds) > 1:
+        kind = "bigint" if kinds <= {"int", "bigint", "smallint", "tinyint"} else "string"
+        cast = lambda f: f.select(*(F.col(c).cast(kind).alias(c) if c in ids else c for c in f.columns))
+        nodes, edges = [cast(f) for f in nodes], [cast(f) for f in edges]
+    out = paths.pagerank(unite(nodes, ()), unite(edges, ()), iterations, damping)
+    return out if len(labels) > 1 else out.drop("label")
 
 
 def exported(fmt: str):
@@ -102,7 +114,7 @@ def exported(fmt: str):
         df = graph.cypher(values[0], options.pop("params", None), schema=schema.name)
         from graphloom.sources.storage import write_export
 
-        write_export(df, values[1], fmt, options)
+        write_export(df, values[1], {"json": "jsoneachrow", "csv": "csvwithnames"}.get(fmt, fmt), options)
         return rows(graph.spark, [(values[1], fmt, len(df.columns))], "file string, format string, columns long")
 
     return run

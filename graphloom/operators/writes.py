@@ -103,6 +103,27 @@ def create(graph, schema, comp: Compiler, frame: Frame, c: A.Create, counters: d
     return frame
 
 
+def own_key(old: DataFrame, d):
+    """The id of the rows that are nodes of this label; null for those of other
+    labels of the same table."""
+    own = key(old, d.id)
+    if d.label_column:
+        own = F.when(F.col(d.label_column) == F.lit(d.label_value), own)
+    return F.when(F.expr(d.filter), own) if d.filter else own
+
+
+def end_key(old: DataFrame, e, label: str, side: str):
+    """The id of an edge table's rows whose end at this side is a node of the
+    label, as a column says if there is one."""
+    column, ids = (e.from_label_column, e.from_id) if side == "from" else (e.to_label_column, e.to_id)
+    own = key(old, ids)
+    if column:
+        own = F.when(F.col(column) == F.lit(label), own)
+    if e.type_column:
+        own = F.when(F.col(e.type_column) == F.lit(e.type), own)
+    return F.when(F.expr(e.filter), own) if e.filter else own
+
+
 def matched_ids(frame: Frame, var: str) -> tuple[DataFrame, Node]:
     b = frame.scope.get(var)
     if not isinstance(b, Node):
@@ -121,8 +142,8 @@ def update(graph, schema, comp: Compiler, frame: Frame, items: tuple, counters:
         target = plain_column(d, prop)
         if target in d.id:
             raise CypherError("an id can't be set")
-        new = rows.select(col(b.id).alias("__id"), comp.expr(frame)(value).cast(old.schema[target].dataType).alias("__new")).groupBy("__id").agg(F.max_by("__new", F.lit(1)).alias("__new"), F.lit(True).alias("__hit"))
-        both = old.withColumn("__id", key(old, d.id)).join(new, "__id", "left")
+        new = rows.select(col(b.id).alias("__id"), comp.expr(frame)(value).cast(old.schema[target].dataType).alias("__new")).groupBy("__id").agg(F.max("__new").alias("__new"), F.lit(True).alias("__hit"))  # of several values the greatest
+        both = old.withColumn("__id", own_key(old, d)).join(new, "__id", "left")
         counters["properties_set"] += new.count()
         out = both.withColumn(target, F.when(F.col("__hit"), F.col("__new")).otherwise(F.col(target))).select(*old.columns)
         graph.tables.given[d.table] = stored(out, d.table)
@@ -136,14 +157,13 @@ def delete(graph, schema, frame: Frame, c: A.Delete, counters: dict) -> None:
         label = b.labels[0]
         d = schema.node(label)
         for e in schema.edges:
-            for ends, own in ((e.from_label, e.from_id), (e.to_label, e.to_id)):
-                if ends != label or e.table == d.table:
+            for side in ("from", "to"):
+                said = e.from_label if side == "from" else e.to_label
+                if e.table == d.table or said not in (None, label):
                     continue
                 node_tables = {n.table for n in schema.nodes.values()}
                 old = writable(graph, e) if c.detach else graph.tables.read(e.table, e.source, e.view_parameters)
-                keyed = old.withColumn("__id", key(old, own))
-                if e.type_column:
-                    keyed = keyed.withColumn("__id", F.when(F.col(e.type_column) == e.type, F.col("__id")))
+                keyed = old.withColumn("__id", end_key(old, e, label, side))
                 hit = keyed.join(ids, "__id", "left_semi").count()
                 if hit and not c.detach:
                     raise CypherError(f"{var!r} still has relationships; use DETACH DELETE")
@@ -153,8 +173,6 @@ def delete(graph, schema, frame: Frame, c: A.Delete, counters: dict) -> None:
                     counters["relationships_deleted"] += hit
                     graph.tables.given[e.table] = stored(keyed.join(ids, "__id", "left_anti").select(*old.columns), e.table)
         old = writable(graph, d)
-        keyed = old.withColumn("__id", key(old, d.id))
-        if d.label_column:
-            keyed = keyed.withColumn("__id", F.when(F.col(d.label_column) == d.label_value, F.col("__id")))
+        keyed = old.withColumn("__id", own_key(old, d))
         counters["nodes_deleted"] += keyed.join(ids, "__id", "left_semi").count()
         graph.tables.given[d.table] = stored(keyed.join(ids, "__id", "left_anti").select(*old.columns), d.table)

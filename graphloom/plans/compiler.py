@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.functions import aggregate
 from graphloom.operators import paths
 from graphloom.plans import ast as A
 from graphloom.plans.ast import CypherError
@@ -60,9 +61,11 @@ def conjuncts(x) -> list:
 class Compiler:
     def __init__(self, graph, schema, params: dict, max_hops: int = 5) -> None:
         self.graph, self.schema, self.params, self.max_hops = graph, schema, params, max_hops
-        self.spark, self.tables, self.count = graph.spark, graph.tables, 0
+        self.spark, self.tables, self.count, self.trusted = graph.spark, graph.tables, 0, graph.trusted
         self.used: dict[str, set] = {}
         self.whole: set[str] = set()
+        #: parts of the WHERE in work that speak of one unbound node, by its name
+        self.pending: dict[str, list] = {}
 
     # ------------------------------------------------------------- helpers
 
@@ -110,6 +113,10 @@ class Compiler:
         self.star = False
         #: path variables whose nodes are looked into
         self.opened = {a.name for x in A.walk(q) if isinstance(x, A.Call) and x.name.lower() == "nodes" for a in x.args if isinstance(a, A.Var)}
+        #: path variables of which only the length is asked
+        names = [x.name for x in A.walk(q) if isinstance(x, A.Var)]
+        lengths = [a.name for x in A.walk(q) if isinstance(x, A.Call) and x.name.lower() == "length" and len(x.args) == 1 for a in x.args if isinstance(a, A.Var)]
+        self.measured = {n for n in lengths if names.count(n) == lengths.count(n)}
         self.costed = {a.name for x in A.walk(q) if isinstance(x, A.Call) and x.name.lower() == "cost" for a in x.args if isinstance(a, A.Var)}
         visit(q)
 
@@ -304,6 +311,8 @@ class Compiler:
 
     def bind_nodes(self, var: str, labels: set) -> tuple[DataFrame, Node]:
         df = self.nodes_frame(labels)
+        if not self.trusted:  # one row an id
+            df = df.dropDuplicates(["__id", "__label"])
         ident, lab = self.fresh(f"{var}_id"), self.fresh(f"{var}_label")
         props = {p: self.fresh(f"{var}_{p}") for p in df.columns if p not in ("__id", "__label")}
         out = df.select(F.col("__id").alias(ident), F.col("__label").alias(lab), *(F.col(f"`{p}`").alias(c) for p, c in props.items()))
@@ -319,8 +328,34 @@ class Compiler:
         if n.props is not None:
             for k, v in self.prop_items(n.props):
                 df = df.where(self.expr(Frame(df, frame.scope))(A.Op("=", (A.Prop(A.Var(var), k), v))))
+        for c in self.pending.pop(var, ()):
+            df = df.where(self.expr(Frame(df, frame.scope))(c))
         return Frame(df, frame.scope)
 
+    def weight(self, n: A.NodePat, name: str) -> int:
+        """How much is known of a node: equalities most, then other filters."""
+        known = 4 * len(self.prop_items(n.props)) if n.props is not None else 0
+        for c in self.pending.get(name, ()):
+            known += {"=": 4, "IN": 3, "STARTS WITH": 2}.get(c.op, 1) if isinstance(c, A.Op) else 1
+        return known
+
+    @staticmethod
+    def apart(where, patterns: tuple, scope: dict) -> tuple[dict, list]:
+        """The conjuncts of a WHERE that speak of one node that the patterns
+        bind, by its name, and the others.  The former filter the node where it
+        is bound: before joins, and before a walk or search starts from it."""
+        nodes = {n.var for p in patterns for n in p.items[::2] if n.var} - set(scope)
+        held, rest = {}, []
+        for c in conjuncts(where):
+            parts = list(A.walk(c))
+            names = {x.name for x in parts if isinstance(x, A.Var)}
+            plain = not any(isinstance(x, A.PatternExpr | A.PatternComp) or isinstance(x, A.Call) and x.name.lower() in ("rand", "randomuuid") for x in parts)
+            if plain and len(names) == 1 and names <= nodes:
+                held.setdefault(names.pop(), []).append(c)
+            else:
+                rest.append(c)
+        return held, rest
+
     def pattern(self, frame: Frame, p: A.PathPat, edges_seen: list) -> Frame:
         items = list(p.items)
         names = []
@@ -334,14 +369,14 @@ class Compiler:
         start = next((i for i in range(0, len(items), 2) if names[i] in frame.scope), None)
         fixed = start is not None
         if start is None:
-            start = next((i for i in range(0, len(items), 2) if items[i].props is not None), 0)
+            start = max(range(0, len(items), 2), key=lambda i: (self.weight(items[i], names[i]), -i))
         if p.kind != "plain":
             return self.shortest(frame, p, items, names, labels)
         steps = [(i, i + 1, i + 2) for i in range(start, len(items) - 2, 2)] + [(i, i - 1, i - 2) for i in range(start, 1, -2)]
         own = frame
         if not fixed:
             own = Frame(None, {})
-            if not steps or self.needs(names[start]) or items[start].props is not None or items[steps[0][1]].hops or any(self.schema.node(x).filter for x in labels[start // 2]) or items[start].var in {x.var for k, x in enumerate(items) if k != start and x.var}:
+            if not steps or not self.trusted or self.needs(names[start]) or items[start].props is not None or items[steps[0][1]].hops or any(self.schema.node(x).filter for x in labels[start // 2]) or items[start].var in {x.var for k, x in enumerate(items) if k != start and x.var}:
                 first = items[steps[0][1]] if steps else None
                 lead = None
                 if first is not None and not first.hops:
@@ -419,7 +454,7 @@ class Compiler:
         plain = not any(self.schema.node(x).filter for x in labels)
         if embedded is not None and len(labels) == 1:
             return Frame(frame.df, {**frame.scope, name: Node(ident, label, tuple(labels), embedded)})
-        if not self.needs(name) and not filtered and plain:
+        if self.trusted and not self.needs(name) and not filtered and plain:
             return Frame(frame.df, {**frame.scope, name: Node(ident, label, tuple(sorted(labels)), {})})
         df, node = self.bind_nodes(name, labels)
         cond = self.same(frame.df, ident, df, node.id)
@@ -510,42 +545,52 @@ class Compiler:
         source, target and weight; cost(p) is its sum."""
         w = {k: frame.scope[k].name for k in ("source", "target", "weight")}
         edges = paths.stored(frame.df.select(*(col(c).alias(k) for k, c in w.items())).distinct(), "weights")
-        ends = Frame(None, {})
+        ends = []
         for i in (0, 2):
             df, node = self.bind_nodes(names[i], labels[i // 2])
-            one = self.with_props(Frame(df, {names[i]: node}), items[i], names[i])
-            ends = one if ends.df is None else Frame(ends.df.crossJoin(one.df), {**ends.scope, **one.scope})
-        a, z = ends.scope[names[0]], ends.scope[names[2]]
-        starts = self.nodes_frame(labels[0]) if items[0].props is None else self.with_props(Frame(*(lambda d, n: (d, {names[0]: n}))(*self.bind_nodes(names[0], labels[0]))), items[0], names[0]).df
-        first = "__id" if "__id" in starts.columns else starts.columns[0]
-        best = paths.weighted_all(edges, starts.select(F.col(first).alias("__start")).distinct())
+            ends.append(self.with_props(Frame(df, {names[i]: node}), items[i], names[i]))
+        a, z = ends[0].scope[names[0]], ends[1].scope[names[2]]
+        best = paths.weighted_all(edges, ends[0].df.select(col(a.id).alias("__start")).distinct())
         s, t, c, n, r = (self.fresh(x) for x in ("start", "end", "cost", "nodes", "rels"))
         point = lambda x: F.struct(F.lit(None).cast("string").alias("__label"), x.cast("string").alias("__id"))
         nodes, rels = F.transform("path", point), F.transform(F.slice("path", F.lit(2), F.size("path") - 1), lambda x: F.struct(x.cast("string").alias("__dst")))
         best = best.where(F.size("path") > 1).select(F.col("__start").alias(s), F.col("node").alias(t), F.col("cost").alias(c), nodes.alias(n), rels.alias(r))
-        df = ends.df.join(best, self.same(ends.df, a.id, best, s) & self.same(ends.df, z.id, best, t))
-        return Frame(df, {**ends.scope, p.var: Path(n, r, c)})
+        df = ends[0].df.join(best, self.same(ends[0].df, a.id, best, s))
+        df = df.join(ends[1].df, self.same(df, t, ends[1].df, z.id))
+        return Frame(df, {**ends[0].scope, **ends[1].scope, p.var: Path(n, r, c)})
 
     def shortest(self, frame: Frame, p: A.PathPat, items, names, labels) -> Frame:
         if p.var in self.costed and {"source", "target", "weight"} <= set(frame.scope):
             return self.weighted(frame, p, items, names, labels)
-        near, far = (0, 2) if names[0] in frame.scope or names[2] not in frame.scope else (2, 0)
+        known = [names[i] in frame.scope for i in (0, 2)]
+        if known[0] == known[1]:  # from the side of which more is known
+            near, far = (0, 2) if known[0] or self.weight(items[0], names[0]) >= self.weight(items[2], names[2]) else (2, 0)
+        else:
+            near, far = (0, 2) if known[0] else (2, 0)
         r = replace(items[1], direction=self.turned(items[1].direction, far > near))
         least, most = r.hops or (1, 1)
         most = max(self.max_hops, least) if most is None else most
-        for i in (0, 2):
-            if names[i] not in frame.scope and (i == near or items[i].props is not None or self.needs(names[i])):
-                df, node = self.bind_nodes(names[i], labels[i // 2])
-                one = self.with_props(Frame(df, {names[i]: node}), items[i], names[i])
-                frame = one if frame.df is None else Frame(frame.df.crossJoin(one.df), {**frame.scope, **one.scope})
-            elif names[i] in frame.scope:
-                frame = self.with_props(frame, items[i], names[i])
+        if names[near] in frame.scope:
+            frame = self.with_props(frame, items[near], names[near])
+        else:
+            df, node = self.bind_nodes(names[near], labels[near // 2])
+            one = self.with_props(Frame(df, {names[near]: node}), items[near], names[near])
+            frame = one if frame.df is None else Frame(frame.df.crossJoin(one.df), {**frame.scope, **one.scope})
+        goals = None
+        if names[far] in frame.scope:
+            frame = self.with_props(frame, items[far], names[far])
+            goals = self.walk_ends(frame, names[far])[0]
+        elif items[far].props is not None or names[far] in self.pending:
+            df, node = self.bind_nodes(names[far], labels[far // 2])
+            goals = self.walk_ends(self.with_props(Frame(df, {names[far]: node}), items[far], names[far]), names[far])[0]
         o = self.path_edges(r, labels[near // 2], labels[far // 2])
         starts, b = self.walk_ends(frame, names[near])
-        found = paths.shortest(starts, o.df, least, most, p.kind == "all_shortest")
+        # without any use of its parts a path is no more than its length
+        light = p.kind != "all_shortest" and (p.var is None or p.var in self.measured) and not self.needs(items[1].var)
+        found = paths.shortest(starts, o.df, least, most, p.kind == "all_shortest", goals, light)
         if p.var in self.opened:
             found = paths.with_properties(found, self.nodes_frame(labels[0] | labels[1]))
-        if far < near:
+        if far < near and not light:
             found = found.withColumn("__nodes", F.reverse("__nodes")).withColumn("__rels", F.reverse("__rels"))
         out = self.back_join(frame, found, b, names, items, labels, 1, far)
         return self.bind_path(out, p.var, names) if p.var else out
@@ -579,11 +624,18 @@ class Compiler:
     # --------------------------------------------------------------- match
 
     def match(self, frame: Frame, m: A.Match) -> Frame:
+        return self.tidied(self.matched(frame, m.patterns, m.where))
+
+    def matched(self, frame: Frame, patterns: tuple, where, path: str | None = None) -> Frame:
+        """Patterns one after another, and the WHERE as early as it can be."""
         seen: list = []
-        for p in self.ordered(m.patterns, frame.scope):
-            frame = self.pattern(frame, p, seen)
-        frame = self.where(frame, m.where)
-        return self.tidied(frame)
+        outer = self.pending
+        self.pending, rest = self.apart(where, patterns, frame.scope)
+        for p in self.ordered(patterns, frame.scope):
+            frame = self.pattern(frame, A.PathPat(path or p.var, p.items, p.kind), seen)
+        rest += [c for own in self.pending.values() for c in own]
+        self.pending = outer
+        return self.where(frame, rest)
 
     @staticmethod
     def ordered(patterns: tuple, scope: dict) -> list:
@@ -604,7 +656,7 @@ class Compiler:
         return Frame(frame.df.select(*(col(c) for c in cols)) if cols else frame.df.select(F.lit(1).alias("__one")), scope)
 
     def where(self, frame: Frame, x) -> Frame:
-        for c in conjuncts(x):
+        for c in x if isinstance(x, list) else conjuncts(x):
             inner, no = (c.args[0], True) if isinstance(c, A.Op) and c.op == "NOT" else (c, False)
             if isinstance(inner, A.PatternExpr) and inner.kind == "exists":
                 frame = self.semi(frame, inner, no)
@@ -632,10 +684,7 @@ class Compiler:
             base = Frame(frame.df.select(*(col(k) for k in keys)).distinct(), {n: replace(b, props={}) if b in simple else b for n, b in outer.items()})
         else:
             keys, base = [], Frame(None, {})
-        seen: list = []
-        for p in self.ordered(patterns, base.scope):
-            base = self.pattern(base, A.PathPat(path or p.var, p.items, p.kind), seen)
-        base = self.where(base, where)
+        base = self.matched(base, patterns, where, path)
         self.used, self.whole = saved
         return base, keys
 
@@ -876,7 +925,17 @@ class Compiler:
             else:
                 scope[i.name] = Value(as_key(i.value, i.name))
         order = [(A.rebuild(x, swap) if has_aggregate(x) else x, up) for x, up in order]
-        cols = [e(n).alias(c) for n, c in aggs.items()] + [c.alias(k) for k, c in firsts.items()]
+        cols = []
+        for n, c in aggs.items():
+            if isinstance(n, A.Call) and n.name.lower() == "percentiledisc" and not n.distinct and len(n.args) == 2:
+                value, own = e(n.args[0]), self.fresh("ordered")
+                kind = e.dtype(value)
+                if isinstance(kind, T.NumericType):
+                    frame = Frame(frame.df.withColumn(own, value), frame.scope)
+                    cols.append(aggregate.ordered_percentile(own, self.constant_of(n.args[1], e), kind).alias(c))
+                    continue
+            cols.append(e(n).alias(c))
+        cols += [c.alias(k) for k, c in firsts.items()]
         if not cols:
             cols = [F.lit(1).alias("__one")]
         df = frame.df.groupBy(*(c.alias(k) for k, c in keys.items())).agg(*cols) if keys else frame.df.agg(*cols)

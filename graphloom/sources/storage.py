@@ -5,18 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: File formats by ending.
 FORMATS = {"parquet": "parquet", "csv": "csv", "tsv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "orc": "orc", "avro": "avro"}
-#: Names of export formats, in any case.
-EXPORTS = {"parquet": "parquet", "csv": "csv", "csvwithnames": "csv", "tsv": "tsv", "tsvwithnames": "tsv", "tabseparated": "tsv", "json": "json", "jsoneachrow": "json", "ndjson": "json", "orc": "orc"}
+#: Names of export formats, in any case -> format and, of text, its header and
+#: separator.  JSON is one array of objects, JSONEachRow an object a line.
+EXPORTS = {
+    "parquet": ("parquet",), "orc": ("orc",), "json": ("array",), "jsoneachrow": ("json",), "ndjson": ("json",), "csv": ("csv", "false", ","), "csvwithnames": ("csv", "true", ","), "tsv": ("csv", "false", "\t"), "tsvwithnames": ("csv", "true", "\t"),
+    "tabseparated": ("csv", "false", "\t"), "tabseparatedwithnames": ("csv", "true", "\t"),
+}
+#: The format of an export that only its ending tells; .json files hold an object
+#: a line, as Spark reads them.
+BY_ENDING = {"parquet": "parquet", "csv": "csvwithnames", "tsv": "tsvwithnames", "json": "jsoneachrow", "jsonl": "jsoneachrow", "ndjson": "jsoneachrow", "orc": "orc"}
 SCHEMES = {"s3://": "s3a://", "gs://": "gs://", "azure://": "abfss://"}
 
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -56,13 +67,28 @@ def read_source(spark: SparkSession, uri: str, options: dict | None = None) -> D
 def write_export(df: DataFrame, dest: str, fmt: str | None = None, options: dict | None = None, mode: str = "overwrite") -> str:
     """Write a result.  The format is given or told by the ending."""
     options = {k: str(v) for k, v in (options or {}).items()}
-    kind = EXPORTS.get((fmt or ending(dest) or "parquet").lower().replace("_", ""))
-    if kind is None:
-        kind = EXPORTS.get(FORMATS.get(ending(dest), ""), None)
-    if kind is None:
+    name = fmt.lower().replace("_", "") if fmt else BY_ENDING.get(ending(dest), "parquet" if not ending(dest) else "")
+    if name not in EXPORTS:
         raise ValueError(f"unknown export format {fmt or ending(dest)!r}")
-    if kind in ("csv", "tsv"):
-        options = {"header": "true", "sep": "\t" if kind == "tsv" else ","} | options
-        kind = "csv"
+    kind, *text = EXPORTS[name]
+    if text:
+        options = {"header": text[0], "sep": text[1]} | options
+    if kind == "array":
+        def framed(batches):
+            """One array over all rows, streamed: an object a line."""
+            head = "["
+            for b in batches:
+                for i in range(0, b.num_rows, 1000):
+                    lines = b.column(0).slice(i, 1000).drop_null().to_pylist()
+                    if not lines:
+                        continue
+                    yield pa.RecordBatch.from_arrays([pa.array([(head if k == 0 else ",") + x for k, x in enumerate(lines)])], ["value"])
+                    head = ","
+            yield pa.RecordBatch.from_arrays([pa.array(["[]" if head == "[" else "]"])], ["value"])
+
+        rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+        end = df.sparkSession.range(1).select(F.lit(None).cast("string").alias("value"))  # there is a task even for no rows
+        rows.union(end).coalesce(1).mapInArrow(framed, "value string").write.options(**options).mode(mode).text(dest)
+        return dest
     df.write.format(kind).options(**options).mode(mode).save(dest)
     return dest

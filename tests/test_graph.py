@@ -24,11 +24,12 @@ SOCIAL = {
 
 @pytest.fixture(scope="module")
 def g(spark):
-    users = spark.createDataFrame([(1, "Alice", 30, "1990-05-17", 1700000000000), (2, "Bob", 25, "1995-01-02", 0), (3, "Charlie", 35, None, None), (4, "Diana", 28, "1992-12-31", 1), (5, "Eve", 32, "1988-02-29", 2)], "user_id long, name string, age int, born string, since long").withColumn("born", F.to_date("born"))
+    people = [(10, "Ivo", 41, "1984-03-09", 1650000000000), (20, "Mara", 19, "2006-11-30", 0), (30, "Tess", 64, None, None), (40, "Noor", 33, "1992-02-29", 1000), (50, "Olaf", 27, "1998-07-04", 86400000), (60, "Pia", 52, "1973-12-31", 2)]
+    users = spark.createDataFrame(people, "user_id long, name string, age int, born string, since long").withColumn("born", F.to_date("born"))
     return Graph(spark, SOCIAL, {
-        "users": users, "products": spark.createDataFrame([(1, "Laptop", 999.5), (2, "Phone", 500.0), (3, "Book", 20.0)], "product_id long, pname string, price double"),
-        "follows": spark.createDataFrame([(1, 2, 2020), (2, 3, 2021), (3, 4, 2020), (1, 3, 2022), (2, 4, 2023)], "a long, b long, y int"), "friends": spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 4)], "a long, b long"),
-        "bought": spark.createDataFrame([(1, 1, 1), (1, 3, 2), (2, 2, 1), (3, 3, 1)], "u long, p long, n int"),
+        "users": users, "products": spark.createDataFrame([(1, "kayak", 750.0), (2, "paddle", 45.5), (3, "map", 9.0), (4, "tent", 310.0)], "product_id long, pname string, price double"),
+        "follows": spark.createDataFrame([(10, 20, 2011), (20, 10, 2012), (20, 30, 2013), (30, 40, 2014), (30, 50, 2015), (50, 20, 2016), (40, 50, 2017), (20, 40, 2018)], "a long, b long, y int"),
+        "friends": spark.createDataFrame([(10, 30), (30, 60), (50, 50), (40, 10)], "a long, b long"), "bought": spark.createDataFrame([(20, 1, 1), (20, 3, 4), (40, 2, 2), (50, 3, 1), (50, 4, 1)], "u long, p long, n int"),
     })
 
 
@@ -37,62 +38,65 @@ def values(g, text, **params):
 
 
 def test_optional_keeps_everyone(g):
-    assert values(g, "MATCH (u:User) OPTIONAL MATCH (u)-[:FOLLOWS]->(v:User) RETURN u.name AS n, count(v) AS k") == [("Alice", 2), ("Bob", 2), ("Charlie", 1), ("Diana", 0), ("Eve", 0)]
+    got = values(g, "MATCH (u:User) OPTIONAL MATCH (u)-[:FOLLOWS]->(v:User) RETURN u.name AS n, count(v) AS k")
+    assert got == [("Ivo", 1), ("Mara", 3), ("Noor", 1), ("Olaf", 1), ("Pia", 0), ("Tess", 2)]
 
 
 def test_optional_multi_hop_is_all_or_nothing(g):
-    got = values(g, "MATCH (u:User) OPTIONAL MATCH (u)-[:FOLLOWS]->(v:User)-[:BOUGHT]->(p:Product {name: 'Phone'}) RETURN u.id AS u, v.id AS v, p.id AS p")
-    assert got == [(1, 2, 2), (2, None, None), (3, None, None), (4, None, None), (5, None, None)]
+    got = values(g, "MATCH (u:User) OPTIONAL MATCH (u)-[:FOLLOWS]->(v:User)-[:BOUGHT]->(p:Product {name: 'map'}) RETURN u.id AS u, v.id AS v, p.id AS p")
+    assert got == [(10, 20, 3), (20, None, None), (30, 50, 3), (40, 50, 3), (50, 20, 3), (60, None, None)]
 
 
 def test_trails(g):
-    assert values(g, "MATCH (a:User {name: 'Alice'})-[:FOLLOWS*1..3]->(b:User) RETURN b.id AS b, count(*) AS n") == [(2, 1), (3, 2), (4, 3)]
+    # 10-20, 10-20-10, 10-20-30, 10-20-40, 10-20-30-40, 10-20-30-50, 10-20-40-50
+    assert values(g, "MATCH (a:User {name: 'Ivo'})-[:FOLLOWS*1..3]->(b:User) RETURN b.id AS b, count(*) AS n") == [(10, 1), (20, 1), (30, 1), (40, 2), (50, 2)]
 
 
 def test_path_functions(g):
-    got = values(g, "MATCH p = (a:User {id: 1})-[:FOLLOWS*2]->(b:User) RETURN [n IN nodes(p) | n.__id] AS ids, length(p) AS l, [r IN relationships(p) | r.since] AS y")
-    assert got == [(["1", "2", "3"], 2, [2020, 2021]), (["1", "2", "4"], 2, [2020, 2023]), (["1", "3", "4"], 2, [2022, 2020])]
+    got = values(g, "MATCH p = (a:User {id: 10})-[:FOLLOWS*2]->(b:User) RETURN [n IN nodes(p) | n.__id] AS ids, length(p) AS l, [r IN relationships(p) | r.since] AS y")
+    assert got == [(["10", "20", "10"], 2, [2011, 2012]), (["10", "20", "30"], 2, [2011, 2013]), (["10", "20", "40"], 2, [2011, 2018])]
 
 
 def test_path_node_properties(g):
-    got = values(g, "MATCH p = (a:User {id: 1})-[:FOLLOWS]->(b:User)-[:FOLLOWS]->(c:User) RETURN [n IN nodes(p) | n.name] AS names")
-    assert got == [(["Alice", "Bob", "Charlie"],), (["Alice", "Bob", "Diana"],), (["Alice", "Charlie", "Diana"],)]
-    got = values(g, "MATCH p = (a:User {id: 1})-[:FOLLOWS*2..3]->(b:User) RETURN [n IN nodes(p) | n.name + '!'] AS names, all(n IN nodes(p) WHERE n.age > 24) AS old")
-    assert got[0] == (["Alice!", "Bob!", "Charlie!", "Diana!"], True) and len(got) == 4
-    got = values(g, "MATCH p = shortestPath((a:User {id: 1})-[:FOLLOWS*]->(b:User {id: 4})) RETURN size([n IN nodes(p) WHERE n.age > 29]) AS k")
-    assert len(got) == 1
+    got = values(g, "MATCH p = (a:User {id: 20})-[:FOLLOWS]->(b:User)-[:FOLLOWS]->(c:User) RETURN [n IN nodes(p) | n.name] AS names")
+    assert got == [(["Mara", "Ivo", "Mara"],), (["Mara", "Noor", "Olaf"],), (["Mara", "Tess", "Noor"],), (["Mara", "Tess", "Olaf"],)]
+    got = values(g, "MATCH p = (a:User {id: 30})-[:FOLLOWS*2..3]->(b:User) RETURN [n IN nodes(p) | n.name + '!'] AS names, all(n IN nodes(p) WHERE n.age > 24) AS old")
+    # only 30-40-50 leaves out Mara, who is 19
+    assert len(got) == 6 and [x for x, old in got if old] == [["Tess!", "Noor!", "Olaf!"]] and (["Tess!", "Olaf!", "Mara!", "Ivo!"], False) in got
+    got = values(g, "MATCH p = shortestPath((a:User {id: 10})-[:FOLLOWS*]->(b:User {id: 50})) RETURN size([n IN nodes(p) WHERE n.age > 29]) AS k")
+    assert got == [(2,)]
 
 
 def test_weighted_path_in_a_query(g):
-    q = "MATCH (a:User)-[r:FOLLOWS]->(b:User) WITH a.id AS source, b.id AS target, r.since - 2019 AS weight MATCH p = shortestPath((x:User {id: 1})-[*]->(y:User {id: 4})) RETURN cost(p) AS c, length(p) AS l"
-    assert values(g, q) == [(4.0, 2)]
+    q = "MATCH (a:User)-[r:FOLLOWS]->(b:User) WITH a.id AS source, b.id AS target, r.since - 2010 AS weight MATCH p = shortestPath((x:User {id: 10})-[*]->(y:User {id: 50})) RETURN cost(p) AS c, length(p) AS l"
+    assert values(g, q) == [(9.0, 3)]  # 1 + 3 + 5, by 20 and 30
 
 
 def test_shortest(g):
-    assert values(g, "MATCH (a:User {id: 1}), (b:User {id: 4}) MATCH p = shortestPath((a)-[:FOLLOWS*]->(b)) RETURN length(p) AS l") == [(2,)]
-    assert values(g, "MATCH p = allShortestPaths((a:User {id: 1})-[:FOLLOWS*..5]->(b:User {id: 4})) RETURN length(p) AS l") == [(2,), (2,)]
-    assert values(g, "MATCH (a:User {id: 4}), (b:User {id: 1}) OPTIONAL MATCH p = shortestPath((a)-[:FOLLOWS*]->(b)) RETURN p IS NULL AS none, length(p) AS l") == [(True, None)]
+    assert values(g, "MATCH (a:User {id: 10}), (b:User {id: 50}) MATCH p = shortestPath((a)-[:FOLLOWS*]->(b)) RETURN length(p) AS l") == [(3,)]
+    assert values(g, "MATCH p = allShortestPaths((a:User {id: 20})-[:FOLLOWS*..5]->(b:User {id: 50})) RETURN length(p) AS l") == [(2,), (2,)]
+    assert values(g, "MATCH (a:User {id: 60}), (b:User {id: 10}) OPTIONAL MATCH p = shortestPath((a)-[:FOLLOWS*]->(b)) RETURN p IS NULL AS none, length(p) AS l") == [(True, None)]
 
 
 def test_undirected_self_loop_once(g):
     got = values(g, "MATCH (a:User)-[:FRIEND]-(b:User) RETURN a.id AS a, b.id AS b")
-    assert got == [(1, 2), (2, 1), (2, 3), (3, 2), (3, 4), (4, 3), (4, 4)]
+    assert got == [(10, 30), (10, 40), (30, 10), (30, 60), (40, 10), (50, 50), (60, 30)]
 
 
 def test_undirected_walk_mixes_directions(g):
-    got = values(g, "MATCH (a:User {id: 1})-[:FOLLOWS*2]-(b:User) RETURN b.id AS b, count(*) AS n")
-    # 1-2-3, 1-2-4, 1-3-2, 1-3-4
-    assert got == [(2, 1), (3, 1), (4, 2)]
+    got = values(g, "MATCH (a:User {id: 40})-[:FOLLOWS*2]-(b:User) RETURN b.id AS b, count(*) AS n")
+    # over 30: 20, 50; over 20: 10 twice, 30, 50; over 50: 30, 20
+    assert got == [(10, 2), (20, 2), (30, 2), (50, 2)]
 
 
 def test_uniqueness_is_per_match(g):
-    one = values(g, "MATCH (a:User)-[:FRIEND]-(b:User)-[:FRIEND]-(c:User) WHERE a.id = 1 RETURN c.id AS c")
-    two = values(g, "MATCH (a:User)-[:FRIEND]-(b:User) WHERE a.id = 1 MATCH (b)-[:FRIEND]-(c:User) RETURN c.id AS c")
-    assert one == [(3,)] and two == [(1,), (3,)]
+    one = values(g, "MATCH (a:User)-[:FRIEND]-(b:User)-[:FRIEND]-(c:User) WHERE a.id = 60 RETURN c.id AS c")
+    two = values(g, "MATCH (a:User)-[:FRIEND]-(b:User) WHERE a.id = 60 MATCH (b)-[:FRIEND]-(c:User) RETURN c.id AS c")
+    assert one == [(10,)] and two == [(10,), (60,)]
 
 
 def test_constraint(g):
-    assert values(g, "MATCH (a:User)-[:OLDER]->(b:User) RETURN a.id AS a, b.id AS b") == [(1, 2), (3, 4)]
+    assert values(g, "MATCH (a:User)-[:OLDER]->(b:User) RETURN a.id AS a, b.id AS b") == [(10, 20), (30, 40), (30, 50), (40, 50), (50, 20)]
 
 
 def test_semantics(g):
@@ -103,8 +107,8 @@ def test_semantics(g):
 
 
 def test_temporal(g):
-    got = values(g, "MATCH (u:User) WHERE u.id IN [1, 4] RETURN u.born.year AS y, month(u.born) AS m, dayOfWeek(u.born) AS d, year(u.since) AS s, toString(u.born + duration({days: 1})) AS t")
-    assert got == [(1990, 5, 4, 2023, "1990-05-18"), (1992, 12, 4, 1970, "1993-01-01")]
+    got = values(g, "MATCH (u:User) WHERE u.id IN [10, 60] RETURN u.born.year AS y, month(u.born) AS m, dayOfWeek(u.born) AS d, year(u.since) AS s, toString(u.born + duration({days: 1})) AS t")
+    assert got == [(1973, 12, 1, 1970, "1974-01-01"), (1984, 3, 5, 2022, "1984-03-10")]
 
 
 def test_order_nulls(g):
@@ -115,18 +119,18 @@ def test_order_nulls(g):
 def test_whole_entities(g):
     assert g.cypher("MATCH (u:User) RETURN u").columns == ["u.age", "u.born", "u.id", "u.name", "u.since"]
     assert g.cypher("MATCH (u:User)-[r:FOLLOWS]->() RETURN r").columns == ["r.since"]
-    assert values(g, "MATCH (u:User) WITH collect(u) AS us UNWIND us AS u RETURN u.name AS n")[0] == ("Alice",)
-    assert values(g, "MATCH (u:User)-[:BOUGHT]->(p) WITH u, collect(p.name) AS ps WHERE size(ps) > 1 RETURN u.name AS n, size(ps) AS k") == [("Alice", 2)]
+    assert values(g, "MATCH (u:User) WITH collect(u) AS us UNWIND us AS u RETURN u.name AS n")[0] == ("Ivo",)
+    assert values(g, "MATCH (u:User)-[:BOUGHT]->(p) WITH u, collect(p.name) AS ps WHERE size(ps) > 1 RETURN u.name AS n, size(ps) AS k") == [("Mara", 2), ("Olaf", 2)]
 
 
 def test_untyped(g):
-    assert values(g, "MATCH (n) RETURN labels(n)[0] AS l, count(*) AS k") == [("Product", 3), ("User", 5)]
-    assert values(g, "MATCH (:User {id: 1})-[r]->(x) RETURN type(r) AS t, count(*) AS k") == [("BOUGHT", 2), ("FOLLOWS", 2), ("FRIEND", 1), ("OLDER", 1)]
+    assert values(g, "MATCH (n) RETURN labels(n)[0] AS l, count(*) AS k") == [("Product", 4), ("User", 6)]
+    assert values(g, "MATCH (:User {id: 50})-[r]->(x) RETURN type(r) AS t, count(*) AS k") == [("BOUGHT", 2), ("FOLLOWS", 1), ("FRIEND", 1), ("OLDER", 1)]
 
 
 def test_patterns_in_expressions(g):
-    assert values(g, "MATCH (u:User) WHERE NOT (u)-[:BOUGHT]->() RETURN u.id AS i") == [(4,), (5,)]
-    assert values(g, "MATCH (u:User) RETURN u.id AS i, size([(u)-[b:BOUGHT]->(p) WHERE p.price > 100 | p.name]) AS k, exists((u)-[:FOLLOWS]->()) AS f") == [(1, 1, True), (2, 1, True), (3, 0, True), (4, 0, False), (5, 0, False)]
+    assert values(g, "MATCH (u:User) WHERE NOT (u)-[:BOUGHT]->() RETURN u.id AS i") == [(10,), (30,), (60,)]
+    assert values(g, "MATCH (u:User) RETURN u.id AS i, size([(u)-[b:BOUGHT]->(p) WHERE p.price > 100 | p.name]) AS k, exists((u)-[:FOLLOWS]->()) AS f") == [(10, 0, True), (20, 1, True), (30, 0, True), (40, 0, True), (50, 1, True), (60, 0, False)]
 
 
 def test_errors(g):
@@ -169,21 +173,21 @@ def test_layouts(spark):
 
 def test_outputs(g, tmp_path):
     nodes, edges = g.query_graph("MATCH (a:User)-[r:FOLLOWS]->(b:User) RETURN a, r, b")
-    assert nodes.count() == 4 and edges.count() == 5
+    assert nodes.count() == 5 and edges.count() == 8
     g.export("MATCH (u:User) RETURN u.id AS id", f"{tmp_path}/x.csv")
     g.cypher(f"COPY (MATCH (u:User) RETURN u.id AS id, u.name AS name) TO '{tmp_path}/y.parquet' FORMAT parquet")
-    assert g.spark.read.parquet(f"{tmp_path}/y.parquet").count() == 5
+    assert g.spark.read.parquet(f"{tmp_path}/y.parquet").count() == 6
     g.cypher(f"CALL apoc.export.json.query('MATCH (u:User) RETURN u.id AS id', '{tmp_path}/z.json')")
-    assert g.spark.read.json(f"{tmp_path}/z.json").count() == 5
-    assert '"n":"Alice"' in g.formatted("MATCH (u:User {id: 1}) RETURN u.name AS n")
-    assert "Alice" in g.formatted("MATCH (u:User {id: 1}) RETURN u.name AS n", "CSVWithNames")
+    assert g.spark.read.json(f"{tmp_path}/z.json").count() == 6
+    assert '"n":"Ivo"' in g.formatted("MATCH (u:User {id: 10}) RETURN u.name AS n")
+    assert "Ivo" in g.formatted("MATCH (u:User {id: 10}) RETURN u.name AS n", "CSVWithNames")
     assert g.cypher("EXPLAIN MATCH (u:User) RETURN u").first()[0]
 
 
 def test_procedures(g):
     assert values(g, "CALL db.relationshipTypes() YIELD relationshipType AS t RETURN count(t) AS n") == [(4,)]
     assert g.cypher("CALL db.schema.nodeTypeProperties()").count() == 8
-    assert g.cypher("CALL apoc.meta.stats() YIELD nodeCount RETURN nodeCount").first()[0] == 8
+    assert g.cypher("CALL apoc.meta.stats() YIELD nodeCount RETURN nodeCount").first()[0] == 10
     assert g.cypher("SHOW DATABASES").count() == 1
     for p in ("dbms.components", "dbms.info", "dbms.procedures", "dbms.functions", "db.indexes", "db.propertyKeys", "apoc.meta.schema", "db.schema.visualization", "dbms.clientConfig", "dbms.showCurrentUser"):
         g.cypher(f"CALL {p}()").collect()
