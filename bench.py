@@ -13,7 +13,7 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 HEADLINE = [
-    "g01_region_customers", "g04_edge_props", "g05_pricing_summary", "g06_fk_traverse", "g07_four_hops", "g08_optional_match", "g10_multi_source_type", "g11_multi_type", "g13_uniqueness_two_hops", "g14_vlp_range", "g15_vlp_chain", "g18_shortest_path",
+    "g01_region_customers", "g04_edge_props", "g05_pricing_summary", "g06_fk_traverse", "g07_four_hops", "g59_optional_match_whole", "g10_multi_source_type", "g60_multi_type_whole", "g13_uniqueness_two_hops", "g14_vlp_range", "g15_vlp_chain", "g18_shortest_path",
     "g20_exists_pattern", "g21_not_exists", "g23_pattern_count", "g24_pattern_comprehension", "g25_with_having", "g26_with_match", "g31_distinct", "g32_order_skip_limit", "g36_temporal", "g39_aggregates", "g42_polymorphic", "g43_virtual_node", "g51_vector_search",
 ]
 

@@ -241,10 +241,10 @@ def timestamp(ctx, x=None):
 
 @register("toUnixTimestampMillis")
 def unix_millis(ctx, x):
-    return F.unix_millis(moment(ctx, x))
+    return F.unix_millis(moment(ctx, x).cast("timestamp"))
 
 
-PARTS = {"year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second, "dayOfWeek": lambda x: F.weekday(x) + 1, "dayOfYear": F.dayofyear, "quarter": F.quarter, "week": F.weekofyear, "epochMillis": F.unix_millis, "epochSeconds": F.unix_timestamp}
+PARTS = {"year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second, "dayOfWeek": lambda x: F.weekday(x) + 1, "dayOfYear": F.dayofyear, "quarter": F.quarter, "week": F.weekofyear, "epochMillis": lambda x: F.unix_millis(x.cast("timestamp")), "epochSeconds": F.unix_timestamp}
 for _name, _f in PARTS.items():
     TABLE[_name.lower()] = lambda ctx, x, f=_f: f(moment(ctx, x)).cast("long")
 
