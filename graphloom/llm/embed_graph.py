@@ -3,13 +3,18 @@
 Vectors are unit vectors in double precision; equal vectors of a label are one
 node first, so copies, however many, are counted once.  A label's nodes are
 cut into overlapping shards around a few centroids (each node belongs to its
-nearest one and to every one that may be the nearest of a node in range).  A shard builds a
-flat graph: each node's nearest members, robust-pruned, plus reverse links;
-the adjacency lists of a node's shards are united.  Then every node is searched
-in its own shard's graph: greedily from the medoid, and from itself, to the
-nearest nodes, and on through all nodes in range.  Similarities are computed
-exactly, so no link is below the threshold; `recall`, a separate step, audits
-what is found against brute force.
+nearest one and to every one that may be the nearest of a node in range).  A
+shard's flat graph is built by insertion: batches of nodes, each batch at most
+as large as the graph, are searched in it greedily from the medoid, and what the
+search meets is robust-pruned to a node's links, which are linked back; a second
+pass over all nodes does the same with a wider prune, and finds what a node's
+own batch kept from it.  The adjacency lists of a node's shards are united.
+Then every node is searched in its own shard's graph: greedily from the medoid,
+and from itself, to the nearest nodes, and on through all nodes in range.
+Similarities are computed exactly, so no link is below the threshold.
+
+`recall` audits what is found against brute force over a bounded sample of the
+nodes; with `audit` the result is checked so, and a recall below is an error.
 
 A shard of more than `BLOCK` nodes becomes several graphs, each searched for
 all of the shard's nodes, so that any shard is handled in bounded memory.
@@ -34,11 +39,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, renewed, stored
+from graphloom.llm.common import components, mix, renewed, stored
 
 #: Nodes of a shard (aimed at) and of a graph (at most, on average).
-SHARD, BLOCK, MOST_CENTROIDS, SAMPLE = 8192, 8192, 4096, 20_000
-NEAREST, DEGREE, BACK, ALPHA, BEAM, SLACK = 64, 24, 6, 1.2, 8, 0.02
+SHARD, BLOCK, MOST_CENTROIDS = 8192, 8192, 4096
+#: Vectors that a centroid is learnt from.
+SAMPLE = 16
+#: Of the build: links of a node, and with those back to it; what a search keeps,
+#: and looks at in a step; nodes inserted at a time.
+DEGREE, ROOM, WIDTH, STEP, BATCH = 24, 48, 40, 4, 512
+#: Vectors that an audit asks about.
+ASKED = 1000
+BACK, ALPHA, BEAM, SLACK = 6, 1.2, 8, 0.02
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -103,14 +115,20 @@ def near_shards(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray,
 
 def sharded(nodes: DataFrame, least: float) -> DataFrame:
     """nodes with shard and own (whether it is the node's nearest shard)."""
-    counts = nodes.groupBy("label", "dim").count().where(F.col("count") > SHARD).orderBy(F.desc("count")).limit(MOST_CENTROIDS // 2).collect()
+    counts = nodes.groupBy("label", "dim").count().where(F.col("count") > SHARD).orderBy(F.desc("count"), "label", "dim").limit(MOST_CENTROIDS // 2).collect()
     wanted = {(r.label, r.dim): -(-r["count"] // SHARD) for r in counts}
     scale = max(1.0, sum(wanted.values()) / MOST_CENTROIDS)
-    table = {}
-    for (label, dim), k in wanted.items():
-        k = max(2, int(k / scale))
-        rows = nodes.where((F.col("label") == label) & (F.col("dim") == dim)).orderBy(F.xxhash64("rep"), "rep").limit(min(SAMPLE, 64 * k)).select("v").collect()
-        table[label, dim] = centroids(matrix(bytes(r.v) for r in rows), min(k, len(rows)))
+    wanted = {key: max(2, int(k / scale)) for key, k in wanted.items()}
+    table, learnt = {}, {}
+    if wanted:
+        # a sample by hash, of all these labels in one job: SAMPLE a centroid
+        share = [(r.label, r.dim, min(1.0, SAMPLE * wanted[r.label, r.dim] / r["count"])) for r in counts]
+        of = F.broadcast(nodes.sparkSession.createDataFrame(share, "label string, dim int, share double"))
+        mark = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 30))
+        for r in nodes.join(of, ["label", "dim"]).where(mark < F.col("share") * (1 << 30)).select("label", "dim", mark.alias("mark"), "rep", "v").collect():
+            learnt.setdefault((r.label, r.dim), []).append((r.mark, r.rep, bytes(r.v)))
+    for key, rows in learnt.items():
+        table[key] = centroids(matrix(v for _, _, v in sorted(rows)), min(wanted[key], len(rows)))
     sent = nodes.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -141,46 +159,117 @@ def sharded(nodes: DataFrame, least: float) -> DataFrame:
     return nodes.select("rep", "label", "dim", "v", "n").mapInArrow(run, "rep long, label string, dim int, v binary, n long, shard int, own boolean")
 
 
-def pruned(x: np.ndarray, cand: np.ndarray) -> list[int]:
-    """Robust prune: nearest first; a candidate goes that is nearer, by the
-    factor alpha, to one kept already than to the node."""
-    near = x[cand]
-    far = np.maximum(1 - near @ near.T, 0)
-    to = far[0]
-    alive = np.ones(len(cand), dtype=bool)
-    alive[0] = False
-    kept = []
-    for j in np.argsort(to, kind="stable").tolist():
-        if not alive[j]:
-            continue
-        kept.append(int(cand[j]))
-        if len(kept) == DEGREE:
+def searched(x: np.ndarray, near: np.ndarray, medoid: int, q: np.ndarray) -> np.ndarray:
+    """Greedy search from the medoid for all rows of q side by side: the WIDTH
+    nearest nodes that each meets, -1 where there are fewer."""
+    n = len(q)
+    beam, sims = np.full((n, WIDTH), -1), np.full((n, WIDTH), -np.inf, dtype=np.float32)
+    beam[:, 0], sims[:, 0] = medoid, q @ x[medoid]
+    fresh = np.zeros((n, WIDTH), dtype=bool)
+    fresh[:, 0] = True
+    live = np.arange(n)
+    while len(live):
+        s = np.where(fresh[live], sims[live], -np.inf)
+        top = np.argpartition(-s, STEP, axis=1)[:, :STEP]
+        good = np.take_along_axis(s, top, 1) > -np.inf
+        some = good.any(axis=1)
+        live, top, good = live[some], top[some], good[some]
+        if not len(live):
+            break
+        at = np.take_along_axis(beam[live], top, 1)
+        fresh[live[:, None], top] &= ~good
+        new = np.where(good[:, :, None], near[at], -1).reshape(len(live), -1)
+        new.sort(axis=1)
+        new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
+        new[(new[:, :, None] == beam[live][:, None, :]).any(axis=2)] = -1
+        found = np.where(new >= 0, np.einsum("nkd,nd->nk", x[new], q[live]), -np.inf).astype(np.float32)
+        every, ids = np.concatenate([sims[live], found], axis=1), np.concatenate([beam[live], new], axis=1)
+        flag = np.concatenate([fresh[live], new >= 0], axis=1)
+        best = np.argpartition(-every, WIDTH - 1, axis=1)[:, :WIDTH]
+        sims[live], beam[live], fresh[live] = (np.take_along_axis(v, best, 1) for v in (every, ids, flag))
+        beam[live] = np.where(np.isfinite(sims[live]), beam[live], -1)
+    return beam
+
+
+def pruned(x: np.ndarray, own: np.ndarray, cand: np.ndarray, alpha: float) -> np.ndarray:
+    """Robust prune of each row of candidates: nearest first; a candidate goes
+    that is nearer, by the factor alpha, to one kept already than to the node."""
+    v, rows = x[cand], np.arange(len(own))
+    to = 1 - np.einsum("nkd,nd->nk", v, x[own])
+    far = np.maximum(1 - v @ v.transpose(0, 2, 1), 0)
+    alive = (cand >= 0) & (cand != own[:, None])
+    out = np.full((len(own), DEGREE), -1)
+    for r in range(DEGREE):
+        t = np.where(alive, to, np.inf)
+        j = t.argmin(axis=1)
+        some = t[rows, j] < np.inf
+        if not some.any():
             break
-        alive &= ALPHA * far[j] > to
-    return kept
+        out[some, r] = cand[rows, j][some]
+        alive &= alpha * far[rows, j] > to
+        alive[rows, j] = False
+    return out
+
+
+def linked_back(x: np.ndarray, near: np.ndarray, own: np.ndarray, links: np.ndarray, alpha: float) -> None:
+    """The nodes that `own` link to link back; where there is no room for that
+    all their links are pruned again."""
+    ends = links.reshape(-1)
+    to, back = ends[ends >= 0], np.repeat(own, links.shape[1])[ends >= 0]
+    there = (near[to] == back[:, None]).any(axis=1)
+    to, back = to[~there], back[~there]
+    # nearest first, by the node that is linked to
+    order = np.lexsort((-np.einsum("nd,nd->n", x[to], x[back]), to))
+    to, back = to[order], back[order]
+    first = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, dtype=int)
+    rank = np.arange(len(to)) - np.repeat(first, np.diff(np.append(first, len(to))))
+    held = (near[to] >= 0).sum(axis=1)
+    # links stand in front, so the free places are the last ones
+    total = np.repeat(np.diff(np.append(first, len(to))), np.diff(np.append(first, len(to))))
+    fits = held + total <= ROOM
+    near[to[fits], (held + rank)[fits]] = back[fits]
+    tight = np.unique(to[~fits])
+    if len(tight):
+        more = np.full((len(tight), ROOM), -1)
+        some = ~fits & (rank < ROOM)
+        more[np.searchsorted(tight, to[some]), rank[some]] = back[some]
+        for lo in range(0, len(tight), BATCH):
+            part = tight[lo : lo + BATCH]
+            links = pruned(x, part, np.concatenate([near[part], more[lo : lo + BATCH]], axis=1), alpha)
+            near[part] = -1
+            near[part, :DEGREE] = links
+
+
+def inserted(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Links of every node of a flat graph: a pass of insertions and one of
+    wider links over all nodes, in an order by hash."""
+    n = len(x)
+    near = np.full((n, ROOM), -1)
+    medoid = int((x @ x.mean(axis=0)).argmax())
+    order = np.argsort(mix(ids.astype(np.uint64)), kind="stable")
+    order = np.concatenate([[medoid], order[order != medoid]])
+    for alpha in (1.0, ALPHA):
+        lo = 1 if alpha == 1.0 else 0
+        while lo < n:
+            own = order[lo : lo + (min(lo, BATCH) if alpha == 1.0 else BATCH)]
+            cand = searched(x, near, medoid, x[own])
+            links = pruned(x, own, np.concatenate([cand, near[own]], axis=1), alpha)
+            near[own] = -1
+            near[own, :DEGREE] = links
+            linked_back(x, near, own, links, alpha)
+            lo += len(own)
+    return near
 
 
 def flat_graph(pdf: pd.DataFrame) -> pd.DataFrame:
     """Adjacency lists (by rep) of one shard's block."""
     pdf = pdf.sort_values("rep")
     ids, x = pdf["rep"].to_numpy(), matrix(pdf["v"])
-    n = len(ids)
-    links: list[dict] = [{} for _ in range(n)]
-    if n > 1:
-        c = min(NEAREST, n - 1)
-        spread = np.linspace(0, n - 1, min(8, n)).astype(int)  # long links
-        for lo in range(0, n, 256):
-            s = x[lo : lo + 256] @ x.T
-            s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -9
-            top = np.argpartition(-s, c - 1, axis=1)[:, :c]
-            for i, near in enumerate(top, start=lo):
-                cand = np.concatenate([[i], near, spread[spread != i]])
-                links[i].update(dict.fromkeys(pruned(x, np.concatenate([[i], np.unique(cand[1:])]))))
-        for i in range(n):
-            for place, j in enumerate(list(links[i])[:DEGREE]):
-                # nobody is left out: a node's nearest always link back
-                if place < BACK or len(links[j]) < 2 * DEGREE:
-                    links[j].setdefault(i)
+    near = inserted(x.astype(np.float32), ids)
+    links = [dict.fromkeys(row[row >= 0].tolist()) for row in near]
+    for i in range(len(ids)):
+        for j in list(links[i])[:BACK]:  # nobody is left out: a node's nearest always link back
+            links[j].setdefault(i)
     return pd.DataFrame({"rep": ids, "near": [ids[sorted(s)].tolist() for s in links]})
 
 
@@ -241,8 +330,9 @@ def search_block(least: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row per row of vectors."""
+def near_duplicates(vectors: DataFrame, least: float = 0.98, audit: float | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row per row of vectors.  With
+    audit, a recall below it is an error."""
     units = stored(unit_vectors(vectors).dropDuplicates(["vec_id", "label", "dim", "hash"]), "units")
     nodes = stored(units.groupBy("label", "dim", "hash").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "nodes")
     placed = sharded(nodes, least)
@@ -261,15 +351,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     one = each.groupBy("vec_id").agg(F.max(F.col("found") + F.col("n") - 1).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component_id"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(one, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
-    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    out = rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    if audit is not None:
+        out = stored(out, "found")
+        if (share := recall(vectors, out, least, max(1, units.count() // ASKED))) < audit:
+            raise RuntimeError(f"of the links of {ASKED} vectors only the share {share:.3f} was found")
+    return out
 
 
 def recall(vectors: DataFrame, result: DataFrame, least: float = 0.98, every: int = 50) -> float:
     """Audit: links found, as a share of those that brute force finds, over
-    the vectors of every 50th hash.  Sampled vectors are compared with all
-    rows of their label in blocks."""
+    the vectors of every 50th hash (at most 2 * ASKED).  Sampled vectors are
+    compared with all rows of their label in blocks.  As no link is found that
+    is none, the counts tell which share of the links is there."""
     units = unit_vectors(vectors)
-    sample = units.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).limit(2000).collect()
+    sample = units.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).limit(2 * ASKED).collect()
     if not sample:
         return 1.0
     by_key: dict = {}

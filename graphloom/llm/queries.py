@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_graph.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+    return embed_graph.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98, audit=0.9)
 
 
 def op2_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
