@@ -28,6 +28,8 @@ from graphloom.llm.common import WordHasher, mix
 STATS = ["words", "bytes", "word_bytes", "upper", "shouted", "symbols", "bangs", "bars", "digits", "high", "marked", "stops", "again", "lines", "line_words", "spread"]
 #: The added column of statistics.
 HELD = "__quality_stats"
+#: Bytes of text that are measured at a time.
+TEXT_BLOCK = 300_000
 
 
 def byte_classes() -> np.ndarray:
@@ -79,7 +81,7 @@ def text_stats(texts: pd.Series) -> pd.DataFrame:
     i = 0
     while i < len(values):
         j, size = i, 0
-        while j < len(values) and (j == i or size < 1_000_000):
+        while j < len(values) and (j == i or size + len(values[j]) <= TEXT_BLOCK):
             size += len(values[j])
             j += 1
         part = values[i:j]
@@ -89,9 +91,9 @@ def text_stats(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, len(STATS))), columns=STATS)
 
 
-def with_stats(docs: DataFrame) -> DataFrame:
+def with_stats(docs: DataFrame, name: str = HELD) -> DataFrame:
     measured = F.pandas_udf(text_stats, ", ".join(f"{s} double" for s in STATS))
-    return docs.withColumn(HELD, measured(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+    return docs.withColumn(name, measured(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
 
 
 # ----------------------------------------------------------------- learning
@@ -215,5 +217,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, bar: float = 0.3) -> Data
 
 def accepted(docs: DataFrame, labels: DataFrame, bar: float = 0.3) -> DataFrame:
     """Those rows of docs, unchanged, that score at least bar."""
-    model = train(docs, labels)
-    return with_stats(docs).where(score_column(model) >= bar).drop(HELD)
+    model, name = train(docs, labels), HELD
+    while name in docs.columns:
+        name += "_"
+    return with_stats(docs, name).where(score_column(model, name) >= bar).drop(name)

@@ -58,3 +58,33 @@ def test_pipeline(spark, sf):
     for r in last:
         found = own.encode(kept[r["doc_id"]] or "", add_special_tokens=False).ids
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, found)).encode()).hexdigest()
+
+
+def test_pipeline_odd_rows(spark, sf, tmp_path):
+    """Null and empty texts, null and repeated doc_ids, long texts, columns of
+    clashing names, and an empty table, through every stage."""
+    prose = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 400").orderBy("doc_id").limit(6).collect()]
+    long = " ".join(f"word{i % 977}x{i % 13}" for i in range(30_000))
+    rows = [(1, prose[0]), (2, prose[1]), (2, prose[1]), (2, prose[2]), (3, None), (4, ""), (None, prose[3]), (None, prose[3]), (None, None), (5, long), (6, prose[0]), (7, prose[4] + " " + prose[5])]
+    fields = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words int, n_removed int, score double, component_id string, __rows int, __row int, __kept int, copies int, size int, key string, spans string, __quality_stats string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[None] * 13) for i, t in rows], fields)
+    for given in (docs, docs.limit(0)):
+        frames = [given]
+        for k, (_, stage) in enumerate(p.STAGES):
+            stage(spark, frames[-1], sf).write.parquet(f"{tmp_path}/{given is docs}{k}")
+            frames.append(spark.read.parquet(f"{tmp_path}/{given is docs}{k}"))
+            assert k == 4 or frames[-1].columns == p.COLUMNS
+        if given is not docs:
+            assert all(f.count() == 0 for f in frames)
+    # every stage on all of the rows
+    out = {name: stage(spark, docs, sf).collect() for name, stage in p.STAGES}
+    good = Counter((r.doc_id, r.text) for r in out["quality classifier"])
+    assert all(good[x] in (0, n) for x, n in Counter(rows).items())
+    once = out["near dedup"]
+    assert sorted((r.doc_id, (r.text or "")[:9]) for r in once if r.doc_id is not None) == sorted([(1, prose[0][:9]), (2, min(prose[1], prose[2])[:9]), (3, ""), (4, ""), (5, long[:9]), (7, prose[4][:9])])
+    assert sum(r.doc_id is None for r in once) == 3
+    cut = {(r.doc_id, r.text) for r in out["substring dedup"]}
+    assert 6 not in {i for i, _ in cut} and {(None, prose[3]), (None, None), (3, None), (4, "")} <= cut
+    mix = Counter(r.doc_id for r in out["mixing"])
+    assert mix[3] == mix[4] == 1 and sum(mix.values()) >= len(rows) - 2
+    assert len(out["encoding"]) == len(rows) and {r.n_tokens for r in out["encoding"] if r.doc_id in (3, 4)} == {0}
