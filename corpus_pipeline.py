@@ -1,49 +1,67 @@
-"""The training-corpus pipeline: five stages, each written and read again."""
+"""The training-corpus pipeline: five stages, each written and read again.
+
+Every stage takes and returns the columns of documents (the last one: digests)
+and reads whole texts; columns beyond these are left out, so their names can't
+clash.  An empty table gives an empty table.  Repeated rows, null texts and null
+doc_ids have the results that each stage states.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, minhash, mixing, quality, substring
-from graphloom.llm.common import stored
+from graphloom.llm.common import drop_stored, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(COLUMNS)
+    """Documents that the classifier accepts, unchanged.  A null text is judged
+    as an empty one; repeated rows, of equal score, stay or go together; rows
+    without doc_id are judged, but not learnt from."""
+    return quality.accepted(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each near-duplicate group
-    (5-word shingles, similarity 0.8 or more).  Rows of one doc_id are one;
-    rows without one stay."""
-    kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    both = docs.join(kept, "doc_id")
-    once = both.where("__rows = 1").unionByName(both.where("__rows > 1").dropDuplicates(["doc_id"]))
-    return once.select(COLUMNS).unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
+    (5-word shingles, similarity 0.8 or more).  Texts without words, null ones
+    included, are in no group and stay.  Rows of one doc_id are one document: it
+    goes if any of its texts is a near copy of an earlier document's, else the
+    row of the least text stays.  Rows without doc_id stay."""
+    docs = docs.select(COLUMNS)
+    by_id = minhash.near_duplicates(docs, k=5, percent=80).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("__kept"), F.count("*").alias("__rows"))
+    both = docs.join(by_id.where("__kept"), "doc_id")
+    several = both.where("__rows > 1").withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")))
+    once = both.where("__rows = 1").select(COLUMNS).unionByName(several.where("__row = 1").select(COLUMNS))
+    return once.unionByName(docs.where("doc_id IS NULL"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 13-word windows that an earlier document has.  A text
-    that loses nothing stays as it is; one that loses all its words goes."""
-    cut = substring.without_repeats(docs, 13, as_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__doc"), "kept", "n_words", "n_removed")
-    both = docs.join(cut, docs["doc_id"] == cut["__doc"], "left").where("n_removed IS NULL OR n_removed < n_words")
-    text = F.coalesce("kept", "text")
-    return both.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNotNull(), F.char_length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    that loses nothing stays as it is, a null one too; one that loses all its
+    words goes.  Rows without doc_id lose nothing and count for no other."""
+    docs = docs.select(COLUMNS)
+    cut = substring.without_repeats(docs, 13, as_text=True).where("n_removed > 0").select("doc_id", "kept", "n_words", "n_removed")
+    # rows of one doc_id, which the stage before leaves only once, lose the same
+    cut = cut.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.min("n_words").alias("n_words"), F.min("n_removed").alias("n_removed"))
+    both = docs.join(cut, "doc_id", "left").where("n_removed IS NULL OR n_removed < n_words")
+    n_chars = F.when(F.col("kept").isNotNull(), F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return both.select("doc_id", F.coalesce("kept", "text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.resampled(docs).select(COLUMNS)
+    """Each document as often as the mix takes it.  Texts without words, null
+    ones included, stay once; repeated rows are documents of their own."""
+    return mixing.resampled(docs.select(COLUMNS))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and hashes of each document's ids and decoded text."""
-    return bpe.token_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Number and hashes of each document's ids and decoded text, one row a row;
+    a null text counts as empty."""
+    return bpe.token_digests(docs.select(COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -60,7 +78,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        after = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stored(docs, "stage")
+            after = stored(after, "stage")
+            drop_stored(docs)  # the stage before; documents themselves are not ours
+        docs = after
     return docs
