@@ -34,14 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
+def stored(df: DataFrame, name: str = "t", **options) -> DataFrame:
+    """Write df as Parquet, with the writer's options, into the shared folder
+    and read it back.
 
     Cuts the lineage: a lost executor costs no more than the rest of a stage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

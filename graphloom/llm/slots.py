@@ -43,6 +43,8 @@ from graphloom.llm.common import mix, shared_dir, stored, text_bytes
 ROUNDS = 6
 #: Sequences of a shard (32 MB with 512 ids of two bytes).
 PER_SHARD = 32_768
+#: Ids pack well; they stand beside the shards until the manifest is read.
+SMALL = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 #: Bytes of a vocabulary that may be sent to the tasks.
 MOST_BYTES = 64_000_000
 
@@ -237,7 +239,7 @@ def materialise(ids: DataFrame, path: str, end: int, width: int = 2, key: int =
     shard, byte offset, size and checksum."""
     spark = ids.sparkSession
     bytes_each = length * width
-    ids = stored(placed(ids, width, bytes_each), "ids")
+    ids = stored(placed(ids, width, bytes_each), "ids", **SMALL)
     counts = ids.groupBy("part").agg(F.sum("n").alias("n")).collect()
     bases, n = {}, 0
     for row in sorted(counts, key=lambda r: r.part):
