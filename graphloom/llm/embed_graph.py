@@ -334,7 +334,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, audit: float | None
     """vec_id, n_links, component_id, kept: one row per row of vectors.  With
     audit, a recall below it is an error."""
     units = stored(unit_vectors(vectors).dropDuplicates(["vec_id", "label", "dim", "hash"]), "units")
-    nodes = stored(units.groupBy("label", "dim", "hash").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "nodes")
+    nodes = stored(units.groupBy("label", "dim", "hash").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v")).withColumn("rep", F.monotonically_increasing_id()), "nodes")
     placed = sharded(nodes, least)
     size = placed.groupBy("label", "dim", "shard").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
     keys = ["label", "dim", "shard", "block"]
@@ -346,9 +346,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, audit: float | None
     found = stored(graph.groupBy(*keys).cogroup(renewed(asked).groupBy(*keys)).applyInPandas(search_block(least), "rep long, found long, root long"), "found")
     placed_in = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     by_rep = found.groupBy("rep").agg(F.sum("found").alias("found")).join(placed_in.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = nodes.select("label", "dim", "hash", "rep", "n").join(by_rep, "rep")
+    classes = nodes.select("label", "dim", "hash", "rep", "n", "least").join(by_rep, "rep").withColumn("c", F.coalesce("component", "rep"))
+    classes = classes.join(classes.groupBy("c").agg(F.min("least").alias("component_id")), "c")
     each = units.select("vec_id", "label", "dim", "hash").join(classes, ["label", "dim", "hash"])
-    one = each.groupBy("vec_id").agg(F.max(F.col("found") + F.col("n") - 1).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component_id"))
+    one = each.groupBy("vec_id").agg(F.max(F.col("found") + F.col("n") - 1).alias("n_links"), F.min("component_id").alias("component_id"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(one, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     out = rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
@@ -364,28 +365,30 @@ def recall(vectors: DataFrame, result: DataFrame, least: float = 0.98, every: in
     the vectors of every 50th hash (at most 2 * ASKED).  Sampled vectors are
     compared with all rows of their label in blocks.  As no link is found that
     is none, the counts tell which share of the links is there."""
-    units = unit_vectors(vectors)
+    units = unit_vectors(vectors).dropDuplicates(["vec_id", "label", "dim", "hash"])
     sample = units.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).limit(2 * ASKED).collect()
     if not sample:
         return 1.0
     by_key: dict = {}
     for r in sample:
-        by_key.setdefault((r.label, r.dim), []).append((r.vec_id, bytes(r.v)))
+        by_key.setdefault((r.label, r.dim), []).append((r.vec_id, bytes(r.v), bytes(r.hash)))
 
     def run(batches):
         for b in batches:
-            out: dict[int, int] = {}
+            out: dict[tuple, int] = {}
             groups: dict = {}
             for i, label, dim, v in zip(*(c.to_pylist() for c in b.columns[:4]), strict=True):
                 groups.setdefault((label, dim), []).append((i, v))
             for key, rows in groups.items():
                 if key in by_key:
-                    s = matrix(v for _, v in by_key[key]) @ matrix(v for _, v in rows).T >= least
-                    same = np.array([i for i, _ in by_key[key]])[:, None] == np.array([i for i, _ in rows])
-                    for (i, _), n in zip(by_key[key], (s & ~same).sum(1).tolist(), strict=True):
-                        out[i] = out.get(i, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], ["vec_id", "n"])
-
-    truth = units.mapInArrow(run, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    found, there = truth.join(result, "vec_id").agg(F.sum(F.least("n", "n_links")), F.sum("n")).first()
+                    s = matrix(v for _, v, _ in by_key[key]) @ matrix(v for _, v in rows).T >= least
+                    same = np.array([i for i, _, _ in by_key[key]])[:, None] == np.array([i for i, _ in rows])
+                    for (i, _, h), n in zip(by_key[key], (s & ~same).sum(1).tolist(), strict=True):
+                        out[i, h] = out.get((i, h), 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array(list(out.values()), pa.int64())], ["vec_id", "hash", "n"])
+
+    # a vec_id of several vectors counts with the one of most links, as above
+    truth = units.mapInArrow(run, "vec_id long, hash binary, n long").groupBy("vec_id", "hash").agg(F.sum("n").alias("n")).groupBy("vec_id").agg(F.max("n").alias("n"))
+    own = result.groupBy("vec_id").agg(F.max("n_links").alias("n_links"))
+    found, there = truth.join(own, "vec_id").agg(F.sum(F.least("n", "n_links")), F.sum("n")).first()
     return 1.0 if not there else found / there

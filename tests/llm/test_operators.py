@@ -126,7 +126,10 @@ def test_embedding_graph(spark, monkeypatch):
         if shard != 60:
             assert {r.vec_id: r.component_id for r in got} == {i: find(par, i) for i in par}
             assert embed_graph.recall(df, out, every=2) >= 0.9
-    assert embed_graph.near_duplicates(df.limit(0)).collect() == []
+    assert embed_graph.near_duplicates(df.limit(0), audit=0.9).collect() == []
+    two = spark.createDataFrame([(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [1.0, 0.01], "a"), (3, [0.01, 1.0], "a"), (4, [1.0, 0.0], "b"), (None, [1.0, 0.0], "a")], "vec_id long, embedding array<double>, label string")
+    got = embed_graph.near_duplicates(two, audit=0.9).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1, 1, True)] * 2 + [(2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (None, 0, None, True)], key=str)
 
 
 def test_embedding_graph_many_shards(spark, monkeypatch):
@@ -187,6 +190,17 @@ def test_pruned_cells(spark, monkeypatch):
     for q in range(0, 600, 20):
         s = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:5]
         assert sorted(got[q]) == [(n + 1, i, -t) for n, (t, i) in enumerate(s)]
+    # neither half is sent to the other's queries
+    ints_df = knn.integers(df).cache()
+    pivots = knn.chosen_pivots(ints_df)
+    cells = knn.query_cells(ints_df.where("vec_id % 20 = 0"), pivots).groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
+    far = {2: np.zeros(len(pivots[2]))}
+    for c in cells:
+        far[2][c.cell] = c.far
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 6)
+    groups, n = knn.cell_groups(cells)
+    sent = knn.needed_by(ints_df, pivots, far, knn.sure_scores(ints_df, pivots, far, 5), groups).agg(F.sum(F.size("groups"))).first()[0]
+    assert n > 4 and sent < 0.5 * 600 * n
 
 
 # ----------------------------------------------------------------- dedup
@@ -444,6 +458,108 @@ def test_quality(spark, empty):
     assert quality.accepted(docs, marks).columns == docs.columns
 
 
+def test_license_whole_texts(spark):
+    """Whole license texts against brute force over all blocks, with words put
+    in and left out, and whatever stands around them."""
+    rnd = random.Random(4)
+    texts = []
+    for name, t in license.TEMPLATES.items():
+        w = t.split()
+        for drop, add in ((0.0, 0), (0.1, 3), (0.35, 0)):
+            own = [x for x in w if rnd.random() >= drop]
+            for _ in range(add):
+                own.insert(rnd.randrange(len(own) + 1), "zebra")
+            around = [f"q{rnd.randrange(999)}" for _ in range(rnd.choice([0, 90, 400]))]
+            said = around + own + around
+            texts.append("".join(x + rnd.choice([" ", " ", "\n", ", "]) for x in said).title() if rnd.random() < 0.5 else " ".join(said))
+    df = spark.createDataFrame([(None if i == 0 else i % 40, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("n_words", F.lit("clash"))
+    found = license.scan_documents(df)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.labels) for r in found.collect())
+    want = []
+    for n, t in enumerate(texts):
+        lines = [x for line in t.lower().split("\n") if (x := re.findall(r"[a-z0-9]+", line))]
+        words_, best = [w for x in lines for w in x], set()
+        for name, said in license.TEMPLATES.items():
+            own, size = set(said.split()), license.BLOCK
+            while len(said.split()) > size - size * license.STRIDE // license.BLOCK:
+                size *= 2
+            step = size * license.STRIDE // license.BLOCK
+            for w in [words_, *(lines if size == license.BLOCK else [])]:
+                for k in range(0, max(len(w) - size + step, 1), step) if len(w) > size else (0,):
+                    if len(own & set(w[k : k + size])) >= 0.8 * len(own) - 1e-9:
+                        best.add(name)
+        flat = f" {' '.join(words_)} "
+        best |= {label for p, label in license.PHRASES.items() if f" {p} " in flat}
+        want.append((n != 0, n % 40 if n else 0, ",".join(sorted(best))))
+    assert got == sorted(want)
+    assert {"mit-text", "bsd-2-clause-text", "gpl-header", "isc-text", "zlib-text"} <= {x for _, _, ls in want for x in ls.split(",")}
+    table = spark.createDataFrame([("own", "Some words, of our OWN license")], "name string, text string")
+    assert [r.labels for r in license.scan_documents(spark.createDataFrame([(1, "x\nsome words of our own license")], "doc_id long, text string"), table).collect()] == ["own"]
+
+
+def test_langid_scores(spark):
+    """Scores against counts of one n-gram at a time; hot languages and columns
+    of clashing names."""
+    rnd = random.Random(3)
+    rows = [(i, "".join(rnd.choices("abcdé ", k=rnd.randint(1, 40))), "xyy"[i % 3]) for i in range(60)] + [(None, "ab", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("clash")).withColumn("score", F.lit(9)).repartition(6)
+    langs, bits, logs, prior = langid.train(df)
+
+    def bins(t):
+        t = t.lower()
+        for n in range(1, langid.LONGEST + 1):
+            for i in range(len(t) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h * 0x9E3779B97F4A7C15 + ord(t[i + k]) + k + 1) % 2**64
+                yield int(common.mix(np.array([h], dtype=np.uint64))[0] >> np.uint64(64 - bits))
+
+    counts, docs = {x: np.full(1 << bits, 0.5) for x in "xy"}, dict.fromkeys("xy", 0)
+    for i, t, lang in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            docs[lang] += 1
+            for b in bins(t):
+                counts[lang][b] += 1
+    assert langs == ["x", "y"] and np.allclose(prior, np.log(np.array(list(docs.values())) / sum(docs.values())))
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    for i, t, _ in rows:
+        if t.strip():
+            s = np.array([np.log(docs[x] / sum(docs.values())) + sum(np.log(counts[x][b] / counts[x].sum()) for b in bins(t)) for x in "xy"])
+            p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+            assert got[i].lang_pred == "xy"[int(s.argmax())] and got[i].score == pytest.approx(p.max(), abs=1e-4)
+    with pytest.raises(ValueError):
+        langid.train(spark.range(9).selectExpr("id AS doc_id", "'a' AS text", "cast(id as string) AS lang"), bits=24)
+
+
+def test_top_k_odd_ids_and_lengths(spark):
+    """300 lengths, and rows of one vec_id, which count once."""
+    rows = [(i, [float((i * 7 + j) % 11 - 5) for j in range(1 + i % 300)]) for i in range(600)] + [(0, [9.0]), (20, None), (None, [1.0])]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")), k=3).collect()
+    ints = {}
+    for i, v in rows:
+        if i is not None and v is not None:
+            ints[i] = min(ints.get(i, v), v)
+    want = set()
+    for q in (i for i in ints if i % 20 == 0):
+        s = sorted((-sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))[:3]
+        want |= {(q, n + 1, i, -t) for n, (t, i) in enumerate(s)}
+    assert {tuple(r) for r in got} == want
+
+
+def test_quality_column(spark):
+    """The compiled column, and one tree, against a plain version."""
+    rnd = np.random.default_rng(5)
+    x, y = rnd.normal(size=(200, len(quality.STATS))), (rnd.random(200) < 0.5).astype(float)
+    y[x[:, 2] > 0.3] = 1
+    model = quality.learn_rules(x, y)
+    df = spark.createDataFrame([(i, tuple(map(float, row))) for i, row in enumerate(x)], f"i long, {quality.HELD} struct<{', '.join(f'{s}:double' for s in quality.STATS)}>")
+    got = {r.i: r.s for r in df.select("i", quality.score_column(model).alias("s")).collect()}
+    for i, row in enumerate(x):
+        total = model[0] + sum(w for w, rule in model[1] if all((row[f] > cut) == above for f, cut, above in rule))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-total)))
+    assert model[1] and np.mean([(got[i] > 0.5) == (y[i] > 0.5) for i in range(200)]) > 0.7
+
+
 # --------------------------------------------------------------- tokens
 
 
@@ -468,6 +584,8 @@ def test_bpe(docs, empty):
     assert all(r.decoded == own.decode(r.token_ids, skip_special_tokens=False) for r in full.collect())
     assert {r.doc_id: r.decoded for r in bpe.decode_tokens(full, tokenizer_path()).collect()} == {r.doc_id: r.decoded for r in full.collect()}
     assert bpe.token_digests(empty, tokenizer_path()).collect() == []
+    nulls = docs.sparkSession.createDataFrame([(None, "a b", 1), (None, None, 1), (1, "a b", 1)], "doc_id long, text string, n_tokens int")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in bpe.token_digests(nulls, tokenizer_path()).collect()) == [("1", 2), ("None", 0), ("None", 2)]
 
 
 def test_merge_tree_long_words():
