@@ -14,7 +14,7 @@ from graphloom.plans import ast as A
 from graphloom.plans.ast import CypherError
 from graphloom.plans.compiler import Compiler
 from graphloom.plans.parser import parse
-from graphloom.sources.frames import Tables, edge_frame, node_frame
+from graphloom.sources.frames import TYPES, Tables, edge_frame, node_frame
 from graphloom.sources.schema import GraphSchema, draft_schema, load_schemas, schema_of
 from graphloom.sources.storage import read_source, write_export
 
@@ -152,6 +152,41 @@ class Graph:
         write_export(edges, f"{path}/edges", "parquet")
         return path
 
+    def create_tables(self, managed: bool = False) -> list[str]:
+        """Empty tables, typed by the schema's property_types, for nodes and
+        edges whose tables are neither given nor read from a source: frames that
+        writes replace, or (managed) tables of Spark's catalog."""
+        made: dict[str, dict] = {}
+        for d in [*self.schema().nodes.values(), *self.schema().edges]:
+            node = hasattr(d, "label")
+            if d.source or d.table in self.tables.given or node and d.embedded:
+                continue
+            ids = d.id if node else (*d.from_id, *d.to_id, *d.edge_id)
+            columns = made.setdefault(d.table, {})
+            kinds = {c: TYPES.get(str(d.types.get(p, "")).lower()) for p, c in d.props.items()} | {i: TYPES.get(str(d.types.get(i, "")).lower()) for i in ids if i not in d.props.values()}
+            extra = [d.label_column] if node else [d.type_column, d.from_label_column, d.to_label_column]
+            for c, kind in [*kinds.items(), *((x, "string") for x in extra if x)]:
+                columns[c] = kind or columns.get(c) or ("bigint" if c in ids else "string")
+        for table, columns in made.items():
+            fields = ", ".join(f"`{c}` {kind}" for c, kind in columns.items())
+            if managed:
+                self.spark.sql(f"CREATE TABLE IF NOT EXISTS `{table}` ({fields}) USING parquet")
+            else:
+                self.tables.given[table] = self.spark.createDataFrame([], fields)
+        return sorted(made)
+
+    def load_subgraph(self, path: str, name: str = "subgraph") -> Graph:
+        """A stored subgraph as a graph of its own: one node table and one edge
+        table, properties as JSON texts in `properties`."""
+        nodes, edges = self.spark.read.parquet(f"{path}/nodes"), self.spark.read.parquet(f"{path}/edges")
+        labels = sorted(r[0] for r in nodes.select("label").distinct().collect() if r[0])
+        kinds = sorted(r[0] for r in edges.select("type").distinct().collect() if r[0])
+        one = lambda x: {"label": x, "table": "nodes", "node_id": "id", "label_column": "label", "label_value": x, "property_mappings": {"id": "id", "properties": "properties"}}
+        ends = edges.join(nodes.select(F.col("id").alias("src"), F.col("label").alias("src_label")).distinct(), "src", "left").join(nodes.select(F.col("id").alias("dst"), F.col("label").alias("dst_label")).distinct(), "dst", "left")
+        link = {"polymorphic": True, "table": "edges", "from_id": "src", "to_id": "dst", "type_column": "type", "from_label_column": "src_label", "to_label_column": "dst_label", "type_values": kinds, "from_label_values": labels, "to_label_values": labels, "edge_id": "id", "property_mappings": {"properties": "properties"}}
+        schema = {"name": name, "graph_schema": {"nodes": [one(x) for x in labels], "edges": [link] if kinds else []}}
+        return Graph(self.spark, schema, {"nodes": nodes, "edges": ends})
+
     # -------------------------------------------------------- direct writes
 
     def create_nodes(self, label: str, rows: list[dict]) -> int:

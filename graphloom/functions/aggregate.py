@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.functions.native import BY_LOWER, spark_group
 from graphloom.plans.ast import CypherError
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -58,6 +58,8 @@ NATIVE: dict[str, Callable] = {
     "stddevpop": F.stddev_pop, "stddevsamp": F.stddev_samp, "covarpop": F.covar_pop, "covarsamp": F.covar_samp, "corr": F.corr, "skewpop": F.skewness, "kurtpop": F.kurtosis, "argmin": F.min_by, "argmax": F.max_by, "groupbitand": F.bit_and,
     "groupbitor": F.bit_or, "groupbitxor": F.bit_xor, "groupbitmap": F.count_distinct, "avgweighted": lambda x, w: F.try_divide(F.sum(x * w), F.sum(w)), "countif": F.count_if, "sumif": lambda x, c: F.sum(F.when(c, x)),
     "avgif": lambda x, c: F.avg(F.when(c, x)), "groupconcat": lambda x: F.listagg(x.cast("string"), F.lit(",")), "histogram": lambda x: F.histogram_numeric(x, F.lit(10)), "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count,
+    "anyheavy": F.mode, "mode": F.mode, "quantiletdigest": lambda x: F.percentile_approx(x, 0.5), "quantileexactexclusive": lambda x: F.percentile(x, 0.5), "sumkahan": F.sum, "sumwithoverflow": F.sum, "sumdistinct": F.sum_distinct, "countdistinct": F.count_distinct,
+    "grouparraysorted": lambda x: F.array_sort(F.collect_list(x)), "simplelinearregression": lambda x, y: F.struct(F.regr_slope(y, x).alias("k"), F.regr_intercept(y, x).alias("b")), "topk": lambda x: F.transform(F.call_function("approx_top_k", x, F.lit(10)), lambda v: v["item"]),
 }
 PREFIXES = ("ch.", "chagg.", "dbx.", "spark.")
 
@@ -66,15 +68,15 @@ def is_native(name: str) -> bool:
     return name.lower().startswith(PREFIXES)
 
 
-@cache
 def is_spark_aggregate(name: str) -> bool:
-    """Whether Spark's own registry has the name as an aggregate."""
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return False
-    ident = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
-    found = spark._jsparkSession.sessionState().functionRegistry().lookupFunction(ident)
-    return found.isDefined() and found.get().getGroup() == "agg_funcs"
+    return spark_group(name) == "agg_funcs"
+
+
+def by_condition(low: str) -> Callable | None:
+    """An aggregate with `If` behind its name: of the rows where the last
+    argument holds."""
+    base = NATIVE.get(low.removesuffix("if")) if low.endswith("if") else None
+    return None if base is None else lambda *args: base(*(F.when(args[-1], a) for a in args[:-1] or (F.lit(1),)))
 
 
 def is_native_aggregate(name: str) -> bool:
@@ -82,18 +84,23 @@ def is_native_aggregate(name: str) -> bool:
     low = f.lower()
     if prefix.lower() == "chagg":
         return True
-    return low in NATIVE if prefix.lower() == "ch" else is_spark_aggregate(low)
+    return (low in NATIVE or by_condition(low) is not None) and low not in BY_LOWER if prefix.lower() == "ch" else is_spark_aggregate(low)
 
 
 def native(name: str, args: list[Column]) -> Column:
     prefix, _, f = name.partition(".")
     if not f:
         raise CypherError(f"{name!r} names no function")
-    if prefix.lower() in ("ch", "chagg"):
-        if f.lower() in NATIVE:
-            return NATIVE[f.lower()](*args)
-        if prefix.lower() == "chagg":
-            raise CypherError(f"aggregate {f!r} has no Spark equivalent here")
+    low, ch = f.lower(), prefix.lower() in ("ch", "chagg")
+    try:
+        if ch and low in BY_LOWER and prefix.lower() == "ch":
+            return BY_LOWER[low](*args)
+        if ch and (own := NATIVE.get(low) or by_condition(low)) is not None:
+            return own(*args)
+    except TypeError as e:
+        raise CypherError(f"wrong arguments for {name}: {e}") from e
+    if prefix.lower() == "chagg" or spark_group(low) is None:
+        raise CypherError(f"function {name!r} has no Spark equivalent here")
     return F.call_function(f, *args)
 
 

@@ -7,7 +7,7 @@ keyed by label and id, as ids of different labels overlap.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.sources.storage import stored
@@ -71,8 +71,8 @@ def shortest(starts: DataFrame, edges: DataFrame, least: int, most: int, every:
     edges = edges.select("__a", "__a_label", "__b", "__b_label", *(() if light else ("__eid", "__rel")))
     rel = None if light else edges.schema["__rel"].dataType.simpleString()
     edges = stored(edges.distinct() if light else edges, "edges")
-    starts = stored(starts, "starts")
     if goals is not None:
+        starts = stored(starts, "starts")
         goals = stored(goals.select(F.col("__start").alias("__end"), F.col("__start_label").alias("__end_label")).distinct(), "goals")
         reached = lambda rows, how: rows.alias("n").join(goals.withColumn("hit", F.lit(1)).alias("g"), (F.col("n.__end") == F.col("g.__end")) & (F.col("n.__end_label").isNull() | F.col("n.__end_label").eqNullSafe(F.col("g.__end_label"))), how)
         wanted = starts.count() * goals.count()
@@ -93,16 +93,16 @@ def shortest(starts: DataFrame, edges: DataFrame, least: int, most: int, every:
         step = step.alias("n").join(before.alias("r"), same, "left_anti")
         if not every and not light:
             step = step.groupBy(*PAIR).agg(F.min(F.struct("__eids", "__rels", "__nodes", "__hops")).alias("m")).select(*PAIR, "m.*").select(KEPT)
-        level = stored(step, "bfs")
-        if goals is None:
-            if level.isEmpty():
-                break
-        else:
-            pairs = level.select(PAIR).distinct() if every else level.select(PAIR)
-            n, hits = reached(pairs, "left").agg(F.count("*"), F.count("hit")).first()
-            if not n:
-                break
-            there += hits
+        # rows are counted as they are written
+        seen, counts = Observation(), [F.count(F.lit(1)).alias("n")]
+        if goals is not None and not every:
+            step, counts = reached(step, "left").select("n.*", "hit"), [*counts, F.count("hit").alias("hits")]
+        step = step.observe(seen, *counts)
+        level = stored(step.drop("hit"), "bfs")
+        if not seen.get["n"]:
+            break
+        if goals is not None:
+            there += reached(level.select(PAIR).distinct(), "left_semi").count() if every else seen.get["hits"]
         levels.append(level)
         if goals is not None and there >= wanted:
             break

@@ -123,6 +123,17 @@ class Compiler:
     def needs(self, var: str | None) -> bool:
         return var is not None and (self.star or var in self.whole or bool(self.used.get(var)))
 
+    def kept(self, var: str | None) -> set | None:
+        """The properties of a variable that the query asks for; None: all."""
+        if self.star or var in self.whole:
+            return None
+        own = set(self.used.get(var, ()))
+        if var is None or var.startswith("#"):
+            if None in self.whole:
+                return None
+            own |= set(self.used.get(None, ()))
+        return own
+
     # ------------------------------------------------------------- queries
 
     def query(self, q: A.Query) -> DataFrame:
@@ -254,18 +265,26 @@ class Compiler:
         a, z = {d.from_label} - {None}, {d.to_label} - {None}
         return [(a, z)] if direction == "out" else [(z, a)] if direction == "in" else [(a, z), (z, a)]
 
-    def oriented(self, r: A.RelPat, near: set, far: set, any_inner: bool = False) -> Oriented:
+    def oriented(self, r: A.RelPat, near: set, far: set, any_inner: bool = False, names: tuple | None = None) -> Oriented:
+        """names: of the near node, the relationship and the far node, whose
+        properties are then only those that the query asks for."""
+        keep = dict(zip(("near", "rel", "far"), (self.kept(n) for n in names), strict=True)) if names else {"near": None, "rel": None, "far": None}
+        if keep["rel"] is not None and r.props is not None:
+            keep["rel"] |= {k for k, _ in self.prop_items(r.props)}
         arms, props, near_props, far_props = [], set(), [], []
         defs = self.schema.edges_of(r.types)
         if len(defs) * 2 > MAX_BRANCHES:
             raise CypherError("too many relationship types for one pattern")
         nl, fl = set(), set()
         for d in defs:
-            ef = None
+            ef, ends = None, {"out": ("near", "far"), "in": ("far", "near")}
             for way, (a, z) in zip(("out", "in") if r.direction == "both" else (r.direction,), self.ends(d, r.direction), strict=True):
                 if not any_inner and (a and not a & near or z and not z & far):
                     continue
-                ef = ef or edge_frame(self.tables, self.schema, d)
+                if ef is None:
+                    both = r.direction == "both" and (keep["near"] is None or keep["far"] is None)
+                    k_src, k_dst = (keep["near"] | keep["far"],) * 2 if r.direction == "both" and not both else (None, None) if both else (keep[ends[way][0]], keep[ends[way][1]])
+                    ef = edge_frame(self.tables, self.schema, d, keep["rel"], k_src, k_dst)
                 s, t, sp, tp = ("__src", "__dst", ef.src_props, ef.dst_props) if way == "out" else ("__dst", "__src", ef.dst_props, ef.src_props)
                 df = ef.df.withColumn("__a", F.col(s)).withColumn("__b", F.col(t)).withColumn("__a_label", F.col(f"{s}_label")).withColumn("__b_label", F.col(f"{t}_label"))
                 if r.direction == "both" and way == "in" and (d.from_label == d.to_label or None in (d.from_label, d.to_label)):
@@ -306,11 +325,11 @@ class Compiler:
             return [(k, A.Lit(x)) for k, x in v.items()]
         return list(props.items)
 
-    def nodes_frame(self, labels: set) -> DataFrame:
-        return unite([node_frame(self.tables, self.schema, x) for x in sorted(labels)], ("__id",))
+    def nodes_frame(self, labels: set, keep: set | None = None) -> DataFrame:
+        return unite([node_frame(self.tables, self.schema, x, keep) for x in sorted(labels)], ("__id",))
 
     def bind_nodes(self, var: str, labels: set) -> tuple[DataFrame, Node]:
-        df = self.nodes_frame(labels)
+        df = self.nodes_frame(labels, self.kept(var))
         if not self.trusted:  # one row an id
             df = df.dropDuplicates(["__id", "__label"])
         ident, lab = self.fresh(f"{var}_id"), self.fresh(f"{var}_label")
@@ -381,7 +400,7 @@ class Compiler:
                 lead = None
                 if first is not None and not first.hops:
                     direction = self.turned(first.direction, steps[0][2] > start)
-                    lead = self.oriented(replace(first, direction=direction), labels[start // 2], labels[steps[0][2] // 2])
+                    lead = self.oriented(replace(first, direction=direction), labels[start // 2], labels[steps[0][2] // 2], names=(names[start], names[steps[0][1]], names[steps[0][2]]))
                 if lead is None or lead.near is None or len(labels[start // 2]) > 1:
                     df, node = self.bind_nodes(names[start], labels[start // 2])
                     own = self.with_props(Frame(df, {names[start]: node}), items[start], names[start])
@@ -408,7 +427,7 @@ class Compiler:
         a, z = labels[near // 2], labels[far // 2]
         if r.hops:
             return self.walk(frame, r, items, names, labels, near, rel, far, edges_seen)
-        o = self.oriented(r, a, z)
+        o = self.oriented(r, a, z, names=(names[near], names[rel], names[far]))
         ren = {c: self.fresh(f"{names[rel]}_{c}") for c in o.df.columns}
         e = o.df.select(*(F.col(f"`{c}`").alias(n) for c, n in ren.items()))
         edge = Edge(ren["__eid"], ren["__type"], ren["__src"], ren["__dst"], ren["__src_label"], ren["__dst_label"], o.types, {p: ren[p] for p in o.props})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +53,7 @@ class Expr:
             return T.NullType()
         try:
             return self.df.select(c.alias("x")).schema[0].dataType
-        except Exception:
+        except AnalysisException:
             return T.NullType()
 
     def noted(self, x, c: Column) -> Column:
@@ -476,7 +477,3 @@ class Expr:
 
 def has_aggregate(x) -> bool:
     return any(isinstance(n, A.CountStar) or isinstance(n, A.Call) and aggregate.is_aggregate(n.name) for n in A.walk(x))
-
-
-def value_of(name: str) -> Value:
-    return Value(name)

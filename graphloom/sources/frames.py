@@ -90,8 +90,12 @@ def prop_columns(df: DataFrame, props: dict, types: dict) -> list[Column]:
     return out
 
 
-def node_frame(tables: Tables, schema: GraphSchema, label: str) -> DataFrame:
-    """__id, __label and one column a property."""
+def only(props: dict, keep: set | None) -> dict:
+    return props if keep is None else {k: v for k, v in props.items() if k in keep}
+
+
+def node_frame(tables: Tables, schema: GraphSchema, label: str, keep: set | None = None) -> DataFrame:
+    """__id, __label and one column a property, or for those in keep."""
     d = schema.node(label)
     if d.embedded:
         return embedded_nodes(tables, schema, d)
@@ -100,7 +104,7 @@ def node_frame(tables: Tables, schema: GraphSchema, label: str) -> DataFrame:
         df = df.where(column(df, d.label_column) == F.lit(d.label_value))
     if d.filter:
         df = df.where(F.expr(d.filter))
-    return df.select(key(df, d.id).alias("__id"), F.lit(label).alias("__label"), *prop_columns(df, mapping(df, d), d.types))
+    return df.select(key(df, d.id).alias("__id"), F.lit(label).alias("__label"), *prop_columns(df, only(mapping(df, d), keep), d.types))
 
 
 def embedded_nodes(tables: Tables, schema: GraphSchema, d: NodeDef) -> DataFrame:
@@ -131,19 +135,23 @@ class EdgeFrame:
     dst_props: dict | None = None
 
 
-def endpoint(df: DataFrame, d: EdgeDef, node: NodeDef | None, ids: tuple, side: str, same_table: bool):
-    """Columns of an endpoint's properties, if the edge's row has them all."""
+def endpoint(df: DataFrame, d: EdgeDef, node: NodeDef | None, ids: tuple, side: str, same_table: bool, keep: set | None):
+    """Columns of an endpoint's properties (those in keep), if the edge's row
+    has them all."""
     if node is None:
         return None
     embedded = node.from_props if side == "src" else node.to_props
     if node.embedded:
-        return {n: column(df, str(c)) for n, c in embedded.items()} if same_table and embedded else None
+        return {n: column(df, str(c)) for n, c in only(embedded, keep).items()} if same_table and embedded else None
     if same_table and tuple(ids) == tuple(node.id) and not node.label_column:
-        return dict(zip(sorted(m := mapping(df, node)), prop_columns(df, m, node.types), strict=True))
+        return dict(zip(sorted(m := only(mapping(df, node), keep)), prop_columns(df, m, node.types), strict=True))
     return None
 
 
-def edge_frame(tables: Tables, schema: GraphSchema, d: EdgeDef) -> EdgeFrame:
+def edge_frame(tables: Tables, schema: GraphSchema, d: EdgeDef, keep: set | None = None, keep_src: set | None = None, keep_dst: set | None = None) -> EdgeFrame:
+    """The edges, with all properties or those in keep; likewise of the ends."""
+    if d.constraints:
+        keep_src = keep_dst = None
     df = tables.read(d.table, d.source, d.view_parameters)
     if d.type_column:
         df = df.where(column(df, d.type_column) == F.lit(d.type))
@@ -157,12 +165,12 @@ def edge_frame(tables: Tables, schema: GraphSchema, d: EdgeDef) -> EdgeFrame:
     held, extra = {}, []
     for side, (label, ids) in ends.items():
         node = schema.nodes.get(label) if label else None
-        own = endpoint(df, d, node, ids, side, node is not None and node.table == d.table)
+        own = endpoint(df, d, node, ids, side, node is not None and node.table == d.table, keep_src if side == "src" else keep_dst)
         if own is not None and node.filter:
             df = df.where(F.expr(node.filter))
         held[side] = None if own is None else {n: f"__{side}__{n}" for n in own}
         extra += [c.alias(f"__{side}__{n}") for n, c in (own or {}).items()]
-    props = mapping(df, d)
+    props = only(mapping(df, d), keep)
     eid = key(df, d.edge_id) if d.edge_id else F.struct(key(df, d.from_id).alias("k0"), key(df, d.to_id).alias("k1"))
     label_of = lambda label, col: F.lit(label) if label else column(df, col) if col else F.lit(None).cast("string")
     out = df.select(

@@ -54,9 +54,21 @@ STAR = {
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations"]
 
 
+#: Schemas of tables that were opened before, by application and path.
+SCHEMAS: dict = {}
+
+
+def opened(spark: SparkSession, path: str):
+    """A table; its schema is read from the files only once."""
+    at = spark.sparkContext.applicationId, path
+    if at not in SCHEMAS:
+        SCHEMAS[at] = spark.read.parquet(path).schema
+    return spark.read.schema(SCHEMAS[at]).parquet(path)
+
+
 def star(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph; a table is opened when a query first needs it."""
-    read = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    read = cache(lambda name: opened(spark, f"{sf_dir}/{name}.parquet"))
 
     def turns():
         c = read("conversations").select("conv_id", "turn")

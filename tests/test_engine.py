@@ -169,3 +169,32 @@ def test_percentile_disc(spark, roads):
     got = rows(roads[0], "MATCH (t:Town) RETURN t.size AS s, percentileDisc(t.id, 0.5) AS p, percentileDisc(DISTINCT t.id, 0.5) AS q, percentileDisc(t.id, 0.0) AS lo ORDER BY s")
     by = {s: sorted(i for i in range(40) if i % 7 == s) for s in range(7)}
     assert got == [(s, x[-(-len(x) // 2) - 1], x[-(-len(x) // 2) - 1], x[0]) for s, x in by.items()]
+
+
+def test_native_functions(roads):
+    g, _ = roads
+    got = g.cypher("UNWIND [1, 2, 3, 4] AS x RETURN ch.sumIf(x, x > 2) AS s, ch.countIf(x < 2) AS c, ch.maxIf(x, x < 4) AS m, ch.groupArraySorted(x) AS a, ch.anyHeavy(1) AS h, spark.sum(x) AS t").first()
+    assert tuple(got) == (7, 1, 3, [1, 2, 3, 4], 1, 10)
+    got = g.cypher("RETURN ch.toYYYYMM(datetime('2021-05-06T07:08:09')) AS a, toString(ch.toStartOfMonth(datetime('2021-05-06'))) AS b, ch.splitByChar('.', 'a.b') AS c, ch.multiIf(false, 1, true, 2, 3) AS d, ch.hasAll([1, 2], [2]) AS e, ch.arraySum([1, 2]) AS f, ch.JSONExtractInt('{\"k\": 5}', 'k') AS h, ch.position('abc', 'c') AS i, ch.lengthUTF8('äb') AS j, ch.toInt64OrZero('x') AS k").first()
+    assert tuple(got) == (202105, "2021-05-01 00:00:00", ["a", "b"], 2, True, 3.0, 5, 3, 2, 0)
+    for text in ("ch.noSuchThing(1)", "chagg.noSuchThing(1)", "spark.no_such_thing(1)"):
+        with pytest.raises(CypherError):
+            g.cypher(f"RETURN {text} AS x")
+
+
+def test_tables_from_property_types(spark):
+    schema = {"graph_schema": {"nodes": [{"label": "P", "table": "p", "node_id": "id", "property_mappings": {"id": "id", "born": "born_on", "rich": "rich"}, "property_types": {"id": "integer", "born": "date", "rich": "boolean"}}], "edges": [{"type": "K", "table": "k", "from_id": "a", "to_id": "b", "from_node": "P", "to_node": "P", "property_mappings": {"w": "w"}, "property_types": {"w": "float"}}]}}
+    g = Graph(spark, schema, {})
+    assert g.create_tables() == ["k", "p"]
+    assert dict(g.tables.given["p"].dtypes) == {"id": "bigint", "born_on": "date", "rich": "boolean"} and dict(g.tables.given["k"].dtypes)["w"] == "double"
+    g.cypher("CREATE (x:P {id: 1, rich: true})")
+    g.create_edge("K", a=1, b=1, w=2.5)
+    assert rows(g, "MATCH (x:P)-[k:K]->(y:P) RETURN x.rich AS r, k.w AS w, y.born AS b") == [(True, 2.5, None)]
+
+
+def test_subgraph_comes_back(roads, tmp_path):
+    g, pairs = roads
+    g.store_subgraph("MATCH (a:Town {id: 1})-[r:ROAD]->(b:Town) RETURN a, r, b", f"{tmp_path}/sub")
+    sub = g.load_subgraph(f"{tmp_path}/sub")
+    assert rows(sub, "MATCH (a:Town)-[:ROAD]->(b:Town) RETURN a.id AS a, b.id AS b") == sorted(("1", str(b)) for a, b, _ in pairs if a == 1)
+    assert json.loads(sub.cypher("MATCH (a:Town) WHERE a.id = '1' RETURN a.properties AS p").first().p)["name"] == "t1"
