@@ -25,8 +25,8 @@ Hashes only route: a window is removed only after its words were matched, and
 none is missed, as equal words have equal hashes.
 
 Edge cases: a null text has no words; a document without windows keeps all
-its words; repeated rows of one doc_id never delete each other (only a smaller
-doc_id counts); a null doc_id is neither removed from nor compared; texts of
+its words; repeated rows of one doc_id, whatever their texts, never delete each
+other (only a smaller doc_id counts) and lose each their own words; a null doc_id is neither removed from nor compared; texts of
 any length are read whole; extra columns do not matter; empty tables give
 empty results.
 """
@@ -34,6 +34,7 @@ empty results.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import ahocorasick
 import numpy as np
@@ -75,24 +76,28 @@ def anchors_of(hasher: WordHasher, data, offsets, length: int):
 
 
 def packed(texts: DataFrame) -> DataFrame:
-    """texts with each text compressed for the way through an exchange."""
+    """texts (doc_id, rest, text) with rest, a text, and the text in one
+    compressed value, so that each way through an exchange is the same one."""
 
     def run(batches):
         packer = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packer.compress(t.as_py()) for t in b.column(1)], pa.binary())], ["doc_id", "text"])
+            rows = (x.as_py().encode() for x in b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packer.compress(len(x).to_bytes(4, "little") + x + t.as_py()) for x, t in zip(rows, b.column(2), strict=True)], pa.binary())], ["doc_id", "text"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, text binary")
+    return texts.select("doc_id", "rest", "text").mapInArrow(run, "doc_id long, text binary")
 
 
 def unpacked(batches, rows: int = 250):
-    """Batches of at most so many rows, the last column decompressed."""
+    """Batches of at most so many rows; of the last column rest and text."""
     opener = zstandard.ZstdDecompressor()
     for b in batches:
         for i in range(0, b.num_rows, rows):
             part = b.slice(i, rows)
-            texts = [opener.decompress(t.as_py()) for t in part.column(part.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.binary())], part.schema.names)
+            raw = [opener.decompress(t.as_py()) for t in part.column(part.num_columns - 1)]
+            size = [4 + int.from_bytes(x[:4], "little") for x in raw]
+            rest, texts = [x[4:n] for x, n in zip(raw, size, strict=True)], [x[n:] for x, n in zip(raw, size, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rest, pa.binary()), pa.array(texts, pa.binary())], [*part.schema.names[:-1], "rest", "text"])
 
 
 def combined(anchor, low, high, n):
@@ -198,7 +203,7 @@ def doc_anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
 def passages_of(hasher: WordHasher, batch, length: int):
     """Passages of a batch (doc_id, anchors: route and pieces of each, text):
-    (route, doc_id, first word, words, bytes), from block to block."""
+    (route, doc_id, the text's CRC, first word, words, bytes), block by block."""
     ids, known = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
     for row, data, offsets in blocks(batch, TEXT_BLOCK):
         starts, ends, doc, at, low = anchors_of(hasher, data, offsets, length)
@@ -220,27 +225,28 @@ def passages_of(hasher: WordHasher, batch, length: int):
                     _, _, _, words = hasher(data, offsets)
                     exact = grams(words, length)
                 own[hot] = mix(own[hot].view(np.uint64) + np.uint64(1) + exact[at[lo:hi][hot]] % parts[hot].astype(np.uint64)).view(np.int64)
+            crc = zlib.crc32(data[offsets[i] : offsets[i + 1]])
             turn = np.append(True, own[1:] != own[:-1])
             begin = np.flatnonzero(hit & (turn | np.append(True, ~hit[:-1])))
             end = np.flatnonzero(hit & (np.append(turn[1:], True) | np.append(~hit[1:], True)))
             for x, y in zip(begin.tolist(), end.tolist(), strict=True):
                 w, last = at[lo + x], at[lo + y] + length - 1
-                yield own[x], ids[row + i], w - firsts[i], last - w + 1, b" ".join(raw[starts[w] : ends[last]].split())
+                yield own[x], ids[row + i], crc, w - firsts[i], last - w + 1, b" ".join(raw[starts[w] : ends[last]].split())
 
 
 def passage_places(candidates: DataFrame, length: int) -> DataFrame:
-    """(route, mark, doc_id, start, size): where each document has passages;
-    mark is the MD5 of a passage's words."""
-    kinds, names = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()], ["route", "mark", "doc_id", "start", "size"]
+    """(route, mark, doc_id, crc, start, size): where each document has
+    passages; mark is the MD5 of a passage's words."""
+    kinds, names = [pa.int64(), pa.binary(), *[pa.int64()] * 4], ["route", "mark", "doc_id", "crc", "start", "size"]
 
     def run(batches):
         hasher = WordHasher()
         for b in unpacked(batches):
-            rows = [(route, hashlib.md5(said).digest(), doc, at, size) for route, doc, at, size, said in passages_of(hasher, b, length)]
+            rows = [(route, hashlib.md5(said).digest(), doc, crc, at, size) for route, doc, crc, at, size, said in passages_of(hasher, b, length)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return candidates.select("doc_id", "anchors", "text").mapInArrow(run, "route long, mark binary, doc_id long, start long, size long")
+    return candidates.select("doc_id", "anchors", "text").mapInArrow(run, "route long, mark binary, doc_id long, crc long, start long, size long")
 
 
 def passage_words(candidates: DataFrame, length: int) -> DataFrame:
@@ -255,7 +261,7 @@ def passage_words(candidates: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), pa.array(marks, pa.binary()), pa.array(docs, pa.int64()), pa.array(said, pa.binary())], ["route", "mark", "doc_id", "words"])
 
         for b in unpacked(batches):
-            for route, doc, _, _, said in passages_of(hasher, b, length):
+            for route, doc, _, _, _, said in passages_of(hasher, b, length):
                 key = (route, hashlib.md5(said).digest())
                 before = held.get(key)
                 if before is None:
@@ -340,42 +346,57 @@ def covered_words(texts: DataFrame, bundle: DataFrame, length: int = 13) -> Data
     buckets = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     recurring = recurring_anchors(anchor_blobs(texts, length, buckets))
     anchors = doc_anchor_rows(texts, length).join(recurring, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "route", "pieces")).alias("anchors"))
-    candidates = anchors.join(bundle, "doc_id")
+    candidates = anchors.join(bundle, "doc_id").select("doc_id", "anchors", "text")
     found = located(passage_words(candidates, length), length)
     back = passage_places(candidates, length).join(found, ["route", "mark"])
-    whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b")))
-    some = F.transform("found", lambda i: F.struct((F.col("start") + i).alias("a"), (F.col("start") + i + length).alias("b")))
+    whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"), "crc"))
+    some = F.transform("found", lambda i: F.struct((F.col("start") + i).alias("a"), (F.col("start") + i + length).alias("b"), F.col("crc").alias("crc")))
     spans = back.select("doc_id", F.when(F.col("doc_id") > F.col("first_doc"), whole).otherwise(some).alias("spans")).where(F.size("spans") > 0)
     return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, length: int = 13, as_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, and the kept words: as their SHA-256
-    (kept_sha256), or themselves (kept) with as_text."""
-    all_texts = text_bytes(docs.select(long_id(docs), "text"), "doc_id")
+    """doc_id, n_words, n_removed and kept_sha256, the SHA-256 of the kept words;
+    or, with as_text, all columns of docs, text without the words that go (a
+    text that loses none as it is), and n_words and n_removed as __n_words and
+    __n_removed."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")] if as_text else []
+    # a null text is told from an empty one by its rest
+    held = F.to_json(F.struct(*(F.col(f"`{c}`") for c in rest), F.col("text").isNull().alias("__null"))) if as_text else F.lit("")
+    all_texts = text_bytes(docs.select(long_id(docs), held.alias("rest"), "text"), "doc_id", "rest")
     # one and the same exchange of the texts serves both joins
     texts = all_texts.where("doc_id IS NOT NULL")
     bundle = packed(texts)
-    both = bundle.join(covered_words(texts, bundle, length), "doc_id", "left").select("doc_id", "spans", "text")
+    both = bundle.join(covered_words(texts.select("doc_id", "text"), bundle, length), "doc_id", "left").select("doc_id", "spans", "text")
     none = F.lit(None).cast(both.schema["spans"].dataType)
     both = both.unionByName(packed(all_texts.where("doc_id IS NULL")).select("doc_id", none.alias("spans"), "text"))
-    name = "kept" if as_text else "kept_sha256"
+    name = "text" if as_text else "kept_sha256"
 
     def run(batches):
         for part in unpacked(batches):
             total, gone, kept = [], [], []
-            for spans, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                words = text.split()
+            for spans, text in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
+                words = every = text.split()
                 total.append(len(words))
                 if spans:
+                    crc = zlib.crc32(text)  # rows of one doc_id may have different texts
                     keep = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(keep, [s["a"] for s in spans], 1)
-                    np.add.at(keep, [s["b"] for s in spans], -1)
+                    for at, sign in (("a", 1), ("b", -1)):
+                        np.add.at(keep, [s[at] for s in spans if s["crc"] == crc], sign)
                     keep = np.cumsum(keep)[:-1] == 0
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 gone.append(total[-1] - len(words))
-                said = b" ".join(words)
-                kept.append(said.decode("utf-8", "replace") if as_text else hashlib.sha256(said).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", name])
-
-    return both.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} string")
+                if as_text:
+                    kept.append((text if len(words) == len(every) else b" ".join(words)).decode("utf-8", "replace"))
+                else:
+                    kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            columns = [part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [part.column(2).cast(pa.string())] * as_text, ["doc_id", "n_words", "n_removed", name] + ["rest"] * as_text)
+
+    out = both.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {name} string" + ", rest string" * as_text)
+    if not as_text:
+        return out
+    own = out.withColumn("rest", F.from_json("rest", f"struct<{', '.join(f'`{c}`:{docs.schema[c].dataType.simpleString()}' for c in rest)}{',' if rest else ''}`__null`:boolean>"))
+    text = F.when(~F.col("rest.__null"), F.col("text"))
+    values = {"doc_id": F.col("doc_id"), "text": text.alias("text")} | {c: F.col(f"rest.`{c}`").alias(c) for c in rest}
+    return own.select(*(values[c] for c in docs.columns), F.col("n_words").alias("__n_words"), F.col("n_removed").alias("__n_removed"))

@@ -233,6 +233,13 @@ def test_substring(spark, docs, empty, monkeypatch):
     nulls = spark.createDataFrame([(None, rows[0][1]), (None, rows[0][1]), (1, None), (2, rows[0][1])], "doc_id long, text string")
     assert {(r.doc_id, r.n_removed) for r in substring.without_repeats(nulls).collect()} == {(None, 0), (1, 0), (2, 0)}
     assert substring.without_repeats(empty).collect() == []
+    # rows of one doc_id with different texts lose each their own words
+    w = [f"k{i}" for i in range(40)]
+    two = spark.createDataFrame([(1, " ".join(w), 7), (2, " ".join(["x", *w[:20]]), 8), (2, " ".join(w[20:] + ["y", "z"]), None), (2, "a  b", 9), (None, None, 1)], "doc_id long, text string, n_removed int")
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring.without_repeats(two).collect()) == [("1", 40, 0), ("2", 2, 0), ("2", 21, 20), ("2", 22, 20), ("None", 0, 0)]
+    kept = substring.without_repeats(two, as_text=True)
+    assert kept.columns == [*two.columns, "__n_words", "__n_removed"]
+    assert sorted((str(r.doc_id), r.text, r.n_removed) for r in kept.collect() if r.text != " ".join(w)) == [("2", "a  b", 9), ("2", "x", 8), ("2", "y z", None), ("None", None, 1)]
 
 
 def shingle_truth(rows, k, percent):
