@@ -43,13 +43,9 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Texts without the 13-word windows that an earlier document has.  A text
     that loses nothing stays as it is, a null one too; one that loses all its
     words goes.  Rows without doc_id lose nothing and count for no other."""
-    docs = docs.select(COLUMNS)
-    cut = substring.without_repeats(docs, 13, as_text=True).where("n_removed > 0").select("doc_id", "kept", "n_words", "n_removed")
-    # rows of one doc_id, which the stage before leaves only once, lose the same
-    cut = cut.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.min("n_words").alias("n_words"), F.min("n_removed").alias("n_removed"))
-    both = docs.join(cut, "doc_id", "left").where("n_removed IS NULL OR n_removed < n_words")
-    n_chars = F.when(F.col("kept").isNotNull(), F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return both.select("doc_id", F.coalesce("kept", "text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    cut = substring.without_repeats(docs.select(COLUMNS), 13, as_text=True).where("__n_removed = 0 OR __n_removed < __n_words")
+    n_chars = F.when(F.col("__n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars).select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
