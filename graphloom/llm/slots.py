@@ -1,23 +1,24 @@
 """Operator 10: training-order materialisation of token-ID sequences.
 
-Each document's token ids, with an end mark after them, are cut into sequences
-of a fixed number of ids (the last one padded by end marks).  The ids are
-written once, and with them what numbers the sequences: the writing task, and
-how many sequences it had before the row.  Only one number a task reaches the
-driver, and all later passes read the numbers with the rows, so neither the
-split of the files nor lost executors can change them.  A keyed Feistel
-permutation with cycle-walking takes number i of n to its slot, a bijection of
-0 .. n - 1.  Slots are dealt by range: shard s holds the slots from
-s * per_shard on, in order, and is one file of records of one fixed stride (the
-ids, little-endian, and a line feed); a shard that does not hold exactly its
-slots is an error.  So slot x stands at byte (x mod per_shard) * stride of shard
-x div per_shard, and training can read on from any slot.
+Each document's token ids, with an end mark after them, follow one another, and
+a writing task's ids are cut into sequences of a fixed number of ids (only its
+last one is filled up by end marks).  The ids are written once, and with them
+what numbers the sequences: the task, and how many ids it had before the row.
+Only one number a task reaches the driver, and all later passes read the numbers
+with the rows, so neither the split of the files nor lost executors can change
+them.  A keyed Feistel permutation with cycle-walking takes number i of n to its
+slot, a bijection of 0 .. n - 1.  Slots are dealt by range: shard s holds the
+slots from s * per_shard on, in order, and is one file of records of one fixed
+stride (the ids, little-endian, and a line feed).  Pieces of documents go to
+their shard with slot and place; a shard in which a slot is not filled exactly is
+an error.  So slot x stands at byte (x mod per_shard) * stride of shard x div
+per_shard, and training can read on from any slot.
 
 The query's ids are those of a public byte-level BPE vocabulary (two bytes
 each), by the tiktoken library; ids from elsewhere go through `packed_ids`.
 
 Edge cases: a null text has no ids but its end mark, so every row of the input
-has a sequence; repeated rows have their own; null doc_ids are kept; texts and
+has a piece of a sequence; repeated rows have their own; null doc_ids are kept; texts and
 ids of any length are cut whole; extra columns do not matter; an empty table
 gives an empty result and no shards.  The order is the same for the same files
 and split size.
@@ -137,121 +138,137 @@ def packed_ids(tokens: DataFrame, width: int) -> DataFrame:
     return tokens.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, ids binary")
 
 
-def placed(ids: DataFrame, width: int, stride: int) -> DataFrame:
-    """ids with the task that wrote a row, its first number there and its
-    number of sequences."""
+def placed(ids: DataFrame, width: int) -> DataFrame:
+    """ids with the task that wrote a row, the ids before the row there and its
+    number of ids, end mark included."""
 
     def run(batches):
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            long = np.array([len(x.as_py()) for x in b.column(1)], dtype=np.int64)
-            count = -(-(long + width) // stride)
+            count = np.array([len(x.as_py()) // width + 1 for x in b.column(1)], dtype=np.int64)
             first = at + np.cumsum(count) - count
             at += int(count.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(long), part, dtype=np.int32)), pa.array(first), pa.array(count), *b.columns], ["part", "first", "n", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(count), part, dtype=np.int32)), pa.array(first), pa.array(count), *b.columns], ["part", "first", "n", "doc_id", "ids"])
 
     return ids.select("doc_id", "ids").mapInArrow(run, "part int, first long, n long, doc_id long, ids binary")
 
 
-def numbered(batches, layout: dict, bases: dict[int, int]):
-    """Blocks of sequences: doc_ids, chunks, sizes in ids, slots, and the ids
-    as rows of bytes."""
-    width, stride = layout["width"], layout["length"] * layout["width"]
+def pieces(batches, layout: dict, bases: dict[int, int]):
+    """Blocks of pieces, a document's share of a sequence each: doc_ids, chunks,
+    slots, places in the sequence, sizes in ids, and all their bytes."""
+    width, length = layout["width"], layout["length"]
     end, order = int(layout["end"]).to_bytes(width, "little"), Feistel(layout["n"], layout["key"])
     for b in batches:
         docs, column, lo = b.column(3).to_pylist(), b.column(4), 0
-        number = np.array([bases[p] for p in b.column(0).to_pylist()], dtype=np.int64) + b.column(1).to_numpy()
+        base = np.array([bases[p] for p in b.column(0).to_pylist()], dtype=np.int64)
+        first, n = b.column(1).to_numpy(), b.column(2).to_numpy()
         while lo < len(docs):
-            texts, size = [], 0
-            while lo + len(texts) < len(docs) and size < 4_000_000:
-                texts.append(column[lo + len(texts)].as_py() + end)
-                size += len(texts[-1])
-            long = np.array([len(t) for t in texts])
-            count = -(-long // stride)
-            at = np.cumsum(count) - count
-            rows = np.tile(np.frombuffer(end, dtype=np.uint8), (int(count.sum()), layout["length"]))
-            flat = rows.reshape(-1)
-            for i, t in zip((at * stride).tolist(), texts, strict=True):
-                flat[i : i + len(t)] = np.frombuffer(t, dtype=np.uint8)
-            chunk = np.arange(len(rows)) - np.repeat(at, count)
-            n_tokens = np.minimum(np.repeat(long, count) - chunk * stride, stride) // width
-            own = [d for d, c in zip(docs[lo : lo + len(texts)], count.tolist(), strict=True) for _ in range(c)]
-            yield own, chunk, n_tokens, order.slots(np.repeat(number[lo : lo + len(texts)], count) + chunk), rows
-            lo += len(texts)
+            hi = max(lo + 1, int(np.searchsorted(np.cumsum(n[lo:]), 2_000_000)) + lo)
+            data = b"".join(x for i in range(lo, hi) for x in (column[i].as_py(), end))
+            begin, size = first[lo:hi], n[lo:hi]
+            count = (begin + size - 1) // length - begin // length + 1
+            row = np.repeat(np.arange(hi - lo), count)
+            chunk = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            number = begin[row] // length + chunk
+            start = np.maximum(number * length, begin[row])
+            stop = np.minimum((number + 1) * length, (begin + size)[row])
+            yield [docs[lo + i] for i in row.tolist()], chunk, order.slots(base[lo:hi][row] + number), start - number * length, stop - start, data
+            lo = hi
 
 
 def manifest_rows(ids: DataFrame, layout: dict, bases: dict[int, int]) -> DataFrame:
     def run(batches):
-        for own, chunk, n_tokens, slots, rows in numbered(batches, layout, bases):
-            crc = [zlib.crc32(r) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(own, pa.int64()), pa.array(chunk.astype(np.int32)), pa.array(n_tokens.astype(np.int32)), pa.array(crc, pa.int64())], ["slot", "doc_id", "chunk", "n_tokens", "crc32"])
+        for own, chunk, slots, at, size, data in pieces(batches, layout, bases):
+            cuts = np.cumsum(size) * layout["width"]
+            crc = [zlib.crc32(data[i:j]) for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(own, pa.int64()), pa.array(chunk.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(crc, pa.int64())], ["slot", "doc_id", "chunk", "place", "n_tokens", "crc32"])
 
-    return ids.mapInArrow(run, "slot long, doc_id long, chunk int, n_tokens int, crc32 long")
+    return ids.mapInArrow(run, "slot long, doc_id long, chunk int, place int, n_tokens int, crc32 long")
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] numbers, then start[1], ..."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
 def shard_blobs(ids: DataFrame, layout: dict, bases: dict[int, int]) -> DataFrame:
-    """(shard, blob): a block's sequences for one shard, slots first,
-    compressed together for the way there."""
+    """(shard, blob): a block's pieces for one shard, compressed together for
+    the way there: how many, their slots, places and sizes, and their ids."""
+    width = layout["width"]
 
     def run(batches):
         packer = zstandard.ZstdCompressor(level=3)
-        for _, _, _, slots, rows in numbered(batches, layout, bases):
-            order = np.argsort(slots)
-            slots, rows = slots[order], rows[order]
-            shards, first = np.unique(slots // layout["per_shard"], return_index=True)
-            blobs = [packer.compress(slots[i:j].tobytes() + rows[i:j].tobytes()) for i, j in zip(first, [*first[1:], len(slots)], strict=True)]
+        for _, _, slots, at, size, data in pieces(batches, layout, bases):
+            begin, raw = np.cumsum(size) - size, np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+            order = np.argsort(slots, kind="stable")
+            shards, first = np.unique(slots[order] // layout["per_shard"], return_index=True)
+            blobs = []
+            for i, j in zip(first, [*first[1:], len(order)], strict=True):
+                own = order[i:j]
+                head = np.stack([slots[own], at[own], size[own]]).astype(np.int64)
+                blobs.append(packer.compress(np.int64(len(own)).tobytes() + head.tobytes() + raw[spread(begin[own], size[own])].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
     return ids.mapInArrow(run, "shard int, blob binary")
 
 
-def in_order(blobs: DataFrame, layout: dict) -> DataFrame:
+def in_order(blobs: DataFrame, layout: dict, lasts: dict[int, int]) -> DataFrame:
     """The records of each partition's shard, which fits into memory as its
-    number of slots is fixed, by slot."""
-    stride = layout["length"] * layout["width"]
+    number of slots is fixed, by slot.  lasts: the slots that are not full, with
+    their numbers of ids."""
+    width, length = layout["width"], layout["length"]
+    stride = length * width
 
     def run(batches):
-        slots, rows, opener = [], [], zstandard.ZstdDecompressor()
+        shard, opener = TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
+        low = shard * layout["per_shard"]
+        n = min(layout["per_shard"], layout["n"] - low)
+        rows = np.tile(np.frombuffer(int(layout["end"]).to_bytes(width, "little"), dtype=np.uint8), (n * length, 1))
+        filled = np.zeros(n, dtype=np.int64)
         for b in batches:
             for blob in b.column(1):
                 raw = opener.decompress(blob.as_py())
-                n = len(raw) // (stride + 8)
-                slots.append(np.frombuffer(raw, dtype=np.int64, count=n))
-                rows.append(np.frombuffer(raw, dtype=np.uint8, offset=8 * n).reshape(n, stride))
-        shard = TaskContext.get().partitionId()
-        every = np.concatenate(slots) if slots else np.zeros(0, np.int64)
-        order = np.argsort(every)
-        if not np.array_equal(every[order], np.arange(shard * layout["per_shard"], min((shard + 1) * layout["per_shard"], layout["n"]))):
+                k = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
+                slots, at, size = np.frombuffer(raw, dtype=np.int64, offset=8, count=3 * k).reshape(3, k)
+                rows[spread((slots - low) * length + at, size)] = np.frombuffer(raw, dtype=np.uint8, offset=8 + 24 * k).reshape(-1, width)
+                np.add.at(filled, slots - low, size)
+        want = np.full(n, length)
+        for slot, size in lasts.items():
+            if low <= slot < low + n:
+                want[slot - low] = size
+        if not np.array_equal(filled, want):
             raise RuntimeError(f"shard {shard} does not hold each of its slots once")
-        if slots:
-            rows = np.concatenate(rows)
-            for lo in range(0, len(order), 4096):
-                part = rows[order[lo : lo + 4096]]
-                at = pa.array(np.arange(len(part) + 1, dtype=np.int32) * stride)
-                yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, at.buffers()[1], pa.py_buffer(part.tobytes())])], ["record"])
+        rows = rows.reshape(n, stride)
+        for lo in range(0, n, 4096):
+            part = rows[lo : lo + 4096]
+            at = pa.array(np.arange(len(part) + 1, dtype=np.int32) * stride)
+            yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, at.buffers()[1], pa.py_buffer(part.tobytes())])], ["record"])
 
     return blobs.mapInArrow(run, "record binary")
 
 
 def materialise(ids: DataFrame, path: str, end: int, width: int = 2, key: int = 20240229, length: int = 512, per_shard: int = PER_SHARD):
     """Write the shards under path.  ids: (doc_id, ids), `width` bytes an id.
-    Returns the layout and the manifest: one row a sequence with its slot,
-    shard, byte offset, size and checksum."""
+    Returns the layout and the manifest: one row for each piece of a document,
+    with its slot, shard, byte offset, place, size and checksum."""
     spark = ids.sparkSession
     bytes_each = length * width
-    ids = stored(placed(ids, width, bytes_each), "ids", **SMALL)
+    ids = stored(placed(ids, width), "ids", **SMALL)
     counts = ids.groupBy("part").agg(F.sum("n").alias("n")).collect()
-    bases, n = {}, 0
+    bases, ends, n = {}, {}, 0
     for row in sorted(counts, key=lambda r: r.part):
         bases[row.part] = n
-        n += int(row.n)
+        n += -(-row.n // length)
+        if row.n % length:
+            ends[n - 1] = row.n % length
     layout = {"n": n, "key": key, "length": length, "width": width, "end": end, "per_shard": per_shard, "stride": bytes_each + 1}
-    shard, offset = F.expr(f"slot div {per_shard}"), (F.col("slot") % per_shard) * (bytes_each + 1)
+    shard, offset = F.expr(f"slot div {per_shard}"), (F.col("slot") % per_shard) * (bytes_each + 1) + F.col("place") * width
     if n:
+        lasts = dict(zip(Feistel(n, key).slots(np.array(list(ends), dtype=np.int64)).tolist(), ends.values(), strict=True))
         dealt = shard_blobs(ids, layout, bases).repartitionById(-(-n // per_shard), F.col("shard"))
-        in_order(dealt, layout).select(F.col("record").cast("string").alias("record")).write.option("lineSep", "\n").text(f"{path}/shards")
+        in_order(dealt, layout, lasts).select(F.col("record").cast("string").alias("record")).write.option("lineSep", "\n").text(f"{path}/shards")
     spark.createDataFrame([(json.dumps(layout),)], "layout string").coalesce(1).write.text(f"{path}/layout")
-    manifest = manifest_rows(ids, layout, bases).select("doc_id", "chunk", "slot", shard.alias("shard"), offset.alias("byte_offset"), "n_tokens", "crc32")
+    manifest = manifest_rows(ids, layout, bases).select("doc_id", "chunk", "slot", shard.alias("shard"), offset.alias("byte_offset"), "place", "n_tokens", "crc32")
     return layout, manifest
 
 
