@@ -59,11 +59,12 @@ def gram_score(text: Column, query: str) -> Column:
 
 
 def fulltext_query(graph, schema, args: list):
-    """Nodes that match a text.  Analyzers: standard (some term occurs, ranked
+    """Nodes that match a text, best first: 100, as many as the third argument
+    says, or all if that is null.  Analyzers: standard (some term occurs, ranked
     by n-gram likeness), ngram (any likeness), exact (each term occurs)."""
     if len(args) < 2:
         raise CypherError("db.index.fulltext.queryNodes needs an index and a text")
-    name, text, limit = args[0], str(args[1]), int(args[2]) if len(args) > 2 else 100
+    name, text, limit = args[0], str(args[1]), args[2] if len(args) > 2 else 100
     index = next((i for i in schema.fulltext_indexes if i.name == name), None)
     if index is None:
         raise CypherError(f"unknown fulltext index {name!r}")
@@ -83,4 +84,5 @@ def fulltext_query(graph, schema, args: list):
         found = df.withColumn("score", score).where("score > 0")
     else:
         found = df.where(reduce(lambda a, b: a | b, [some(t) for t in terms])).withColumn("score", score)
-    return bound(found.orderBy(F.desc("score"), "__id").limit(limit), index.label)
+    found = found.orderBy(F.desc("score"), "__id")
+    return bound(found if limit is None else found.limit(int(limit)), index.label)
