@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, minhash, mixing, quality, substring
-from graphloom.llm.common import drop_stored, stored
+from graphloom.llm.common import drop_stored, stored, stored_in_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,8 +56,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and hashes of each document's ids and decoded text, one row a row;
-    a null text counts as empty."""
-    return bpe.token_digests(docs.select(COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
+    a null text counts as empty.  Texts go to Python in small batches: beside
+    the stages before, those of 10,000 whole texts are too much for an executor."""
+    return stored_in_batches(bpe.token_digests(docs.select(COLUMNS), public_tokenizers.path("word_bpe_49k.json")), 512, "digests")
 
 
 STAGES = [

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import text_bytes
+from graphloom.llm.common import give_back, text_bytes
 
 #: A tokenizer file above this size is refused, as it is broadcast.
 MOST_BYTES = 64 << 20
@@ -220,14 +220,15 @@ class Encoder:
         return out
 
     def learn(self, chunks: set[str]) -> dict[str, tuple]:
-        """For each piece: its ids, these as text, and their tokens as text."""
+        """For each piece: its ids and their tokens, both as text (ids as
+        lists of numbers take more memory)."""
         parts = {c: self.parts(c) for c in chunks}
         words = list({w for p in parts.values() for w in p if isinstance(w, bytes)})
         ids = dict(zip(words, self.merge_many(words), strict=True))
         out, digits, names = {}, self.digits, self.names
         for c, p in parts.items():
             own = [i for w in p for i in (ids[w] if isinstance(w, bytes) else (w,))]
-            out[c] = (own, " ".join([digits[i] for i in own]), " ".join([names[i] for i in own]))
+            out[c] = (" ".join([digits[i] for i in own]), " ".join([names[i] for i in own]))
         return out
 
     def split(self, text: str) -> list[str]:
@@ -246,7 +247,7 @@ class Encoder:
             yield [h for x in s if (h := known[x])[0]]
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
-        return [[i for h in found for i in h[0]] for found in self.looked_up(texts)]
+        return [[int(i) for h in found for i in h[0].split(" ")] for found in self.looked_up(texts)]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_many([text])[0]
@@ -259,8 +260,8 @@ class Encoder:
         """Number of ids, SHA-256 of the ids and of the decoded text."""
         out = []
         for found in self.looked_up(texts):
-            ids = " ".join([h[1] for h in found]).encode()
-            said = " ".join([h[2] for h in found]).encode("utf-8", "surrogatepass")
+            ids = " ".join([h[0] for h in found]).encode()
+            said = " ".join([h[1] for h in found]).encode("utf-8", "surrogatepass")
             out.append((ids.count(b" ") + bool(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(said).hexdigest()))
         return out
 
@@ -306,6 +307,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_spec(path))
 
     def run(batches):
+        give_back()
         enc = Encoder(spec.value)
         for b in batches:
             for i in range(0, b.num_rows, 256):

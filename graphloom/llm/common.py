@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -48,6 +50,24 @@ def stored(df: DataFrame, name: str = "t", **options) -> DataFrame:
     return out
 
 
+def stored_in_batches(df: DataFrame, rows: int, name: str = "t") -> DataFrame:
+    """stored(), with at most so many rows in a batch that goes to Python.
+
+    A batch is held once or twice in the JVM (its buffers grow by doubling) and
+    twice in the worker (the next one is read before the last is let go); the
+    setting is the session's, so the table is written here and it is put back.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    if 0 < int(before) <= rows:
+        return stored(df, name)
+    try:
+        conf.set(key, str(rows))
+        return stored(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def drop_stored(*frames: DataFrame) -> None:
     """Remove the files of tables that stored() wrote and no plan needs now."""
     for df in frames:
@@ -58,6 +78,17 @@ def drop_stored(*frames: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+def give_back() -> None:
+    """Return the memory that this worker has freed to the system: Spark uses
+    workers again, and they keep what earlier tasks of any operator had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

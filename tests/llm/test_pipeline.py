@@ -88,3 +88,21 @@ def test_pipeline_odd_rows(spark, sf, tmp_path):
     mix = Counter(r.doc_id for r in out["mixing"])
     assert mix[3] == mix[4] == 1 and sum(mix.values()) >= len(rows) - 2
     assert len(out["encoding"]) == len(rows) and {r.n_tokens for r in out["encoding"] if r.doc_id in (3, 4)} == {0}
+
+
+def test_encoding_in_small_batches(spark, sf, monkeypatch):
+    """Whole texts go to Python few at a time, and the session's setting stays."""
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "'a b' AS text", "'en' AS lang", "'s' AS source", "3L AS n_chars")
+    monkeypatch.setattr(p.bpe, "token_digests", lambda docs, path: docs.mapInArrow(sizes, "n long"))
+    got = [r.n for r in p.encoding_stage(spark, docs, sf).collect()]
+    assert sum(got) == 3000 and max(got) <= 512
+    assert spark.conf.get(key) == before
